@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
     "op1_language_id": "lang_id",
+    "op2_token_counts": "token_counts",
     "op3_transport_stream": "ts_media",
     "op5_maxscore": "maxscore",
     "op6_packing": "packing",
@@ -60,9 +61,9 @@ FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id
 
 _MAXSCORE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
