@@ -15,6 +15,7 @@ _WHERE = {
     "op6_packing": "packing",
     "op7_mixing": "mixing",
     "op8_html_main": "html_main",
+    "op9_jaccard_join": "jaccard_join",
     "op10_secret_scan": "secret_scan",
 }
 
@@ -72,5 +73,23 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+_JACCARD = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM rows a JOIN rows b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM sets
+  UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id
+FROM sets s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m ON s.doc_id = m.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_maxscore": _MAXSCORE, "op7_mixing": _MIXING}
+    return {"op5_maxscore": _MAXSCORE, "op7_mixing": _MIXING, "op9_jaccard_join": _JACCARD}
