@@ -11,6 +11,7 @@ _WHERE = {
     "op1_language_id": "lang_id",
     "op2_token_counts": "token_counts",
     "op3_transport_stream": "ts_media",
+    "op4_quality": "quality",
     "op5_maxscore": "maxscore",
     "op6_packing": "packing",
     "op7_mixing": "mixing",
