@@ -226,8 +226,21 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(met.select("a", "b", "set_a", "set_b").mapInArrow(_verify, f"a {kind}, b {kind}"), "links")
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """id, n_shingles, component_id of every row.
+def with_prints(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """docs with _n and _fp: the size and the fingerprint of each row's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(len(h), _print(h)) for _, _, h in _sets(iter([batch]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([n for n, _ in sets], pa.int64()), pa.array([f for _, f in sets], pa.int64())], [*batch.schema.names[:-1], "_n", "_fp"])
+
+    picked = docs.select("*", F.col(text).alias("_text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
+    return picked.mapInArrow(run, fields + "_n bigint, _fp bigint")
+
+
+def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", prints: bool = False) -> DataFrame:
+    """id, n_shingles, component_id of every row; with prints, fp too (the fingerprint of its set).
 
     Rows are linked when 100 * intersection >= 75 * union of their sets of distinct 5-word shingles (texts of fewer words: the
     whole sequence is one shingle); component_id is the least id a row reaches. A text without words, or null, has an empty set
@@ -308,7 +321,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id")
     least = final.join(ids, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     of_class = materialize(final.join(least, "component").select(F.col("node.n").alias("n"), F.col("node.fp").alias("fp"), "component_id"), "of_class")
     out = documents.join(classes.select("n", "fp", F.col("id").alias("least")), ["n", "fp"], "left").join(of_class, ["n", "fp"], "left")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "least", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "least", "id").alias("component_id"), *([F.col("fp")] if prints else []))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

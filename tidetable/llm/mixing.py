@@ -24,13 +24,18 @@ HASH_HEX = 3
 TIME_SLICES = 1024
 
 
+def place(id: str, text: str):
+    """A hash of id and text: the same each time, and in no order that documents come in."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
+
+
 def sizes(docs: DataFrame, *, text: str = "text", source: str = "source", id: str = "doc_id") -> DataFrame:
     """id, source, size (words; 0 for a null text) and place: a hash of id and text that shuffles the documents the same way each time."""
     return docs.select(
         F.col(id).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.md5(F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))).alias("place"),
+        place(id, text).alias("place"),
     )
 
 
