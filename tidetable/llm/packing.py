@@ -12,8 +12,11 @@ counted in hash buckets first, so a length that a third of the corpus shares is
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_string, materialize, table
+from .common import as_string, materialize, row_slices, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -87,11 +90,18 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
     return runs
 
 
+#: Byte-level alphabet: bytes that aren't printable stand for the characters from 256 on, in order.
+_BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+#: A lone comma or full stop between a letter (or numeral) and white space: a token of its own.
+_LONE = re.compile(r"(?<=[^\W\d_])([,.])(?=[ \n]|\Z)")
+
+
 class WordIds:
-    """Ids of a text as its tokenizer gives them, with the ids of words remembered.
+    """Ids of texts as their tokenizer gives them, with the ids of words remembered.
 
-    Only for tokenizers whose tokens never reach across a space or a line feed and that drop
-    both; a text is cut there and each word is encoded once.
+    Only for tokenizers that lower-case, whose tokens never reach across a space or a line feed, that drop both, and that
+    part letters from punctuation; texts are cut there and each word is encoded once. The capital sigma is left to the
+    tokenizer, as its lower case depends on what follows.
     """
 
     def __init__(self, path: str):
@@ -101,23 +111,29 @@ class WordIds:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        young = self.young
-        missing = [w for w in words if w not in young]
-        if missing:
-            old, new = self.old, []
-            for w in dict.fromkeys(missing):
-                got = old.get(w)
-                if got is None:
-                    new.append(w)
-                else:
-                    young[w] = got
-            for start in range(0, len(new), 4096):
-                part = new[start : start + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    young[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([young[w] for w in words])
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [_LONE.sub(r" \1", t if "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        young, old, missing = self.young, self.old, set()
+        for words in cut:
+            missing.update(w for w in words if w not in young)
+        new = []
+        for w in missing:
+            if (got := old.get(w)) is None:
+                new.append(w)
+            else:
+                young[w] = got
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for w in new:
+            if w.isalpha() and max(w) < "\u0250" and w == w.lower() and is_normalized("NFC", w):
+                # one run of letters that normalising leaves alone: the model can have it as it is, in the byte alphabet
+                young[w] = array("I", [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            else:
+                rest.append(w)
+        for start in range(0, len(rest), 4096):
+            part = rest[start : start + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                young[w] = array("I", e.ids).tobytes()
+        out = [b"".join([young[w] for w in words]) for words in cut]
         if len(young) > CACHE_WORDS:
             self.old, self.young = young, {}
         return out
@@ -143,7 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
         for batch in batches:
             texts = as_string(batch.column(1))
             names = batch.column(0)
-            rows, starts, lengths, ids, totals, held = [], [], [], [], [], 0
+            rows, starts, lengths, ids, totals = [], [], [], [], []
 
             def flush() -> pa.RecordBatch:
                 out = pa.RecordBatch.from_arrays(
@@ -153,20 +169,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
                     x.clear()
                 return out
 
-            for i, value in enumerate(texts):
-                whole = encode(value.as_py()) + end
-                for at in range(0, len(whole), step):
-                    piece = whole[at : at + step]
-                    rows.append(i)
-                    starts.append(at // 4)
-                    lengths.append(len(piece) // 4)
-                    ids.append(piece)
-                    totals.append(len(whole) // 4)
-                held += len(whole)
-                if held > 4 << 20:
-                    yield flush()
-                    held = 0
-            if rows:
+            for lo, hi in row_slices(texts):
+                for i, whole in enumerate(encode(texts.slice(lo, hi - lo).to_pylist()), lo):
+                    whole += end
+                    for at in range(0, len(whole), step):
+                        piece = whole[at : at + step]
+                        rows.append(i)
+                        starts.append(at // 4)
+                        lengths.append(len(piece) // 4)
+                        ids.append(piece)
+                        totals.append(len(whole) // 4)
                 yield flush()
 
     picked = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
