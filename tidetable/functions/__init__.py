@@ -1 +1 @@
-
+from .columns import *  # noqa: F403
