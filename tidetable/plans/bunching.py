@@ -22,7 +22,12 @@ def events(arrivals: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
     A negative headway (the follower overtook) counts as bunched.
     """
-    kept = headways(arrivals).where(
+    return flagged(headways(arrivals), settings)
+
+
+def flagged(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Rows of headways() within the limits, with is_bunched, is_gapped and is_on_headway."""
+    kept = rows.where(
         F.col("leader_trip_id").isNotNull()
         & F.col("scheduled_headway_seconds").between(settings.headway_min_s, settings.headway_max_s)
         & (F.abs("actual_headway_seconds") <= settings.headway_actual_max_s)
