@@ -17,11 +17,11 @@ def col(x: Column | str) -> Column:
 
 
 def haversine_m(lat1, lon1, lat2, lon2, settings: Settings = DEFAULT) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; null where a coordinate is."""
     a, b, c, d = map(col, (lat1, lon1, lat2, lon2))
     half_lat, half_lon = F.radians(c - a) / 2, F.radians(d - b) / 2
     h = F.pow(F.sin(half_lat), 2.0) + F.cos(F.radians(a)) * F.cos(F.radians(c)) * F.pow(F.sin(half_lon), 2.0)
-    return 2.0 * settings.earth_radius_m * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2.0 * settings.earth_radius_m * F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h)))
 
 
 def gtfs_seconds(text) -> Column:

@@ -140,7 +140,7 @@ def decode_table(files: DataFrame, name: str, *, skip_bad: bool = True) -> DataF
     schema = StructType.fromDDL(SCHEMAS[name])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(schema, timezone="UTC")
+        arrow = to_arrow_schema(schema)
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
