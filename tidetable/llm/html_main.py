@@ -47,6 +47,8 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 #: Elements nested deeper than this belong to the one at this depth (their blocks stay apart). Beyond so many pairs of
 #: children, two nodes' children are aligned by label alone; beyond so many children, like ones merge wherever they stand.
 DEEPEST, MOST_PAIRS, MOST_CHILDREN = 120, 4096, 32
+#: Elements that come in rows: neighbours with one label are one repeated node.
+ITEMS = frozenset("p li dt dd tr td th h2 h3 h4 h5 h6 blockquote pre hr figure option".split())
 #: An end tag or an implied end never reaches out of these.
 WALL = frozenset("table ul ol dl article section main aside nav body".split())
 _MARK = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -159,12 +161,12 @@ class Slot:
 
 
 def fold(nodes: list[Node]) -> Slot:
-    """Like siblings in a row (same label) become one repeated node."""
+    """Like siblings in a row (same label, of the elements that come in rows) become one repeated node."""
     slot = Slot(nodes[0].label, nodes[0].tag, nodes[0].out)
     slot.nodes = nodes
     run: list[Node] = []
     for child in (c for n in nodes for c in n.children):
-        if run and run[0].label != child.label:
+        if run and (run[0].label != child.label or child.tag not in ITEMS):
             slot.children.append(fold(run))
             run = []
         run.append(child)

@@ -211,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 5000, unlabelled:
     share_l, share_u = min(1.0, labelled / n_labels), min(1.0, unlabelled / max(n_docs, n_labels))
     known = judged.where(draw < max(share_l, share_u)).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     # known: at most about labelled + unlabelled rows, as both shares are bounded by them
+    docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
     rows = docs.where(draw < share_l).join(F.broadcast(known.where(draw < share_l)), "doc_id").withColumn("label", (F.col("quality") >= 0.5).cast("int")).drop("quality")
     rest = docs.where(draw < share_u).join(F.broadcast(known.where(draw < share_u)), "doc_id", "left_anti").withColumn("label", F.lit(-1))
     got = _with_features(rows.unionByName(rest), ("doc_id", "label")).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
@@ -220,8 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 5000, unlabelled:
     return co_train(stack("content", CONTENT), stack("meta", META), got["label"].to_numpy(), seed=seed)
 
 
-def score(spark: SparkSession, docs: DataFrame, model: QualityModel | None, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns and `quality` (0 to 1) of every row. A null text is the empty one; without a model every score is 1 (nothing is rejected unlearned)."""
+def score(spark: SparkSession, docs: DataFrame, model: QualityModel | None, *, keep: tuple[str, ...] = ("doc_id",), out_name: str = "quality") -> DataFrame:
+    """keep columns and `quality` (or out_name; 0 to 1) of every row. A null text is the empty one; without a model every score is 1 (nothing is rejected unlearned)."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +232,15 @@ def score(spark: SparkSession, docs: DataFrame, model: QualityModel | None, *, k
             if m is None:
                 value = np.ones(batch.num_rows)
             else:
-                meta = meta_features(*(batch.column(c) for c in ("_source", "_lang", "_n_chars")))
-                texts, value = as_string(batch.column("_text")), np.zeros(batch.num_rows)
+                meta = meta_features(*(batch.column(c) for c in ("_in_source", "_in_lang", "_in_n_chars")))
+                texts, value = as_string(batch.column("_in_text")), np.zeros(batch.num_rows)
                 for lo, hi in row_slices(texts):
                     value[lo:hi] = m.score(content_features(texts.slice(lo, hi - lo)).astype(np.float64), meta[lo:hi].astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(value, pa.float64())], [*batch.schema.names[:n], "quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(value, pa.float64())], [*batch.schema.names[:n], out_name])
 
-    picked = docs.select(*keep, *(F.col(c).alias("_" + c) for c in ("text", "source", "lang", "n_chars")))
+    picked = docs.select(*keep, *(F.col(c).alias("_in_" + c) for c in ("text", "source", "lang", "n_chars")))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[: len(keep)])
-    return picked.mapInArrow(run, fields + "quality double")
+    return picked.mapInArrow(run, fields + f"`{out_name}` double")
 
 
 #: Documents below this score are rejected.

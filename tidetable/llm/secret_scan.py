@@ -88,8 +88,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty,
     return out
 
 
-def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.9) -> DataFrame:
-    """keep columns and `spans`: array of (kind, start, end), by start, then kind as listed in KINDS; code points, end exclusive.
+def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.9, out_name: str = "spans") -> DataFrame:
+    """keep columns and `spans` (or out_name): array of (kind, start, end), by start, then kind as listed in KINDS; code points, end exclusive.
 
     A null or empty text, or one without a finding, has an empty array. Every row comes back once.
     """
@@ -110,18 +110,18 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
                     found = base_spans(value) if base[i].as_py() else []
                     more = novel_spans(value, found, novelty, least=least) if other[i].as_py() else []
                     out[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found + more)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array(out, pa.list_(span))], [*batch.schema.names[:-1], "spans"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array(out, pa.list_(span))], [*batch.schema.names[:-1], out_name])
 
     picked = docs.select(*keep, F.col(text).alias("_text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, fields + "spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return picked.mapInArrow(run, fields + f"`{out_name}` array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by mark (overlapping spans by one mark), n_chars following the text where there is such a column."""
     names = docs.columns
-    found = scan(docs, text=text, keep=tuple(names))
-    start_of = F.expr("array_sort(transform(spans, s -> struct(s.start as start, s.end as end)))")
+    found = scan(docs, text=text, keep=tuple(names), out_name="_secrets")
+    start_of = F.expr("array_sort(transform(_secrets, s -> struct(s.start as start, s.end as end)))")
     # walk the sorted spans: keep the text between them; `at` is where the last one ended
     walked = F.aggregate(
         start_of,
@@ -132,7 +132,7 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> Da
         ),
         lambda acc: F.concat(acc["done"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    out = found.withColumn(text, F.when(F.size("spans") > 0, walked).otherwise(F.col(text))).drop("spans")
+    out = found.withColumn(text, F.when(F.size("_secrets") > 0, walked).otherwise(F.col(text))).drop("_secrets")
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
