@@ -31,7 +31,7 @@ from .word_hash import distinct_shingles, mix
 OVER, UNDER = 75, 100
 #: A shingle counts as frequent from so many classes on; the list of frequent ones that orders the rest is this long at
 #: most (what it leaves out is ordered by hash: more work, same result). Shingles are counted in windows of this many.
-FREQUENT, FREQUENT_LIST, WINDOW = 24, 1 << 18, 1 << 22
+FREQUENT, FREQUENT_LIST, WINDOW = 8, 1 << 18, 1 << 22
 #: Earlier shared shingles of a class that each prefix entry carries, to meet a pair in one list rather than in all.
 EARLIER = 8
 #: Up to so many classes are told to the scan of texts by broadcast (8 bytes each); beyond, by a join.
@@ -206,20 +206,38 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "id")
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _could_link(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share enough: an overlap is at most what the prefixes share, and one set's rest.
+
+    own: of each class, the shingles of its prefix that other classes have, too (all that it can share there).
+    """
+    met = pairs.join(own.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
+    na, nb = F.col("a.n"), F.col("b.n")
+    rest = F.expr(f"(greatest(a.n, b.n) * {OVER} + {UNDER - 1}) div {UNDER} - 1")
+    need = F.expr(f"((a.n + b.n) * {OVER} + {UNDER + OVER - 1}) div {UNDER + OVER}")
+    fits = F.least(na, nb) * UNDER >= F.greatest(na, nb) * OVER
+    return met.where(fits & (F.size(F.array_intersect("own_a", "own_b")) + rest >= need)).select("a", "b")
+
+
+def _links(docs: DataFrame, classes: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b: structs of n and fp) whose whole sets are linked; written."""
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(_could_link(pairs, own), "pairs")
     ends = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).distinct()
     wanted = materialize(ends.join(classes.withColumn("a", F.struct("n", "fp")), "a").select("id", "n", "fp"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch, i, h in _sets(batches):
+            n, fp = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
             # an id that is there twice may have another text as well
-            if len(h) == batch.column(0)[i].as_py() and _print(h) == batch.column(1)[i].as_py():
+            if len(h) == n and _print(h) == fp and (n, fp) not in seen:
+                seen.add((n, fp))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([h.astype("<i8").tobytes()], pa.binary())], ["n", "fp", "data"])
 
     sets = _texts_of(docs, wanted).select("n", "fp", "text").mapInArrow(run, "n bigint, fp bigint, data binary")
-    sets = materialize(sets.groupBy(F.struct("n", "fp").alias("key")).agg(F.any_value("data").alias("data")), "sets")
+    sets = materialize(sets.select(F.struct("n", "fp").alias("key"), "data"), "sets")
+    if sets.count() > wanted.count():  # rows that are there twice
+        sets = materialize(sets.dropDuplicates(["key"]), "sets")
     met = pairs.join(sets.select(F.col("key").alias("a"), F.col("data").alias("set_a")), "a")
     met = met.join(sets.select(F.col("key").alias("b"), F.col("data").alias("set_b")), "b").sortWithinPartitions("b")
     kind = "struct<n:bigint,fp:bigint>"
@@ -297,7 +315,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     # neighbours by size
     near = lists.where((F.col("prev_n") > 0) & (F.col("prev_n") * UNDER >= F.col("n") * OVER))
     first = near.select(F.struct(F.col("prev_n").alias("n"), F.col("prev_fp").alias("fp")).alias("a"), F.struct("n", "fp").alias("b")).distinct()
-    linked = _links(rows, classes, first)
+    own = lists.groupBy(F.struct("n", "fp").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]).alias("own"))  # a set's prefix at most
+    own = materialize(own, "own")
+    linked = _links(rows, classes, own, first)
     groups = materialize(components(linked.select("a", "b")), "groups")
 
     # lists that still hold different groups
@@ -306,13 +326,13 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     named = materialize(named, "named")
     mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
     left = named.join(mixed, "h", "left_semi")
-    own = left.groupBy("n", "fp").agg(F.min("comp").alias("comp"), F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("own"))  # a set's prefix at most
-    left = own.select("n", "fp", "comp", "own", F.posexplode("own").alias("k", "e"))
+    parts = left.groupBy("n", "fp").agg(F.min("comp").alias("comp"), F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("own"))  # a set's prefix at most
+    left = parts.select("n", "fp", "comp", "own", F.posexplode("own").alias("k", "e"))
     left = left.select(F.col("e.h").alias("h"), "n", "fp", F.col("e.pos").alias("pos"), "comp", F.transform(F.slice("own", 1, F.least(F.col("k"), F.lit(EARLIER))), lambda x: x["h"]).alias("earlier"))
     again = left.groupBy("h").applyInArrow(_meet, "an bigint, afp bigint, bn bigint, bfp bigint")
     second = again.select(F.struct(F.col("an").alias("n"), F.col("afp").alias("fp")).alias("a"), F.struct(F.col("bn").alias("n"), F.col("bfp").alias("fp")).alias("b")).distinct()
     second = second.join(first, ["a", "b"], "left_anti")
-    more = _links(rows, classes, second)
+    more = _links(rows, classes, own, second)
 
     # all links, as links of the classes' least ids
     whole = linked.unionAll(more).select("a", "b")
