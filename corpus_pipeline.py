@@ -22,7 +22,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the co-trained classifier accepts."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     names = docs.columns
-    return quality.score(spark, docs, model, keep=tuple(names)).where(F.col("quality") >= quality.ACCEPT).select(*names)
+    return quality.score(spark, docs, model, keep=tuple(names), out_name="_quality").where(F.col("_quality") >= quality.ACCEPT).select(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return kept
     # rows of one id: of those in the group that this id names, the one with the least print and text stays
     again = jaccard_join.with_prints(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
-    groups = found.join(repeated, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("_n"), F.col("fp").alias("_fp"), "component_id").distinct()
-    named = again.join(groups, ["doc_id", "_n", "_fp"]).where("_n = 0 OR component_id = doc_id")
-    best = F.min_by(F.struct(*docs.columns), F.struct("_fp", F.md5("text"))).alias("row")
-    one = named.where("_n > 0").groupBy("doc_id", "component_id").agg(best).select("row.*")
+    groups = found.join(repeated, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("_n"), F.col("fp").alias("_fp"), F.col("node").alias("_node"), F.col("component_id").alias("_least")).distinct()
+    named = again.join(groups, ["doc_id", "_n", "_fp"]).where("_n = 0 OR _least = doc_id")
+    best = F.min_by(F.struct(*docs.columns), F.struct("_n", "_fp", F.md5("text"))).alias("_row")
+    one = named.where("_n > 0").groupBy("doc_id", "_node").agg(best).select("_row.*")
     return kept.unionByName(one).unionByName(named.where("_n = 0").select(*docs.columns))
 
 

@@ -258,7 +258,8 @@ def with_prints(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", prints: bool = False) -> DataFrame:
-    """id, n_shingles, component_id of every row; with prints, fp too (the fingerprint of its set).
+    """id, n_shingles, component_id of every row; with prints, fp (the fingerprint of its set) and node (what names its
+    group, where one id has rows in several groups) too.
 
     Rows are linked when 100 * intersection >= 75 * union of their sets of distinct 5-word shingles (texts of fewer words: the
     whole sequence is one shingle); component_id is the least id a row reaches. A text without words, or null, has an empty set
@@ -339,9 +340,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     final = components(whole)
     ids = classes.select(F.struct("n", "fp").alias("node"), "id")
     least = final.join(ids, "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    of_class = materialize(final.join(least, "component").select(F.col("node.n").alias("n"), F.col("node.fp").alias("fp"), "component_id"), "of_class")
+    of_class = materialize(final.join(least, "component").select(F.col("node.n").alias("n"), F.col("node.fp").alias("fp"), "component", "component_id"), "of_class")
     out = documents.join(classes.select("n", "fp", F.col("id").alias("least")), ["n", "fp"], "left").join(of_class, ["n", "fp"], "left")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "least", "id").alias("component_id"), *([F.col("fp")] if prints else []))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "least", "id").alias("component_id"), *([F.col("fp"), F.coalesce("component", F.struct("n", "fp")).alias("node")] if prints else []))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
