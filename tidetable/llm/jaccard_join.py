@@ -33,7 +33,7 @@ OVER, UNDER = 75, 100
 #: most (what it leaves out is ordered by hash: more work, same result). Shingles are counted in windows of this many.
 FREQUENT, FREQUENT_LIST, WINDOW = 8, 1 << 18, 1 << 22
 #: Earlier shared shingles of a class that each prefix entry carries, to meet a pair in one list rather than in all.
-EARLIER = 8
+EARLIER, MAX_PAIRS = 16, 1 << 17
 #: Up to so many classes are told to the scan of texts by broadcast (8 bytes each); beyond, by a join.
 BROADCAST_ROWS = 1_000_000
 
@@ -173,30 +173,57 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
 
-def _meet(group: pa.Table) -> pa.Table:
-    """The pairs of one prefix list that lie in different groups, fit in size and could be meeting here first."""
-    n, fp, pos, comp = (group[c].to_numpy() for c in ("n", "fp", "pos", "comp"))
-    order = np.lexsort((fp, n))
-    n, fp, pos, comp = n[order], fp[order], pos[order], comp[order]
-    earlier = np.zeros((len(n), EARLIER), np.int64)
-    known = np.zeros((len(n), EARLIER), bool)
-    lists = group["earlier"].to_pylist()
-    for k, i in enumerate(order):
-        x = lists[i]
-        earlier[k, : len(x)], known[k, : len(x)] = x, True
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    top = np.searchsorted(n, n * UNDER // OVER, "right")
-    for i in range(len(n)):
-        j = np.arange(i + 1, top[i])
-        j = j[comp[j] != comp[i]]
-        j = j[np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j])]
-        if not len(j):
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of prefix lists that lie in different groups, fit in size and could be meeting here first.
+
+    Rows come sorted by (shingle, n, fp), so a list is a stretch of rows; all lists of a batch are worked through together,
+    some MAX_PAIRS pairs at a time. A list that a batch cuts is kept for the next one.
+    """
+    kept: pa.RecordBatch | None = None
+
+    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        h, n, fp, pos, comp = (rows.column(c).to_numpy() for c in ("h", "n", "fp", "pos", "comp"))
+        lists = rows.column("earlier")
+        size = lists.value_lengths().to_numpy()
+        flat = lists.flatten().to_numpy()
+        slot = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        earlier, known = np.zeros((len(h), EARLIER), np.int64), np.arange(EARLIER)[None, :] < size[:, None]
+        earlier[np.repeat(np.arange(len(h)), size), slot] = flat
+        begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        length = np.diff(np.append(begins, len(h)))
+        end = np.repeat(begins + length, length)
+        partners = end - np.arange(len(h)) - 1
+        upto = np.cumsum(partners)
+        start = 0
+        while start < len(h):
+            stop = max(start + 1, int(np.searchsorted(upto, upto[start] - partners[start] + MAX_PAIRS, "right")))
+            i = np.repeat(np.arange(start, stop), partners[start:stop])
+            j = i + 1 + np.arange(len(i)) - np.repeat(upto[start:stop] - partners[start:stop] - (upto[start] - partners[start]), partners[start:stop])
+            start = stop
+            good = (comp[i] != comp[j]) & (n[j] * OVER <= n[i] * UNDER)
+            i, j = i[good], j[good]
+            good = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j])
+            i, j = i[good], j[good]
+            met = np.zeros(len(i), bool)
+            for k in range(EARLIER):
+                met |= ((earlier[j] == earlier[i, k][:, None]) & known[j] & known[i, k][:, None]).any(1)
+            i, j = i[~met], j[~met]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (n[i], fp[i], n[j], fp[j])], ["an", "afp", "bn", "bfp"])
+
+    for batch in batches:
+        if kept is not None:
+            batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+            kept = None
+        if not batch.num_rows:
             continue
-        again = ((earlier[j][:, :, None] == earlier[i][None, None, :]) & known[j][:, :, None] & known[i][None, None, :]).any((1, 2))
-        j = j[~again]
-        for store, x in zip(out, (np.full(len(j), n[i]), np.full(len(j), fp[i]), n[j], fp[j])):
-            store.append(x)
-    return pa.table({name: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for name, x in zip(("an", "afp", "bn", "bfp"), out)})
+        h = batch.column("h").to_numpy()
+        cut = int(np.searchsorted(h, h[-1], "left"))  # where the last list begins
+        kept = batch.slice(cut)
+        if cut:
+            yield from pairs(batch.slice(0, cut))
+    if kept is not None:
+        yield from pairs(kept)
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -330,7 +357,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     parts = left.groupBy("n", "fp").agg(F.min("comp").alias("comp"), F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("own"))  # a set's prefix at most
     left = parts.select("n", "fp", "comp", "own", F.posexplode("own").alias("k", "e"))
     left = left.select(F.col("e.h").alias("h"), "n", "fp", F.col("e.pos").alias("pos"), "comp", F.transform(F.slice("own", 1, F.least(F.col("k"), F.lit(EARLIER))), lambda x: x["h"]).alias("earlier"))
-    again = left.groupBy("h").applyInArrow(_meet, "an bigint, afp bigint, bn bigint, bfp bigint")
+    left = left.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "n", "fp")
+    again = left.mapInArrow(_meet, "an bigint, afp bigint, bn bigint, bfp bigint")
     second = again.select(F.struct(F.col("an").alias("n"), F.col("afp").alias("fp")).alias("a"), F.struct(F.col("bn").alias("n"), F.col("bfp").alias("fp")).alias("b")).distinct()
     second = second.join(first, ["a", "b"], "left_anti")
     more = _links(rows, classes, own, second)
