@@ -65,8 +65,3 @@ def row_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         end = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
         yield start, end
         start = end
-
-
-def spread(df: DataFrame, label: str) -> DataFrame:
-    """Rows in order-free, even partitions (no key, so a hot key can't skew them)."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
