@@ -545,6 +545,17 @@ def test_base_spans_and_screens(text):
         assert pc.match_substring_regex(pa.array([text]), "|".join(secret_scan._SCREEN))[0].as_py()
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])), "".join(map(chr, [*range(47, 58), *range(65, 91), *range(97, 123)])) + "+"])
+def test_random_strings_of_any_alphabet_are_novel(alphabet):
+    draw, novelty = np.random.default_rng(3), secret_scan.Novelty()
+    for size in (20, 64, 100, 128, 344, 512, 2000):
+        for _ in range(5):
+            value = "23" + "".join(draw.choice(list(alphabet), size - 2))
+            assert secret_scan.novel_spans("auth: " + value, [], novelty) == [(6, 3, 6 + size)]
+    for known in ("ab12" * 40, "get_secret_access_token_refresh_token_client_secret_process.env_12_password_hash_process.env"):
+        assert secret_scan.novel_spans("auth: " + known, [], novelty) == []
+
+
 def test_secret_query(spark):
     sf = SF.replace("0.001", "0.01")
     texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")

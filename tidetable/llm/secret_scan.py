@@ -3,8 +3,8 @@
 Base patterns report assignments, access keys and long hexadecimal runs. Beyond those, every
 token-like string in a sensitive context (a word like "key" or "auth" shortly before it on its
 line) is compressed with zstandard, primed with a dictionary of code identifiers and the text
-around the string; one whose marginal compressed size stays near its length says nothing that
-its surroundings say, and is reported.
+around the string; one whose marginal compressed size stays near that of a random string of its
+length and alphabet says nothing that its surroundings say, and is reported.
 
 Texts are screened in bulk first (Arrow's linear-time regular expressions, exact: a text that
 passes none has no span), and only the rest is searched value by value.
@@ -12,7 +12,9 @@ passes none has no span), and only the rest is searched value by value.
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,6 +44,28 @@ IDENTIFIERS = (
     "your_api_key_here changeme xxxxxxxxxxxxxxxx src/main/java/com/example node_modules/package.json "
 )
 
+#: Alphabets that secrets are written in, small ones first.
+_ALPHABETS = tuple((a, frozenset(a)) for a in ("0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.digits + string.ascii_letters))
+_RUN = re.compile(r"(?<![A-Za-z0-9])0[xX]|[A-Za-z0-9]+")
+#: zstandard stores shorter strings as they are; longer ones are entropy-coded, so that a small alphabet takes less than its bytes.
+CODED = 63
+
+
+def _alphabet(value: str) -> str:
+    used = set(value)
+    return next(a for a, members in _ALPHABETS if used <= members)
+
+
+def twin(value: str) -> str:
+    """A random string of the same length and alphabets: runs of 16 or more letters and digits have their own, shorter ones that of all."""
+    draw, runs = random.Random(len(value)), [m.group() for m in _RUN.finditer(value)]
+    common = _alphabet("".join(r for r in runs if r not in ("0x", "0X")))
+
+    def drawn(m: re.Match) -> str:
+        return "".join(draw.choices(_alphabet(m.group()) if len(m.group()) >= 16 else common, k=len(m.group())))
+
+    return _RUN.sub(drawn, value)
+
 
 class Novelty:
     """Marginal compressed bytes of a string, given text around it and the identifier dictionary."""
@@ -57,9 +81,13 @@ class Novelty:
         return len(writer.compress(data))
 
     def ratio(self, value: str, around: str) -> float:
-        """Compressed bytes beyond an empty frame's, over the value's bytes."""
+        """Compressed bytes beyond an empty frame's, over the value's bytes or, if less, those that its random twin takes."""
         data, primed = value.encode(), self._fixed + around.encode()
-        return (self._size(data, primed) - self._size(b"", primed)) / max(1, len(data))
+        empty = self._size(b"", primed)
+        size, whole = self._size(data, primed) - empty, max(1, len(data))
+        if len(data) >= CODED and size < whole:
+            whole = min(whole, max(1, self._size(twin(value).encode(), primed) - empty))
+        return size / whole
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,7 +100,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, *, least: float = 0.9, reach: int = 48, around: int = 256) -> list[tuple[int, int, int]]:
     """Candidates of 16 or more token characters, with letters and at least two digits, that follow a context word within
-    `reach` characters on their line, don't overlap a base span, and compress to `least` of their size or more."""
+    `reach` characters on their line, don't overlap a base span, and compress to `least` or more of what a random string of their length and alphabet takes."""
     out = []
     for m in _TOKEN.finditer(text):
         start, end = m.span()
