@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and strings that a primed compressor finds new.
 
 Base patterns report assignments, access keys and long hexadecimal runs. Beyond those, every
-token-like string in a sensitive context (a word like "key" or "auth" shortly before it on its
-line) is compressed with zstandard, primed with a dictionary of code identifiers and the text
+token-like string in a sensitive context (a word like "key" or "auth" before it on its line, in
+its own head, as in AUTH=value, or on the line before, and all through a private key block) is compressed with zstandard, primed with a dictionary of code identifiers and the text
 around the string; one whose marginal compressed size stays near that of a random string of its
 length and alphabet says nothing that its surroundings say, and is reported.
 
@@ -35,6 +35,14 @@ CONTEXT_WORD = r"(?i:key|token|secret|passw|pwd|auth|credential|private|bearer|s
 _CANDIDATE = r"[A-Za-z0-9+/_=.-]{16,}"
 _CONTEXT = re.compile(CONTEXT_WORD)
 _TOKEN = re.compile(_CANDIDATE)
+_LINE = re.compile(r"[^\n]+")
+#: What a line that is one token may have around it; the lines around a private key.
+_MARKS = string.punctuation + string.whitespace
+_BEGIN, _END = re.compile(r"-----BEGIN [^\n]*PRIVATE KEY"), re.compile(r"-----END ")
+#: A name with its '=' before a value; the end of a head; runs after it that are no words: long ones, or with letters and digits in turn.
+_ASSIGNED = re.compile(r"[-./]*[A-Za-z_][A-Za-z0-9_./-]*=(?=[^=])")
+_HEAD_END = re.compile(r"[-_./=]+")
+_LONG, _MIXED = re.compile(r"[A-Za-z0-9]{8,}"), re.compile(r"[A-Za-z][0-9]+[A-Za-z]|[0-9][A-Za-z]+[0-9]")
 #: Identifiers and file parts that code is full of: strings made of these are not new.
 IDENTIFIERS = (
     "import from return function class public private static const let var def self this null true false string int float "
@@ -98,21 +106,59 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, *, least: float = 0.9, reach: int = 48, around: int = 256) -> list[tuple[int, int, int]]:
-    """Candidates of 16 or more token characters, with letters and at least two digits, that follow a context word within
-    `reach` characters on their line, don't overlap a base span, and compress to `least` or more of what a random string of their length and alphabet takes."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        start, end = m.span()
-        value = m.group()
-        if sum(c.isdigit() for c in value) < 2 or not any(c.isalpha() for c in value):
-            continue
-        lead = text[max(0, start - reach) : start]
-        lead = lead[lead.rfind("\n") + 1 :]
-        if not _CONTEXT.search(lead) or any(a < end and start < b for a, _, b in taken):
+def sensitive(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, from) of the lines with context: at and after `from`, a string has a context word before it.
+
+    A word counts for the rest of its line and for the next line that isn't blank; a line that is one token passes on what it
+    has (wrapped values), and all lines of a private key block have context.
+    """
+    carried = block = False
+    for line in _LINE.finditer(text):
+        start, end = line.span()
+        if not text[start:end].strip():
             continue
-        if novelty.ratio(value, text[max(0, start - around) : start] + text[end : end + around]) >= least:
-            out.append((start, 3, end))
+        word = _CONTEXT.search(text, start, end)
+        if carried:
+            yield start, end, start
+        elif word:
+            yield start, end, word.end()
+        # the end of a block is no context for what follows
+        block = (block or _BEGIN.search(text, start, end) is not None) and _END.search(text, start, end) is None
+        carried = block or word is not None and _END.search(text, start, end) is None or carried and _TOKEN.fullmatch(text[start:end].strip(_MARKS)) is not None
+
+
+def candidates(start: int, end: int, known: int, value: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what may be a secret in a token, the surest first: the value after a name and '=', with the name apart; the
+    whole; what follows a context word in its own head. Only what has the context (from `known`) before it."""
+    cut = _ASSIGNED.match(value)
+    if cut and start + cut.end() >= known:
+        yield start + cut.end(), end
+        if start >= known:
+            yield start, start + cut.end() - 1
+    if start >= known:
+        yield start, end
+    elif known < end and (head := _HEAD_END.search(value, known - start)) and any(len(m.group()) >= 16 or _MIXED.search(m.group()) for m in _LONG.finditer(value, head.end())):
+        yield start + head.end(), end
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, *, least: float = 0.9, around: int = 256) -> list[tuple[int, int, int]]:
+    """Candidates of 16 or more token characters, with letters and at least two digits, that have a context word before them,
+    don't overlap a base span, and compress to `least` or more of what a random string of their length and alphabet takes."""
+    out: list[tuple[int, int, int]] = []
+    for first, last, known in sensitive(text):
+        for m in _TOKEN.finditer(text, first, last):
+            if m.end() <= known:
+                continue
+            done: list[tuple[int, int]] = []
+            for start, end in candidates(*m.span(), known, m.group()):
+                value = text[start:end]
+                if end - start < 16 or sum(c.isdigit() for c in value) < 2 or not any(c.isalpha() for c in value):
+                    continue
+                if any(a < end and start < b for a, b in done) or any(a < end and start < b for a, _, b in taken):
+                    continue
+                if novelty.ratio(value, text[max(0, start - around) : start] + text[end : end + around]) >= least:
+                    done.append((start, end))
+            out += [(a, 3, b) for a, b in done]
     return out
 
 
@@ -130,8 +176,8 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
             for lo, hi in row_slices(texts, 8 << 20):
                 part = texts.slice(lo, hi - lo)
                 base = pc.match_substring_regex(part, "|".join(_SCREEN))
-                # a candidate with a context word before it on its line
-                other = pc.match_substring_regex(part, CONTEXT_WORD + r"[^\n]*?[A-Za-z0-9+/_=.-]{16}")
+                # a candidate's characters after a context word, on whatever line
+                other = pc.match_substring_regex(part, r"(?s)" + CONTEXT_WORD + r".*?[A-Za-z0-9+/_=.-]{16}")
                 out: list[list[dict]] = [[] for _ in range(hi - lo)]
                 for i in pc.indices_nonzero(pc.or_(base, other)).to_pylist():
                     value = part[i].as_py()
