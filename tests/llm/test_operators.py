@@ -368,6 +368,26 @@ def test_wrapper_without_names():
     assert got == "beta " * 11 + "beta\n" + " ".join((("beta " * 12) + "more " + "beta " * 12).split())
 
 
+LAYOUT = "<body class='{c}'><div class=top><p>Site</p></div>{before}<div class='site-footer'>bye {t}</div></body>"
+STORY = "<p>story {t}</p><p>more {t}</p>"
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        *(f"<div class='{c}'>{STORY}</div>" for c in ("content has-sidebar", "no-sidebar", "entry with-comments", "post category-search", "post category-social", "layout-right-sidebar", "right-sidebar", "post comments-closed")),
+        f"<article class='post comments-closed'>{STORY}</article>", f"<div class='wide-banner'><main>{STORY}</main></div>", f"<div class='content sidebar'><article class='tags'>{STORY}</article><div class='sidebar'>{{t}}</div></div>",
+        f"<div class=content>{STORY}<div class='post-comments'>{'I say {t} ' * 20}</div></div>", f"<div class=content>{STORY}</div><div class='right-sidebar'>see {{t}}</div>",
+        f"<article>{STORY}</article><ol class='comment-list'><li class='comment'><article class='comment-body'><p>{'I say {t} ' * 20}</p></article></ol>",
+    ],
+)
+def test_names_give_way_to_what_varies(spark, inner):
+    words = [f"w{k} x{k * k}" for k in range(12)]
+    rows = [(k, "http://a/", LAYOUT.format(c="page has-sidebar", before=inner, t="{t}").replace("{t}", w)) for k, w in enumerate(words)]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"story {w}\nmore {w}" for k, w in enumerate(words)}
+
+
 def test_pages_query(spark):
     import html
 

@@ -6,8 +6,10 @@ every other page of that host is aligned with it by simple tree matching, and pe
 the pages that match it and those with the very same text are counted. Nodes that stay the same
 are template; the others are slots. The content region is found by going down from the root into
 the child that holds most of the varying text, with the elements' names as prior: navigation,
-headers, footers, asides, notices, adverts, forms and comments are never content, an article or
-main element that varies always is. A page's text is what its nodes under that region hold.
+headers, footers, asides, notices, adverts, forms and comments are no content, an article or
+main element that varies is. Variation overrides names in classes, ids and roles: one that holds
+most of the varying text, or without which none is left, doesn't count. A page's text is what
+its nodes under that region hold.
 
 Only counts and one page a host are moved, never groups of pages; a host with a third of all
 pages is counted in parts.
@@ -19,6 +21,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from collections.abc import Set as AbstractSet
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +40,12 @@ OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu menus nav navbar navigation newsletter notice notices "
     "notification pager pagination popup popups promo promos promotion promotions related recommended reply replies respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets complementary contentinfo search alert modal overlay gdpr".split()
 )
+#: Words that make the names after them in a class a layout or a topic ("has-sidebar", "category-search").
+QUALIFIERS = frozenset("has have no not non with without is layout template type format category categories cat tag term topic".split())
+#: Words after a name that make it a state ("comments-closed").
+STATES = frozenset("open opened closed on off enabled disabled none".split())
+#: Names of regions that may hold more varying text than the page's own; they give way only if nothing else is left.
+LISTS = frozenset("comment comments disqus related recommended reply replies respond".split())
 CONTENT = frozenset(("article", "main"))
 #: Start tags that end an open element of the kinds named (the optional end tags).
 CLOSES = {
@@ -57,25 +66,42 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    """A block element: label, whether its names mark it as no content, parent, children, and its text as runs in page order."""
+    """A block element: label, whether its kind marks it as no content and whether its names do (2 for those in LISTS), parent,
+    children, and its text as runs in page order."""
 
-    __slots__ = ("label", "tag", "out", "parent", "children", "texts", "depth")
+    __slots__ = ("label", "tag", "out", "named", "parent", "children", "texts", "depth")
 
-    def __init__(self, tag: str, label: str, out: bool, parent: Node | None):
-        self.tag, self.label, self.out, self.parent = tag, label, out, parent
+    def __init__(self, tag: str, label: str, out: bool, named: int, parent: Node | None):
+        self.tag, self.label, self.out, self.named, self.parent = tag, label, out, named, parent
         self.depth: int = parent.depth + 1 if parent else 0
         self.children: list[Node] = []
         self.texts: list[int] = []  # numbers of the page's blocks
 
 
-def _attributes(raw: str, tag: str) -> tuple[str, bool]:
-    names = [w for m in _NAMES.finditer(raw) for w in _NAME.findall((m[1] or m[2] or m[3] or "").lower())] if "=" in raw else []
-    return (f"{tag}.{names[0]}" if names else tag), tag in OUT or any(n in OUT_NAMES for n in names) and tag not in ("html", "body")
+def _named(token: str) -> int:
+    """What one class, id or role says: 0 nothing, 1 no content, 2 a list beside the content."""
+    words = _NAME.findall(token)
+    for k, word in enumerate(words):
+        if word in OUT_NAMES and not STATES.intersection(words[k + 1 : k + 2]):
+            return 2 if word in LISTS else 1
+        if word in QUALIFIERS:
+            break
+    return 0
+
+
+def _attributes(raw: str, tag: str) -> tuple[str, bool, int]:
+    tokens = [w for m in _NAMES.finditer(raw) for w in (m[1] or m[2] or m[3] or "").lower().split()] if "=" in raw else []
+    first = next((m[0] for w in tokens if (m := _NAME.search(w))), None)
+    if tag in CONTENT:  # only one that is a comment itself
+        named = 2 * any(w in LISTS for w in tokens)
+    else:
+        named = 0 if tag in ("html", "body") else max(map(_named, tokens), default=0)
+    return (f"{tag}.{first}" if first else tag), tag in OUT, named
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The page's tree and its blocks in page order: (element, text). Never fails: any text is some page."""
-    root = at = Node("", "", False, None)
+    root = at = Node("", "", False, 0, None)
     blocks: list[tuple[Node, str]] = []
     held: list[str] = []
     flat: dict[str, int] = {}  # open elements too deep to be nodes of their own
@@ -138,11 +164,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             node = node.parent
         if tag in VOID:
             continue
-        label, out = _attributes(m[3], tag)
-        if at.depth >= DEEPEST and not (out and not at.out):
+        label, out, named = _attributes(m[3], tag)
+        if at.depth >= DEEPEST and not ((out or named) and not (at.out or at.named)):
             flat[tag] = flat.get(tag, 0) + 1
             continue
-        child = Node(tag, label, out, at)
+        child = Node(tag, label, out, named, at)
         at.children.append(child)
         at = child
     end_block()
@@ -152,17 +178,17 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
 class Slot:
     """A wrapper-tree node: like siblings merged. Its key is its path of labels."""
 
-    __slots__ = ("label", "out", "children", "nodes", "tag")
+    __slots__ = ("label", "out", "named", "children", "nodes", "tag")
 
-    def __init__(self, label: str, tag: str, out: bool):
-        self.label, self.tag, self.out = label, tag, out
+    def __init__(self, label: str, tag: str, out: bool, named: int):
+        self.label, self.tag, self.out, self.named = label, tag, out, named
         self.children: list[Slot] = []
         self.nodes: list[Node] = []
 
 
 def fold(nodes: list[Node]) -> Slot:
     """Like siblings in a row (same label, of the elements that come in rows) become one repeated node."""
-    slot = Slot(nodes[0].label, nodes[0].tag, nodes[0].out)
+    slot = Slot(nodes[0].label, nodes[0].tag, nodes[0].out, nodes[0].named)
     slot.nodes = nodes
     run: list[Node] = []
     for child in (c for n in nodes for c in n.children):
@@ -221,21 +247,59 @@ def own_text(slot: Slot, blocks: list[tuple[Node, str]]) -> str:
     return "\n".join(blocks[t][1] for n in slot.nodes for t in n.texts)
 
 
-def region(wrapper: list[Slot], varying: dict[int, float], share: float = 0.6) -> int:
-    """The number of the wrapper node that is the content region.
+def weigh(wrapper: list[Slot], varying: dict[int, float], least: int = 1, freed: AbstractSet[int] = frozenset()) -> dict[int, float]:
+    """Varying characters in each node and below it, without what is marked: by its kind, or by its names (from `least` on) and not freed.
 
-    varying: characters of varying text by node. An article or main element with varying text wins at once
-    (the one with most of it, the inner one on a tie); else go down while one child holds `share` of what varies.
-    """
+    What stands under a mark isn't listed."""
     at = {id(s): k for k, s in enumerate(wrapper)}
     mass: dict[int, float] = {}
 
-    def weigh(slot: Slot) -> float:
+    def down(slot: Slot) -> float:
         k = at[id(slot)]
-        mass[k] = 0.0 if slot.out else varying.get(k, 0.0) + sum(weigh(c) for c in slot.children)
+        mass[k] = 0.0 if slot.out or slot.named >= least and k not in freed else varying.get(k, 0.0) + sum(down(c) for c in slot.children)
         return mass[k]
 
-    weigh(wrapper[0])
+    down(wrapper[0])
+    return mass
+
+
+def free(wrapper: list[Slot], varying: dict[int, float], known: bool, share: float = 0.6, some: float = 0.2, nothing: float = 0.05) -> set[int]:
+    """The nodes whose names don't count: those that hold a main element or `share` of what varies (lists set apart), and, if names
+    leave as good as `nothing`, all that hold `some` of it. An article or main outside with `some` of it lets none beside it be freed.
+
+    known: whether it's known what varies; if not, only nodes with an article, main or first heading in them are freed.
+    """
+    if not any(s.named for s in wrapper):
+        return set()
+    at = {id(s): k for k, s in enumerate(wrapper)}
+
+    def below(k: int) -> list[Slot]:
+        return number(wrapper[k])
+
+    first, apart, whole = weigh(wrapper, varying), weigh(wrapper, varying, 2), weigh(wrapper, varying, 3)
+    home = region(wrapper, varying)
+    inside = {at[id(s)] for s in below(home)} if wrapper[home].tag in CONTENT and first[home] >= some * apart[0] > 0 else None
+    freed: set[int] = set()
+
+    def may(k: int, slot: Slot) -> bool:
+        return bool(slot.named) and (inside is None or k in inside) and (known or any((s.tag in CONTENT or s.tag == "h1") and whole.get(at[id(s)], 0) > 0 for s in below(k)))
+
+    for k, slot in enumerate(wrapper):
+        if apart.get(k, 0) > 0 and apart[0] >= nothing * whole[0] and may(k, slot) and (apart[k] >= share * apart[0] or any(s.tag == "main" and apart.get(at[id(s)], 0) > 0 for s in below(k))):
+            freed.add(k)
+    if weigh(wrapper, varying, 1, freed)[0] < nothing * whole[0]:
+        freed |= {k for k, slot in enumerate(wrapper) if whole.get(k, 0) >= some * whole[0] > 0 and may(k, slot)}
+    return freed
+
+
+def region(wrapper: list[Slot], varying: dict[int, float], share: float = 0.6, freed: AbstractSet[int] = frozenset()) -> int:
+    """The number of the wrapper node that is the content region.
+
+    varying: characters of varying text by node. An article or main element with varying text wins at once
+    (the one with most of it, the inner one on a tie); else go down while one child holds `share` of what varies.
+    """
+    at = {id(s): k for k, s in enumerate(wrapper)}
+    mass = weigh(wrapper, varying, 1, freed)
     named = [k for k, s in enumerate(wrapper) if s.tag in CONTENT and mass.get(k, 0) > 0]
     if named:
         return max(named, key=lambda k: (mass[k], k))
@@ -253,6 +317,13 @@ def region(wrapper: list[Slot], varying: dict[int, float], share: float = 0.6) -
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt li figcaption".split())
 
 
+def unmarked(slot: Slot, least: int) -> list[Slot]:
+    """The article and main elements that aren't under a mark (by names from `least` on)."""
+    if slot.out or slot.named >= least:
+        return []
+    return [*([slot] if slot.tag in CONTENT else []), *(s for c in slot.children for s in unmarked(c, least))]
+
+
 def extract(page: str, wrapper_page: str | None, counts: dict[int, tuple[int, int, int]], least_pages: int = 8, same_share: float = 0.9) -> str:
     """The main text of a page. counts: by wrapper node, pages that match it, pages whose text there is the wrapper page's, and characters."""
     root, blocks = parse(page)
@@ -265,20 +336,23 @@ def extract(page: str, wrapper_page: str | None, counts: dict[int, tuple[int, in
     varying = {k: c / max(1, n) for k, (n, _, c) in counts.items() if k not in template}
     if not any(varying.values()):  # nothing varies: every text may be content
         varying = {k: c / max(1, n) for k, (n, _, c) in counts.items()}
-    home = region(wrapper, varying) if varying else 0
+    known = any(n > 1 and same < n for n, same, _ in counts.values())
+    freed = free(wrapper, varying, known) if varying else set()
+    home = region(wrapper, varying, freed=freed) if varying else 0
     place = {id(s): k for k, s in enumerate(wrapper)}
     pairs = match(source, tree)[1]
     into = {place[id(a)]: b for a, b in pairs}
     # the page may lack the region itself (another layout): then its own article or main element, or its body
     start = into.get(home)
     if start is None:
-        own = number(tree)
-        start = max((s for s in own if s.tag in CONTENT and not s.out), key=lambda s: sum(len(blocks[t][1]) for n in s.nodes for t in n.texts), default=None) or tree
+        own = unmarked(tree, 1) or unmarked(tree, 2)
+        start = max(own, key=lambda s: sum(len(blocks[t][1]) for n in s.nodes for t in n.texts), default=None) or tree
+    counts_not = {id(b) for a, b in pairs if place[id(a)] in freed}
     drop = {id(b) for a, b in pairs if place[id(a)] in template and a.tag not in PROSE and a.tag not in CONTENT and place[id(a)] != home and a.children == []}
     keep: set[int] = set()
 
     def take(slot: Slot) -> None:
-        if slot.out or id(slot) in drop:
+        if slot is not start and (slot.out or slot.named and id(slot) not in counts_not or id(slot) in drop):
             return
         for n in slot.nodes:
             keep.update(n.texts)
