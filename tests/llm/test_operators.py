@@ -491,6 +491,19 @@ def test_near_duplicates_with_joins(spark, monkeypatch):
     assert sorted(got, key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("most", [1_000_000, -1])
+def test_near_copies_without_id(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", most)
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words, *(f"{c}{i}" for i in range(n))]) for c, n in (("x", 0), ("y", 2), ("z", 3))]
+    alone = [" ".join([*(f"v{i}" for i in range(50)), *x]) for x in ([], ["a"])]
+    rows = [(5, near[0]), (None, near[1]), (None, near[1]), (None, near[2]), (None, alone[0]), (None, alone[1]), (9, "other words stand here for themselves")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.near_duplicates(df, prints=True).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(5, 56, 5), (None, 58, 5), (None, 58, 5), (None, 59, 5), (None, 46, None), (None, 47, None), (9, 2, 9)], key=str)
+    assert len({r["node"] for r in got}) == 3
+
+
 def test_no_documents(spark, docs):
     assert jaccard_join.near_duplicates(docs([])).count() == 0
 

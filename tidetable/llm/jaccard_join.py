@@ -233,6 +233,21 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "id")
 
 
+def _sets_without_id(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """n, fp and data of the wanted sets (n, fp) among the texts without an id, once a task: found by the set, as they share no id to be told by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for _, _, h in _sets(batches):
+            key = len(h), int(_print(h))
+            if len(h) and key not in seen:
+                seen.add(key)
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([h.astype("<i8").tobytes()], pa.binary())], ["n", "fp", "data"])
+
+    sets = docs.where("id IS NULL").select("text").mapInArrow(run, "n bigint, fp bigint, data binary")
+    return sets.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["n", "fp"], "left_semi")
+
+
 def _could_link(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """The pairs whose prefixes share enough: an overlap is at most what the prefixes share, and one set's rest.
 
@@ -262,6 +277,9 @@ def _links(docs: DataFrame, classes: DataFrame, own: DataFrame, pairs: DataFrame
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([h.astype("<i8").tobytes()], pa.binary())], ["n", "fp", "data"])
 
     sets = _texts_of(docs, wanted).select("n", "fp", "text").mapInArrow(run, "n bigint, fp bigint, data binary")
+    unnamed = wanted.where("id IS NULL").select("n", "fp")  # classes of rows without an id alone
+    if unnamed.limit(1).count():
+        sets = sets.unionByName(_sets_without_id(docs, unnamed))
     sets = materialize(sets.select(F.struct("n", "fp").alias("key"), "data"), "sets")
     if sets.count() > wanted.count():  # rows that are there twice
         sets = materialize(sets.dropDuplicates(["key"]), "sets")
