@@ -42,6 +42,14 @@ def test_language_of_odd_rows(spark, docs):
     assert {r["lang_pred"] for r in got} <= {*model.labels, "und"}
 
 
+def test_copies_of_a_text_are_one_of_the_sample(spark, monkeypatch):
+    rows = [("le chat est sur la table", "fr")] * 300 + [(f"the dog number {i} is here", "en") for i in range(90)] + [(f"un homme {i} parle", "fr") for i in range(5)]
+    fed = []
+    monkeypatch.setattr(lang_id, "_normal", lambda presence, order_of, was=lang_id._normal: fed.append(len(presence)) or was(presence, order_of))
+    lang_id.fit(spark.createDataFrame(rows, "text string, lang string"), per_language=40)
+    assert fed[0] == 6 + 40
+
+
 def test_language_without_labels(spark, docs):
     model = lang_id.fit(docs([(1, "abc", None, "a", 3)]))
     assert lang_id.predict(spark, docs(ODD), model).where("lang_pred <> 'und' OR score <> 0").count() == 0

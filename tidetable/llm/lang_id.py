@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_string, raw_bytes, row_slices, table
@@ -81,17 +81,21 @@ def fit(
 ) -> LanguageModel:
     """Fit on at most about per_language texts of each language.
 
-    The sample is drawn by a hash of the text and covers whole texts; its n-gram sets are made
-    on the executors, and at most 1.3 x per_language sets a language (plus chance) reach the driver.
+    The sample is drawn by a hash of the text and covers whole texts, each text of a language once
+    however many copies it has: the per_language texts of least hash. Its n-gram sets are made on
+    the executors, and at most per_language sets a language reach the driver.
     Rows with a null label are left out. With no labelled row the model knows no language.
     """
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
-    counts = {r["label"]: r["count"] for r in labelled.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).count().collect()}
+    rows = rows.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed)))
+    counts = {r["label"]: r["count"] for r in rows.select("label", "hash").distinct().groupBy("label").count().collect()}
     if not counts:
         return LanguageModel((), np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
     share = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.3 * per_language / v)))])
-    draw = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    got = rows.where(draw < share[F.col("label")]).mapInArrow(_gram_sets, "label string, grams binary").toArrow()
+    draw = F.pmod("hash", F.lit(1 << 20))
+    drawn = rows.where(draw / F.lit(float(1 << 20)) < share[F.col("label")]).dropDuplicates(["label", "hash"])
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(draw, "hash"))  # of some 1.3 x per_language texts
+    got = drawn.withColumn("nth", nth).where(F.col("nth") <= per_language).select("text", "label").mapInArrow(_gram_sets, "label string, grams binary").toArrow()
     labels = tuple(sorted(counts))
     rng = np.random.default_rng(seed)
     sets: list[np.ndarray] = []
