@@ -493,15 +493,62 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
 
 
 def test_near_duplicates_with_joins(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", -1)
     rows = near_rows()[:40]
     got = [tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == brute(rows)
 
 
-@pytest.mark.parametrize("most", [1_000_000, -1])
+@pytest.mark.parametrize("part", [1500, 4000])
+def test_blocks_cut_in_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    rows = near_rows()
+    got = [tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
+def test_large_family_makes_few_rows(spark, monkeypatch):
+    """A family whose pairs lie on both sides of the threshold: what leaves the tasks is less than its members, and no link is lost."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(2000):
+        words = list(base)
+        for i in rng.choice(len(words) - 5, int(rng.integers(2, 4)), replace=False):
+            words[i] = f"x{d}_{i}"
+        rows.append((d, " ".join(words)))
+    made = {}
+    plain = jaccard_join.materialize
+
+    def counted(df, label):
+        out = plain(df, label)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    held = [shingles(t) for _, t in rows]
+    of = {}
+    for d, s in enumerate(held):
+        for x in s:
+            of.setdefault(x, []).append(d)
+    group = np.arange(len(rows))
+    linked = 0
+    for d, s in enumerate(held):
+        both = np.bincount(np.concatenate([of[x] for x in s]), minlength=len(rows))
+        near = np.flatnonzero(100 * both >= 75 * (np.array([len(x) for x in held]) + len(s) - both))
+        linked += len(near) - 1
+        group[np.isin(group, group[near])] = group[near].min()
+    least = {g: int(np.flatnonzero(group == g).min()) for g in set(group.tolist())}
+    assert got == {d: least[g] for d, g in enumerate(group.tolist())}
+    assert 10_000 < linked < 2000 * 1999 // 2 and len(least) > 10
+    assert made["links"] < 40 * len(rows)  # the first join's blocks overlap
+    assert made["wanted"] <= len(rows)
+
+
+@pytest.mark.parametrize("most", [1 << 25, -1])
 def test_near_copies_without_id(spark, monkeypatch, most):
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", most)
     words = [f"w{i}" for i in range(60)]
     near = [" ".join([*words, *(f"{c}{i}" for i in range(n))]) for c, n in (("x", 0), ("y", 2), ("z", 3))]
     alone = [" ".join([*(f"v{i}" for i in range(50)), *x]) for x in ([], ["a"])]
@@ -516,13 +563,51 @@ def test_no_documents(spark, docs):
     assert jaccard_join.near_duplicates(docs([])).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sets(st.integers(-20, 20), max_size=14), min_size=1, max_size=8), st.sets(st.integers(-20, 20), min_size=1, max_size=14))
-def test_trie_equals_sets(sets, probe):
+def test_ids_on_both_sides_of_a_missing_one(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words, *(f"{c}{i}" for i in range(3))]) for c in "xyz"]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(list(zip([5, None, 9], near)), "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got.collect()) == [(0, 5), (5, 5), (9, 5)]
+
+
+def test_a_missing_id_bridges_two_groups(spark):
+    a, b, c = ([f"w{i}" for i in range(lo, lo + 104)] for lo in (0, 10, 20))
+    got = jaccard_join.near_duplicates(spark.createDataFrame([(7, " ".join(a)), (None, " ".join(b)), (3, " ".join(c))], "doc_id long, text string"))
+    assert {r["component_id"] for r in got.collect()} == {3}
+
+
+def linked_groups(sets, joined, need):
+    """The least member of each set's group, by all pairs."""
+    group = list(range(len(sets)))
+    for i, j in [*joined, *((i, j) for i, j in itertools.combinations(range(len(sets)), 2) if need(i, j))]:
+        a, b = group[i], group[j]
+        group = [min(a, b) if g in (a, b) else g for g in group]
+    return group
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.frozensets(st.integers(-20, 20), min_size=1, max_size=14), min_size=1, max_size=9, unique=True), st.data())
+def test_trie_joins_what_brute_force_links(sets, data):
     arrays = [np.array(sorted(s), np.int64) for s in sets]
-    expected = [bool(s) and 100 * len(s & probe) >= 75 * len(s | probe) for s in sets]
-    got = jaccard_join.trie_overlaps(np.array(sorted(probe), np.int64), arrays)
-    assert [g and bool(s) for g, s in zip(got, sets)] == expected
+    size = np.array([len(s) for s in sets])
+    like = lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    got = jaccard_join.joining_links(arrays, size)
+    assert all(like(i, j) for i, j in got) and len(got) < len(sets)
+    assert linked_groups(sets, got, lambda i, j: False) == linked_groups(sets, [], like)
+    group = np.array(data.draw(st.lists(st.integers(0, 3), min_size=len(sets), max_size=len(sets))))
+    probes = np.array(sorted(data.draw(st.sets(st.integers(0, len(sets) - 1)))), np.int64)
+    known = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if group[i] == group[j]]
+    got = jaccard_join.joining_links(arrays, size, jaccard_join.needed, group, probes)
+    assert all(like(i, j) and group[i] != group[j] for i, j in got)
+    assert linked_groups(sets, known + got, lambda i, j: False) == linked_groups(sets, known, lambda i, j: like(i, j) and (i in probes or j in probes))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.integers(0, 40), min_size=1, max_size=30), st.sets(st.integers(0, 40), min_size=1, max_size=30))
+def test_prefixes_of_linked_sets_overlap_enough(a, b):
+    if 100 * len(a & b) >= 75 * len(a | b):
+        x, y = (set(sorted(s)[: jaccard_join.prefix_length(len(s))]) for s in (a, b))
+        assert len(x & y) >= jaccard_join.needed_of_prefixes(len(a), len(b)) >= 1
 
 
 def test_word_hashes_follow_the_words():
