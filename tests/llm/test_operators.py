@@ -93,6 +93,14 @@ def test_token_counts_by_block_size(spark, docs, block):
     assert [r["ordinal"] for r in got] == list(range(len(rows)))
 
 
+def test_null_ids_of_counted_documents(spark, docs):
+    import public_tokenizers
+
+    rows = [(None, "a b c", None, None, None), (-1, "x", None, None, None), (None, None, None, None, None), (7, "", None, None, None)]
+    got = token_counts.document_counts(docs(rows), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=str) == sorted([(None, 3), (-1, 1), (None, 0), (7, 0)], key=str)
+
+
 def test_last_document_without_separator(spark):
     data = [(0, 0, np.array([5, 9, 7], "<u2").tobytes()), (0, 1, np.array([7, 7, 7], "<u2").tobytes()), (0, 2, np.array([7, 9, 9, 4], "<u2").tobytes())]
     got = token_counts.count_documents(spark.createDataFrame(data, "shard int, number long, data binary"), end_id=9).orderBy("ordinal").collect()
@@ -180,6 +188,50 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.score(spark, docs(ODD), None).where("quality <> 1").count() == 0
 
 
+def test_hot_ids_and_rows_in_the_fit(spark):
+    """A third of the rows share an id, a third have none: what reaches the driver stays bounded, and the scores stay right."""
+    docs = table(spark, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    one = docs.where("doc_id = 1").first()
+    many = spark.range(400).select(F.when(F.col("id") % 2 == 0, one["doc_id"]).alias("doc_id"), *(F.lit(one[c]).alias(c) for c in docs.columns[1:]))
+    labels = table(spark, "labels")
+    model = quality.fit(docs.unionByName(many), labels, labelled=100, each=20)
+    scored = quality.score(spark, docs, model).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id").collect()
+    assert sum((r["quality"] >= 0.5) == (r["label"] == 1) for r in scored) / len(scored) > 0.9
+
+
+def test_pool_is_the_whole_table(spark):
+    """What the views name equals a brute-force choice from all rows."""
+    docs = table(spark, "documents")
+    rows = quality.features(docs).collect()
+    content, meta = (np.array([np.frombuffer(r[c], np.float32) for r in rows], float) for c in ("content", "meta"))
+    rng = np.random.default_rng(1)
+    models = tuple(quality.View(x.mean(0), x.std(0) + 1e-3, rng.normal(0, 1, x.shape[1] + 1)) for x in (content, meta))
+    keys = np.array([r["key"] for r in rows])
+    taken = np.sort(keys[:10])
+    got, found = quality._offer(common.materialize(quality.features(docs.repartition(5)), "pool"), 0.6)(models, taken, (7, 30))
+    for view, value, named in got:
+        chance = 1 / (1 + np.exp(-models[view].logit((content, meta)[view])))
+        certain = {k: p if value else 1 - p for k, p in zip(keys.tolist(), chance.tolist())}
+        best = sorted((k for k in certain if k not in taken and certain[k] >= 0.6), key=lambda k: (-certain[k], k))[: (7, 30)[value]]
+        assert named.tolist() == sorted(best)
+    assert set(found) == {int(k) for *_, named in got for k in named}
+    assert all(np.array_equal(found[k][0], content[keys == k][0]) for k in found)
+
+
+def test_content_features_by_hand():
+    texts = ["aB b\nb b", "", "x"]
+    rows = quality.content_features(pa.array(texts, pa.large_string()))
+    for text, row in zip(texts, rows):
+        raw, words = text.encode(), [w.lower() for w in text.split()]
+        pairs = list(zip(words, words[1:]))
+        for b in range(256):
+            assert row[b] == pytest.approx((raw.count(bytes([b])) / max(1, len(raw))) ** 0.5, abs=1e-6)
+        n, letters = max(1, len(words)), max(1, sum(c.isalpha() for c in text))
+        hand = [np.log1p(len(raw)), np.log1p(len(words)), sum(map(len, words)) / n, len(set(words)) / len(words) if words else 1, len(set(pairs)) / len(pairs) if pairs else 1]
+        hand += [sum(a == b for a, b in pairs) / n, text.count("\n") / n, sum(c.isupper() for c in text) / letters]
+        assert row[256:] == pytest.approx(hand, abs=1e-5)
+
+
 # --- top k -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -213,8 +265,40 @@ def test_vectors_that_take_no_part(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in maxscore.search(v.where("vec_id % 20 = 0"), v, 2).collect())
     assert got == [(0, 1, 3), (0, 2, 4), (120, 1, 0), (120, 2, 3)]
     assert maxscore.search(v.limit(0), v.limit(0)).count() == 0
-    with pytest.raises(Exception, match="too large"):
-        maxscore.integer_vectors(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<float>")).collect()
+    assert maxscore.integer_vectors(spark.createDataFrame([(1, [1e307])], "vec_id long, embedding array<double>")).count() == 0  # 64 times it is no double
+
+
+@pytest.mark.parametrize("size", [1 << 20, 1 << 24, 1 << 30, 1 << 50])
+def test_large_components_have_scores(spark, size):
+    """Up to scores of 64 bits, by brute force over Python's integers; parts may be beyond 64 bits where the sum isn't."""
+    rng = np.random.default_rng(size % 97)
+    x = rng.uniform(-1, 1, (60, 3)) * [size, 1, 0.01]
+    if size >= 1 << 30:
+        x[:, 1] = rng.uniform(-1, 1, 60) * (1 << 60) / size / 64
+        x[:, 0] = np.where(np.arange(60) % 20 == 0, 1 / 64, x[:, 0])  # queries' own large component is small
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    v = maxscore.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).cache()
+    got = defaultdict(list)
+    for r in sorted(maxscore.search(v.where("vec_id % 20 = 0"), v, 5).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = [[int(np.floor(64 * c)) for c in row] for row in x]
+    for q in (0, 20, 40):
+        scores = sorted(((i, sum(a * b for a, b in zip(whole[q], c))) for i, c in enumerate(whole) if i != q), key=lambda t: (-t[1], t[0]))
+        assert got[q] == scores[:5]
+
+
+def test_scores_beyond_64_bits_are_told(spark):
+    v = maxscore.integer_vectors(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        maxscore.search(v.where("vec_id = 0"), v).collect()
+
+
+def test_rows_of_one_vec_id(spark):
+    """Only a query's own row is left out."""
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, 0.0]), (5, [1.0, 1.0])]
+    v = maxscore.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).cache()
+    got = sorted((r["rank"], r["vec_id"], r["score"] // 4096) for r in maxscore.search(v.where("vec_id = 0"), v).collect())
+    assert got == [(1, 0, 3), (1, 0, 5), (1, 0, 5), (2, 0, 3), (2, 0, 3), (2, 0, 3), (3, 5, 3), (3, 5, 3), (3, 5, 3)]
 
 
 # --- packing --------------------------------------------------------------------------------------------------------------------
@@ -299,6 +383,42 @@ def test_word_ids_equal_the_tokenizer(texts):
         assert np.frombuffer(got, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+#: Pieces that lower-case, compose, split or stand for tokens in odd ways.
+_ODD_PIECES = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|", "\u0130", "\u03a3", "\u03c2", "\u0391\u03a3", "J\u030c", "H\u0331", "A\u030a", "\u212a", "\u1e9e", "\u00df", "\ufb01", "'S", "'s", "'RE", ",", ".", ". ", "\n", "\t", "\u00a0", "\u2028", "\u3000", "\x1c", "\x85", "\u200b", "x", "A", "7", "\u2167", "\u00b2", "\u0345", "\u1fb3", "\u0307", "\u0301", "\uac00", "\u1100\u1161"]
+_ANY_TEXT = st.lists(st.one_of(st.sampled_from(_ODD_PIECES), st.text(max_size=4), st.characters(min_codepoint=0x80, max_codepoint=0x2fff), st.sampled_from([" ", "a", "Word", "."])), max_size=12).map("".join)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(_ANY_TEXT, min_size=1, max_size=4))
+def test_word_ids_of_any_text_equal_the_tokenizer(texts):
+    path = packing.tokenizer_path("word_bpe_49k.json")
+    words = packing._word_ids.setdefault(path, packing.WordIds(path))
+    assert words.word_bound
+    for text, got in zip(texts, words(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    plain = json.load(open(packing.tokenizer_path("word_bpe_49k.json")))
+    plain["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(plain))
+    words = packing.WordIds(str(tmp_path / "cased.json"))
+    text = "One, TWO. three\nfour"
+    assert not words.word_bound and np.frombuffer(words([text])[0], "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_more_buckets_change_no_piece(spark):
+    rows = spark.range(3000).selectExpr("id", "1 + id % 5 AS length")
+    for more in ({}, {"buckets": 1, "bucket_rows": 10}):
+        got = packing.assign(rows, order_by=("id",), capacity=7, **more).collect()
+        sequences = defaultdict(list)
+        for r in got:
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert len(got) == 3000 and all(sorted(o for o, _ in s) == [0, *itertools.accumulate(n for _, n in sorted(s))][:-1] for s in sequences.values())
+
+
 # --- mixing -------------------------------------------------------------------------------------------------------------------------
 
 

@@ -64,7 +64,7 @@ def test_packed_sequences(outputs):
 def test_stages_take_odd_rows(spark, docs):
     rows = [*ODD, *((d, t, "en", "a", 1) for d, t in near_rows()[:30] if d is not None)]
     df = pipeline.materialize(docs(rows), "odd")
-    for name, stage in pipeline.STAGES[1:]:
+    for name, stage in pipeline.STAGES:
         df = pipeline.materialize(stage(spark, df, SF), name)
     assert df.count() > 0
     empty = docs([])
@@ -87,5 +87,31 @@ def test_repeated_rows_share_the_mix(spark, docs):
     assert 9 <= words <= 15 and set(got) <= {(1, "a b c"), (2, "d e f g h i")}
 
 
+def test_names_of_the_stages_own(spark):
+    """Columns named like the stages' own come back as they were."""
+    names = "_id _place _times _copy _text _secrets _quality _in_text _n _fp _node _least _row row key place times print sum changed base last tied more part at kind id n fp t".split()
+    source = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    df = source.unionByName(source.where("doc_id < 5")).select("*", *(pipeline.F.concat(pipeline.F.lit(c), pipeline.F.col("doc_id")).alias(c) for c in names))
+    for name, stage in pipeline.STAGES[:-1]:
+        columns = df.columns
+        df = pipeline.materialize(stage(spark, df, SF), name)
+        assert df.columns == columns
+        assert not df.where(" OR ".join(f"`{c}` <> concat('{c}', doc_id)" for c in names)).count()
+    assert df.count() and stage_packs(spark, df)
+
+
+def stage_packs(spark, df):
+    return pipeline.pack_sequences(spark, df, SF).count() > 0
+
+
+def test_a_place_shared_by_many_rows_is_split(spark, docs):
+    rows = [(None, "a b c d", "en", "x", 5)] * 50 + [(2, "".join("wxyz" * 30), "en", "y", 5)]
+    df = pipeline.materialize(docs(rows).repartition(4), "hot")
+    got = [r["text"] for r in pipeline.mix_sources(spark, df, SF).collect()]
+    total = 200 + 1
+    # weights 1 and 2: the second source stops at 3 times its one word, the first takes the rest
+    assert got.count("a b c d") == (total - 3) // 4 and got.count(rows[-1][1]) == 3
+
+
 def test_run(spark):
     assert np.array(pipeline.run(spark, SF).count()) > 0

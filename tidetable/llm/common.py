@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores before them where a table with these names has them already (names differ in more than case)."""
+    taken = {n.lower() for n in names}
+    return [next(x for k in count() if (x := "_" * k + w).lower() not in taken) for w in wanted]
+
+
 def as_string(column: pa.Array) -> pa.Array:
     """A null is the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -364,17 +364,15 @@ def _clusters(members: DataFrame, may: DataFrame) -> DataFrame:
     return materialize(whole.unionByName(apart), "members")
 
 
-def with_prints(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs with _n and _fp: the size and the fingerprint of each row's shingle set."""
+def print_column(text="text"):
+    """The size and the fingerprint of each text's shingle set, as a column (struct of n and fp)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [(len(h), _print(h)) for _, _, h in _sets(iter([batch]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([n for n, _ in sets], pa.int64()), pa.array([f for _, f in sets], pa.int64())], [*batch.schema.names[:-1], "_n", "_fp"])
+    @F.arrow_udf(_KEY)
+    def print_of(texts: pa.Array) -> pa.Array:
+        sets = [(len(h), _print(h)) for _, _, h in _sets(iter([pa.RecordBatch.from_arrays([as_string(texts)], ["text"])]))]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array([f for _, f in sets], pa.int64())], ["n", "fp"])
 
-    picked = docs.select("*", F.col(text).alias("_text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return picked.mapInArrow(run, fields + "_n bigint, _fp bigint")
+    return print_of(text)
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", prints: bool = False) -> DataFrame:

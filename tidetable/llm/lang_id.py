@@ -2,7 +2,7 @@
 
 A text is the set of its byte n-grams (n = 1, 2, 3) after lower-casing: the presence form of
 the blended-spectrum kernel. Kernel of two texts: the mean over n of
-|A_n & B_n| / sqrt(|A_n| |B_n|), the n-grams being those that occur in the landmark texts.
+|A_n & B_n| / sqrt(|A_n| |B_n|), the n-grams being all those that occur in the landmark texts.
 Nyström landmarks give an explicit map (K_mm^-1/2), and a ridge regression per language
 (one against the rest) is solved on it. Scoring is one batched product of presence rows with
 the folded matrix landmarks x K_mm^-1/2 x coefficients, over whole texts.
@@ -23,6 +23,8 @@ from .common import as_string, raw_bytes, row_slices, table
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
+#: Texts whose presence rows are multiplied at once.
+ROWS = 64
 _BASE = {1: 0, 2: 256, 3: 256 + 65536}
 _SPACE = 256 + 65536 + (1 << 24)
 
@@ -66,7 +68,7 @@ def _normal(presence: np.ndarray, order_of: np.ndarray) -> np.ndarray:
     """Rows scaled so that a product of two is the blended kernel."""
     out = presence.astype(np.float32)
     for n in ORDERS:
-        part = order_of == n
+        part = slice(*np.searchsorted(order_of, (n, n + 1)))  # codes ascend by order
         size = out[:, part].sum(1, keepdims=True)
         out[:, part] /= np.sqrt(np.maximum(size, 1) * len(ORDERS))
     return out
@@ -77,9 +79,10 @@ def _order_of(grams: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    labelled: DataFrame, *, text: str = "text", label: str = "lang", per_language: int = 400, landmarks: int = 192, vocabulary: int = 6000, ridge: float = 0.05, seed: int = 7
+    labelled: DataFrame, *, text: str = "text", label: str = "lang", per_language: int = 400, landmarks: int = 192, ridge: float = 0.05, seed: int = 7
 ) -> LanguageModel:
-    """Fit on at most about per_language texts of each language.
+    """Fit on at most per_language labelled texts of each language, with `landmarks` of them (2 of each language at least) as the
+    Nyström landmarks. Both bound the labelled sample alone: every n-gram of the landmarks counts, and scoring reads whole texts.
 
     The sample is drawn by a hash of the text and covers whole texts, each text of a language once
     however many copies it has: the per_language texts of least hash. Its n-gram sets are made on
@@ -110,21 +113,23 @@ def fit(
     for k in range(len(labels)):
         own_at = [i for i, c in enumerate(y) if c == k]
         pick += [own_at[i] for i in rng.permutation(len(own_at))[: max(2, landmarks // len(labels))]]
-    grams, times = np.unique(np.concatenate([sets[i] for i in pick]), return_counts=True)
-    keep = np.sort(np.argsort(-times, kind="stable")[:vocabulary])
-    grams = grams[keep].astype(np.int64)
+    grams = np.unique(np.concatenate([sets[i] for i in pick])).astype(np.int64)
     order_of = _order_of(grams)
-    presence = np.zeros((len(sets), len(grams)), bool)
-    for i, s in enumerate(sets):
-        at = np.searchsorted(grams, s)
-        at[at == len(grams)] = 0
-        presence[i, at[grams[at] == s]] = True
-    x = _normal(presence, order_of).astype(np.float64)
-    marks = x[pick]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+
+    def rows_of(some: list[np.ndarray]) -> np.ndarray:
+        presence = np.zeros((len(some), len(grams)), bool)
+        for i, s in enumerate(some):
+            at = np.searchsorted(grams, s)
+            at[at == len(grams)] = 0
+            presence[i, at[grams[at] == s]] = True
+        return _normal(presence, order_of)
+
+    marks = rows_of([sets[i] for i in pick])
+    kernel = np.vstack([rows_of(sets[lo : lo + 64]) @ marks.T for lo in range(0, len(sets), 64)]).astype(np.float64)
+    values, vectors = np.linalg.eigh(kernel[pick])
     good = values > 1e-8 * max(values.max(), 1e-12)
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = x @ (marks.T @ root)
+    phi = kernel @ root
     target = np.where(np.array(y)[:, None] == np.arange(len(labels))[None, :], 1.0, -1.0)
     weight = 1.0 / np.bincount(y, minlength=len(labels))[y]  # each language counts alike
     weight *= len(y) / weight.sum()
@@ -158,8 +163,8 @@ def score_texts(model: LanguageModel, texts: pa.Array, key: str = "one") -> tupl
     out = np.zeros((len(texts), len(model.labels)), np.float32)
     for start, end in row_slices(lower, 1 << 19):
         data, at = raw_bytes(lower.slice(start, end - start))
-        for lo in range(0, end - start, 128):
-            hi = min(lo + 128, end - start)
+        for lo in range(0, end - start, ROWS):
+            hi = min(lo + ROWS, end - start)
             presence = np.zeros((hi - lo, len(model.grams)), bool)
             for code, row in _codes(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]):
                 gram = found[code]
@@ -199,6 +204,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, *, text:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's held_out, lang_pred and score, learned from labelled documents that aren't held out (see fit and predict)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     model = fit(docs.where(fold != 1))

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 SCALE = 64
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+#: Vectors a block holds at most. Each side is sent to every block of the other, so large blocks keep what is moved small.
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 32768
 
 
 def _integers(vectors: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -41,19 +42,17 @@ def _integers(vectors: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def integer_vectors(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, dims, bytes (little-endian 64-bit integers) of the rows that take part.
+    """vec_id, dims, data (the integers as little-endian doubles, which hold each exactly) of the rows that take part.
 
-    Rows with a null id, a null vector, or a null or non-finite component take no part. A component
-    of 2^26 or more in size after scaling is refused (OverflowError), as sums could leave 64 bits.
+    Rows with a null id, a null vector, or a null or non-finite component take no part; nor do those with a component so large
+    that 64 times it is no finite double.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole, found = _integers(batch.column(1))
-            if any(len(x) and np.abs(x).max() >= 1 << 26 for x in found):
-                raise OverflowError("a scaled component is too large for 64-bit scores")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(whole)), pa.array([len(x) for x in found], pa.int32()), pa.array([x.astype("<i8").tobytes() for x in found], pa.binary())], ["vec_id", "dims", "data"]
+                [batch.column(0).filter(pa.array(whole)), pa.array([len(x) for x in found], pa.int32()), pa.array([x.astype("<f8").tobytes() for x in found], pa.binary())], ["vec_id", "dims", "data"]
             )
 
     rows = vectors.where(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("vec_id"), F.col(vector).alias("v"))
@@ -75,19 +74,35 @@ def _blocks(rows: DataFrame, count: int, name: str) -> DataFrame:
     return dealt.groupBy("dims", "_block").applyInArrow(gather, f"dims int, {name} int, {name}_ids binary, {name}_data binary")
 
 
+def _kind(queries: np.ndarray, candidates: np.ndarray) -> type:
+    """The numbers that hold every score and bound exactly: doubles below 2^53, 64-bit integers below 2^62, else Python's integers."""
+    most = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(candidates.shape[1], 1)
+    return np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
+
+
+def _as(kind: type, x: np.ndarray) -> np.ndarray:
+    """Whole doubles as numbers of this kind."""
+    if kind is not object:
+        return x.astype(kind)
+    return np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+
+
 def top_k(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (by its row), the ids and scores of its k best candidates; ids must ascend. Exact: doubles hold these sums below 2^53, else 64-bit integers do."""
+    """For each query (by its row), the ids and scores of its k best candidates; ids must ascend. Exact for whole numbers of any size.
+
+    A query's own row is no candidate: the first with its id and its vector. Scores that 64 bits don't hold end in OverflowError.
+    """
     n, dims = candidates.shape
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * max(dims, 1)
-    kind = np.float64 if most < 1 << 53 else np.int64
-    lowest = -np.inf if kind is np.float64 else np.iinfo(np.int64).min // 2
-    postings = np.ascontiguousarray(candidates.T.astype(kind))
-    q_all = queries.astype(kind)
+    kind = _kind(queries, candidates)
+    lowest = {np.float64: -np.inf, np.int64: np.iinfo(np.int64).min // 2, object: -(1 << 2200)}[kind]  # below any sum of products of doubles
+    postings = np.ascontiguousarray(_as(kind, candidates).T)
+    q_all = _as(kind, queries)
     high, low = (postings.max(1), postings.min(1)) if n else (np.zeros(dims, kind), np.zeros(dims, kind))
     seeds = min(n, max(256, 4 * k))
     seeded = q_all @ postings[:, :seeds]
     for row, (q, own) in enumerate(zip(q_all, query_ids)):
-        mine = np.flatnonzero(ids == own)
+        lo, hi = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        mine = lo + np.flatnonzero((candidates[lo:hi] == queries[row]).all(1))[:1]
         first = seeded[row].copy()
         first[mine[mine < seeds]] = lowest
         threshold = np.partition(first, seeds - k)[seeds - k] if seeds >= k else lowest
@@ -110,15 +125,17 @@ def top_k(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, id
             stay = score + rest_up[at + 1] >= threshold
             alive, score = alive[stay], score[stay]
         best = np.lexsort((ids[alive], -score))[:k]
+        if kind is object and any(not -(1 << 63) <= x < 1 << 63 for x in score[best]):
+            raise OverflowError("a score is beyond 64 bits")
         yield row, ids[alive[best]], score[best].astype(np.int64)
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """Each query's k best candidates (all, if fewer): query_id, rank, vec_id, score.
 
-    Both inputs come from integer_vectors and are read more than once, so pass written tables. Candidates with the query's
-    vec_id are its own and left out; ties go to the smaller vec_id. Vectors meet only those with as many components.
-    A query row that is there twice is answered twice. Empty inputs give an empty result.
+    Both inputs come from integer_vectors and are read more than once, so pass written tables. A query's own row (one with its
+    vec_id and vector) is left out, other rows of its vec_id are candidates; ties go to the smaller vec_id. Vectors meet only
+    those with as many components. A query row that is there twice is answered twice. Empty inputs give an empty result.
     """
     spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_queries, n_candidates = queries.count(), candidates.count()
@@ -133,7 +150,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
                 dims, block, q_ids, q_data, c_ids, c_data = (batch.column(x)[i].as_py() for x in ("dims", "q", "q_ids", "q_data", "c_ids", "c_data"))
                 own, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
                 rows, who, what, score = [], [], [], []
-                for row, best, value in top_k(np.frombuffer(q_data, "<i8").reshape(len(own), dims), own, np.frombuffer(c_data, "<i8").reshape(len(ids), dims), ids, k):
+                for row, best, value in top_k(np.frombuffer(q_data, "<f8").reshape(len(own), dims), own, np.frombuffer(c_data, "<f8").reshape(len(ids), dims), ids, k):
                     rows.append(np.full(len(best), row))
                     who.append(np.full(len(best), own[row]))
                     what.append(best)
@@ -149,5 +166,6 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
 
 
 def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best candidates of each vector whose vec_id is divisible by 20, out of all others (see search)."""
     vectors = materialize(integer_vectors(table(spark, sf_dir, "embeddings")), "vectors")
     return search(vectors.where(F.col("vec_id") % 20 == 0), vectors)

@@ -19,9 +19,11 @@ from .common import materialize, table
 
 MOST_TIMES = 3
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slices of a source's shuffled order, and of virtual time (a whole number of 2^-k, so the split is exact).
+#: Slices of a source's shuffled order (by the first digits of the hash), and of virtual time (a whole number of 2^-k, so the
+#: split is exact): so many at least, and as many as keep about SLICE_ROWS rows in one.
 HASH_HEX = 3
 TIME_SLICES = 1024
+SLICE_ROWS = 1 << 20
 
 
 def place(id: str, text: str):
@@ -29,6 +31,11 @@ def place(id: str, text: str):
     return F.md5(F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
 
 
+def source_key(source: str):
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
 def sizes(docs: DataFrame, *, text: str = "text", source: str = "source", id: str = "doc_id") -> DataFrame:
     """id, source, size (words; 0 for a null text) and place: a hash of id and text that shuffles the documents the same way each time."""
     return docs.select(
@@ -67,14 +74,19 @@ def mix(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most_times: i
 
     Rows alike in all four columns may swap places. Documents without words are never taken (times 0). An empty table gives an empty result.
     """
-    source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # a key that is never null
+    source, rows = source_key("source"), sized.count()
+    digits, slices = HASH_HEX, TIME_SLICES
+    while 16**digits * SLICE_ROWS < rows:
+        digits += 1
+    while slices * SLICE_ROWS < most_times * rows:
+        slices *= 2
     goal = targets(sized, weights, most_times).withColumn("_key", source).drop("source")
-    docs = sized.withColumn("_key", source).withColumn("_slice", F.substring("place", 1, HASH_HEX))
-    slices = docs.groupBy("_key", "_slice").agg(F.sum("size").alias("_words"))
+    docs = sized.withColumn("_key", source).withColumn("_slice", F.substring("place", 1, digits))
+    parts = docs.groupBy("_key", "_slice").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0))).drop("_words").join(goal, "_key")
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0))).drop("_words").join(goal, "_key")
     within = Window.partitionBy("_key", "_slice").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = docs.withColumn("_upto", F.sum("size").over(within)).join(slices, ["_key", "_slice"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    queued = docs.withColumn("_upto", F.sum("size").over(within)).join(parts, ["_key", "_slice"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
 
     queued = materialize(queued.select("doc_id", "source", "size", "place", "source_size", "target", "rank", "_upto"), "queues")
 
@@ -85,7 +97,7 @@ def mix(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most_times: i
         return F.try_divide(position(turn).cast("double"), F.col("target"))
 
     def range_of(time):
-        return F.least(F.floor(time * TIME_SLICES), F.lit(16 * TIME_SLICES)).cast("int")
+        return F.least(F.floor(time * slices), F.lit(16 * slices)).cast("int")
 
     copies = queued.where("size > 0").withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(most_times - 1))))
     copies = copies.select("size", "rank", position(F.col("_turn")).alias("_pos"), finish(F.col("_turn")).alias("_time"))
@@ -113,6 +125,21 @@ def mix(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most_times: i
     return rows.select("doc_id", "source", "size", "place", "source_size", "target", times.cast("bigint").alias("times"))
 
 
+def cuts(mixed: DataFrame) -> DataFrame:
+    """Per source (key, as source_key has it) what mix takes of it, so that each document's times follow from its own row:
+    `base` times all documents with words, once more those with place up to `last` (null: none).
+
+    Rows alike in id and text share the place `last`: of its `tied` rows only `more` are taken once more.
+    """
+    words = mixed.where("size > 0").withColumn("key", source_key("source"))
+    base = words.groupBy("key").agg(F.min("times").alias("base"), F.max("times").alias("most"))
+    per_place = F.when(F.col("times") > F.col("base"), F.col("place"))
+    ends = words.join(base, "key").groupBy("key", "base").agg(F.max(per_place).alias("last"))
+    tied = words.join(ends.select("key", "base", F.col("last").alias("place")), ["key", "place"]).groupBy("key").agg(F.count("*").alias("tied"), F.count_if(F.col("times") > F.col("base")).alias("more"))
+    return ends.join(tied, "key", "left").select("key", F.col("base").cast("int").alias("base"), "last", "tied", "more")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's size, its source's size and target, and the words the mix takes of it (see mix)."""
     sized = materialize(sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "sizes")
     return mix(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))

@@ -29,7 +29,7 @@ from .common import as_string, materialize, row_slices, table
 CAPACITY = 2048
 END_ID = 1
 #: Words kept with their ids in each worker, in two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 60_000
 
 
 @dataclass(frozen=True)
@@ -92,27 +92,60 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
 
 #: Byte-level alphabet: bytes that aren't printable stand for the characters from 256 on, in order.
 _BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
-#: A lone comma or full stop between a letter (or numeral) and white space: a token of its own.
-_LONE = re.compile(r"(?<=[^\W\d_])([,.])(?=[ \n]|\Z)")
+#: A lone comma or full stop between a letter and white space: a token of its own. (Plain letters only: others may lower-case to
+#: more than letters, and stay with their comma.)
+_LONE = re.compile(r"(?<=[A-Za-z])([,.])(?=[ \n]|\Z)")
+#: What added tokens begin with. They are matched on the raw text, before lower-casing.
+_ADDED = "<|"
+#: What a tokenizer must do for its texts to be cut at spaces: the parts of its file that say so.
+_WORD_BOUND = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class WordIds:
     """Ids of texts as their tokenizer gives them, with the ids of words remembered.
 
-    Only for tokenizers that lower-case, whose tokens never reach across a space or a line feed, that drop both, and that
-    part letters from punctuation; texts are cut there and each word is encoded once. The capital sigma is left to the
-    tokenizer, as its lower case depends on what follows.
+    A tokenizer that is word-bound (it lower-cases, its tokens never reach across a space or a line feed, it drops both, and parts
+    letters from punctuation) has texts cut there and each word encoded once. Any other one encodes whole texts.
     """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = {k: json.loads(x.__getstate__()) if (x := getattr(self.tokenizer, k)) is not None else None for k in _WORD_BOUND}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        plain = all(t.content.startswith(_ADDED) and " " not in t.content and "\n" not in t.content and not (t.normalized or t.lstrip or t.rstrip or t.single_word) for t in added)
+        model = json.loads(self.tokenizer.model.__getstate__())
+        self.word_bound = parts == _WORD_BOUND and plain and model["type"] == "BPE" and not model["dropout"] and not model["ignore_merges"]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @staticmethod
+    def lower(text: str) -> str:
+        """text in lower case where that changes no id: plain letters alone, none where an added token may stand, and none where a
+        composed letter could come of it. What stays as it was is lower-cased by the tokenizer."""
+        if _ADDED in text:
+            return text
+        if text.isascii():
+            return text.lower()
+        low = text.encode().lower().decode()
+        return low if is_normalized("NFC", text) and is_normalized("NFC", low) else text
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [_LONE.sub(r" \1", t if "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        if not self.word_bound:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [_LONE.sub(r" \1", self.lower(t)).replace("\n", " ").split(" ") for t in texts]
         young, old, missing = self.young, self.old, set()
         for words in cut:
             missing.update(w for w in words if w not in young)
@@ -146,7 +179,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
     """Each document's ids and end_id, cut at multiples of capacity.
 
     Returns id, start, length, ids (little-endian unsigned 32-bit), doc_tokens. A null text is empty: its
-    document is end_id alone. The tokenizer must be word-bound (see WordIds).
+    document is end_id alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +219,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
     return picked.mapInArrow(run, f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint").withColumnRenamed("id", id)
 
 
-def assign(pieces: DataFrame, *, order_by: tuple[str, ...], capacity: int = CAPACITY, buckets: int = 1024) -> DataFrame:
+def assign(pieces: DataFrame, *, order_by: tuple[str, ...], capacity: int = CAPACITY, buckets: int = 1024, bucket_rows: int = 1 << 16) -> DataFrame:
     """pieces with sequence_id and offset. pieces: any table with a long `length` in 1..capacity; read more than once, so pass a written one.
 
     order_by: columns that tell pieces apart (pieces alike in all of them may swap places, to the same result).
+    There are `buckets` of each length at least, and as many as hold about `bucket_rows` pieces if all had one length.
     An empty table gives an empty result.
     """
     spark = pieces.sparkSession
+    buckets = max(buckets, pieces.count() // bucket_rows)
     marked = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order_by), F.lit(buckets)).cast("int"))
     sizes = marked.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most capacity rows
@@ -242,4 +277,5 @@ def tokenizer_path(name: str) -> str:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents by sequence and offset (see assign), with checksums of their ids."""
     return packed_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

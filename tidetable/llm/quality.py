@@ -3,23 +3,25 @@
 View one is the text itself (byte frequencies and how much words, word pairs and lines repeat,
 over the whole text). View two is the page metadata (source, language, length). Each view has a
 ridge-penalised logistic model. In every round each model labels the unlabelled documents that it
-is surest of, and these go into the other model's training set. At the end each view is
-calibrated on held-out labels, and their calibrated log-odds are added (the prior counted once).
+is surest of, out of all there are, and these go into the other model's training set. At the end
+each view is calibrated on held-out labels, and their calibrated log-odds are added (the prior
+counted once).
 
-Fitting uses bounded samples, drawn by a hash of the id; scoring covers every document and text.
+The labelled sample and the pseudo-labels of a round are bounded (parameters of `fit`), so the
+training set fits the driver; what the rounds choose from, and what is scored, is every document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_string, raw_bytes, row_slices, table
+from .common import as_string, materialize, raw_bytes, row_slices, table
 from .word_hash import word_hashes
 
 CONTENT = 256 + 8
@@ -141,11 +143,40 @@ def _calibrated(view: View, x: np.ndarray, y: np.ndarray) -> View:
     return View(view.mean, view.scale, view.weights, float(max(slope, 0.0)), float(shift if slope > 0 else np.log((positive + 1) / (negative + 1))))
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, *, rounds: int = 4, each: int = 200, sure: float = 0.97, ridge: float = 2.0, seed: int = 11) -> QualityModel | None:
+def _chance(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-logit))
+
+
+#: What a view names in a round: (view, label, keys of documents).
+Named = list[tuple[int, int, np.ndarray]]
+
+
+def surest(chances: tuple[np.ndarray, np.ndarray], keys: np.ndarray, taken: np.ndarray, quotas: tuple[int, int], sure: float) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(view, label, keys, certainties): for each view and label, the documents that the view is surest of, at least `sure`, up to
+    the label's quota. Of equal ones the least keys; documents of one key are one."""
+    out = []
+    keys, first = np.unique(keys, return_index=True)
+    free = ~np.isin(keys, taken)
+    for view in (0, 1):
+        for label in (0, 1):
+            p = chances[view][first]
+            certain = p if label else 1 - p
+            good = np.flatnonzero(free & (certain >= sure))
+            best = good[np.argsort(-certain[good], kind="stable")[: quotas[label]]]
+            out.append((view, label, keys[best], certain[best]))
+    return out
+
+
+def co_train(
+    content: np.ndarray, meta: np.ndarray, label: np.ndarray, *, rounds: int = 4, each: int = 200, sure: float = 0.97, ridge: float = 2.0, seed: int = 11,
+    offer: Callable[[tuple[View, View], np.ndarray, tuple[int, int]], tuple[Named, dict[int, tuple[np.ndarray, np.ndarray]]]] | None = None,
+) -> QualityModel | None:
     """label: 1, 0, or -1 for documents without one. None if the labels don't have both classes.
 
     Each round, each view names up to `each` unlabelled documents of which it is at least `sure` (classes in the labelled
-    proportion), for the other view's training set, at half weight.
+    proportion), for the other view's training set, at half weight. They are taken from the rows labelled -1, or from what
+    `offer` reaches: given both views, the keys that are taken and the quotas by label, it returns what the views name, and the
+    features (content, meta) by key.
     """
     known = np.flatnonzero(label >= 0)
     if len(set(label[known])) < 2:
@@ -157,90 +188,138 @@ def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, *, rounds
     if len(set(label[train])) < 2 or len(set(label[held])) < 2:
         train = held = known
     share = float(label[known].mean())
-    views, sets = (content, meta), [dict(zip(train.tolist(), label[train].tolist())) for _ in range(2)]
-    free = set(np.flatnonzero(label < 0).tolist())
-    own = set(train.tolist())
+    quotas = each - round(each * share), round(each * share)
+    views, pool = (content, meta), np.flatnonzero(label < 0)
+    named: list[dict[int, int]] = [{}, {}]  # by view that learns from it: key and label
+    features: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def from_rows(models: tuple[View, View], taken: np.ndarray, quotas: tuple[int, int]) -> tuple[Named, dict]:
+        got = surest((_chance(models[0].logit(content[pool])), _chance(models[1].logit(meta[pool]))), pool, taken, quotas, sure)
+        return [(v, c, keys) for v, c, keys, _ in got], {int(i): (content[i], meta[i]) for *_, keys, _ in got for i in keys}
 
     def fitted(k: int) -> View:
-        at = np.array(list(sets[k]))
-        y = np.array(list(sets[k].values()), float)
-        weight = np.array([1.0 if i in own else 0.5 for i in at.tolist()])
-        return _calibrated(_view(views[k][at], y, weight, ridge), views[k][held], label[held].astype(float))
+        more = [features[i][k] for i in named[k]]
+        x = np.vstack([views[k][train], *([np.array(more)] if more else [])])
+        y = np.concatenate([label[train], list(named[k].values())]).astype(float)
+        weight = np.where(np.arange(len(y)) < len(train), 1.0, 0.5)
+        return _calibrated(_view(x, y, weight, ridge), views[k][held], label[held].astype(float))
 
     for _ in range(rounds):
-        models = [fitted(0), fitted(1)]
-        if not free:
+        models = fitted(0), fitted(1)
+        got, found = (offer or from_rows)(models, np.array(sorted(features), np.int64), quotas)
+        if not found:
             break
-        pool = np.array(sorted(free))
-        for k in (0, 1):
-            p = 1 / (1 + np.exp(-models[k].logit(views[k][pool])))
-            for value, quota, certain in ((1, round(each * share), p), (0, each - round(each * share), 1 - p)):
-                best = np.argsort(-certain, kind="stable")[:quota]
-                for i in pool[best[certain[best] >= sure]].tolist():
-                    sets[1 - k].setdefault(i, value)
-                    free.discard(i)
+        features |= found
+        for view, value, keys in got:
+            for i in keys.tolist():
+                named[1 - view].setdefault(i, value)
     prior = float(np.log((label[held].sum() + 1) / (len(held) - label[held].sum() + 1)))
     return QualityModel(fitted(0), fitted(1), prior)
 
 
-def _with_features(docs: DataFrame, extra: tuple[str, ...]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            content = content_features(as_string(batch.column("text")))
-            meta = meta_features(batch.column("source"), batch.column("lang"), batch.column("n_chars"))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in extra), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], [*extra, "content", "meta"]
-            )
-
-    picked = docs.select(*extra, "text", "source", "lang", "n_chars")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[: len(extra)])
-    return picked.mapInArrow(run, fields + "content binary, meta binary")
+def _stack(rows: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 5000, unlabelled: int = 5000, seed: int = 3) -> QualityModel | None:
-    """Co-train on about `labelled` labelled and `unlabelled` other documents, drawn by a hash of doc_id.
+def features(docs: DataFrame) -> DataFrame:
+    """key, doc_id, content, meta (32-bit floats) of every row; rows alike in all that is read have one key."""
 
-    A document labelled more than once has the label of most of its rows (good on a tie); null labels and ids are left out.
-    None where the sample lacks one of the classes. Only feature rows of the sample (1.5 KB each) reach the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_string(batch.column("text"))
+            for lo, hi in row_slices(texts):
+                content = content_features(texts.slice(lo, hi - lo))
+                meta = meta_features(*(batch.column(c).slice(lo, hi - lo) for c in ("source", "lang", "n_chars")))
+                own = [batch.column(c).slice(lo, hi - lo) for c in ("key", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array([x.tobytes() for x in f], pa.binary()) for f in (content, meta))], ["key", "doc_id", "content", "meta"])
+
+    read = ("doc_id", "text", "source", "lang", "n_chars")
+    picked = docs.select(F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in read)).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), *read[1:])
+    return picked.mapInArrow(run, "key bigint, doc_id bigint, content binary, meta binary")
+
+
+def _offer(pool: DataFrame, sure: float) -> Callable:
+    """What the views name out of the whole pool (written features). Each task tells its surest keys by view and label; of these the
+    surest are taken, and only their features come to the driver: quota rows by view and label."""
+    spark = pool.sparkSession
+
+    def offer(models: tuple[View, View], taken: np.ndarray, quotas: tuple[int, int]) -> tuple[Named, dict]:
+        shared = spark.sparkContext.broadcast((models, taken))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (of_content, of_meta), known = shared.value
+            best = {(v, c): (np.zeros(0, np.int64), np.zeros(0)) for v in (0, 1) for c in (0, 1)}
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    chances = _chance(of_content.logit(_stack(part.column("content"), CONTENT))), _chance(of_meta.logit(_stack(part.column("meta"), META)))
+                    for v, c, keys, certain in surest(chances, part.column("key").to_numpy(), known, quotas, sure):
+                        keys, at = np.unique(np.concatenate([best[v, c][0], keys]), return_index=True)
+                        certain = np.concatenate([best[v, c][1], certain])[at]
+                        top = np.argsort(-certain, kind="stable")[: quotas[c]]
+                        best[v, c] = keys[top], certain[top]
+            for (v, c), (keys, certain) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(keys), pa.int32()), pa.array([c] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(certain, pa.float64())], ["view", "label", "key", "certain"])
+
+        told = pool.select("key", "content", "meta").mapInArrow(run, "view int, label int, key bigint, certain double").groupBy("view", "label", "key").agg(F.max("certain").alias("certain"))
+        nth = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("certain"), "key"))
+        quota = F.when(F.col("label") == 1, quotas[1]).otherwise(quotas[0])
+        rows = told.withColumn("nth", nth).where((F.col("nth") <= max(quotas)) & (F.col("nth") <= quota)).toArrow()
+        if not rows.num_rows:
+            return [], {}
+        view, value, keys = (rows[c].to_numpy() for c in ("view", "label", "key"))
+        wanted = spark.createDataFrame([(int(k),) for k in np.unique(keys)], "key bigint")
+        got = pool.select("key", "content", "meta").join(F.broadcast(wanted), "key").groupBy("key").agg(F.first("content").alias("content"), F.first("meta").alias("meta")).toArrow()
+        found = dict(zip(got["key"].to_pylist(), zip(_stack(got["content"], CONTENT), _stack(got["meta"], META))))
+        return [(v, c, np.sort(keys[(view == v) & (value == c)])) for v in (0, 1) for c in (0, 1)], found
+
+    return offer
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 5000, rounds: int = 4, each: int = 200, sure: float = 0.97, seed: int = 3) -> QualityModel | None:
+    """Co-train on at most `labelled` labelled documents, drawn by a hash of doc_id, and on all documents without labels.
+
+    A document labelled more than once has the label of most of its rows (good on a tie); null labels and ids are left out. Of rows
+    that share a drawn id, one counts (that of the least key). The rest of the table, rows without an id included, is the pool the
+    views name from, `each` a round; rows alike in all that is read are one document there. Labelled documents that aren't drawn
+    are in the pool as well. None where the sample lacks one of the classes, or the table is empty. To the driver come the
+    features (1.5 KB each) of at most labelled + 2 * each * rounds documents, however many rows share an id or a text.
     """
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    judged = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    n_labels, n_docs = judged.count(), docs.count()
-    if not n_labels or not n_docs:
-        return None
-    share_l, share_u = min(1.0, labelled / n_labels), min(1.0, unlabelled / max(n_docs, n_labels))
-    known = judged.where(draw < max(share_l, share_u)).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    # known: at most about labelled + unlabelled rows, as both shares are bounded by them
-    docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    rows = docs.where(draw < share_l).join(F.broadcast(known.where(draw < share_l)), "doc_id").withColumn("label", (F.col("quality") >= 0.5).cast("int")).drop("quality")
-    rest = docs.where(draw < share_u).join(F.broadcast(known.where(draw < share_u)), "doc_id", "left_anti").withColumn("label", F.lit(-1))
-    got = _with_features(rows.unionByName(rest), ("doc_id", "label")).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    pool = materialize(features(docs), "features")
+    judged = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+    known = judged.join(pool.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(labelled)
+    rows = pool.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min_by(F.struct("content", "meta"), "key").alias("row"))
+    got = rows.select("doc_id", "label", "row.content", "row.meta").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
-    stack = lambda c, n: np.frombuffer(b"".join(got[c].to_pylist()), np.float32).reshape(-1, n).astype(np.float64)
-    return co_train(stack("content", CONTENT), stack("meta", META), got["label"].to_numpy(), seed=seed)
+    drawn = pool.sparkSession.createDataFrame([(d,) for d in got["doc_id"].to_pylist()], "doc_id bigint")
+    rest = pool.join(F.broadcast(drawn), "doc_id", "left_anti")
+    return co_train(_stack(got["content"], CONTENT), _stack(got["meta"], META), got["label"].to_numpy(), rounds=rounds, each=each, sure=sure, seed=seed, offer=_offer(rest, sure))
 
 
-def score(spark: SparkSession, docs: DataFrame, model: QualityModel | None, *, keep: tuple[str, ...] = ("doc_id",), out_name: str = "quality") -> DataFrame:
-    """keep columns and `quality` (or out_name; 0 to 1) of every row. A null text is the empty one; without a model every score is 1 (nothing is rejected unlearned)."""
+def score_column(spark: SparkSession, model: QualityModel | None, text="text", source="source", lang="lang", n_chars="n_chars"):
+    """The score (0 to 1) as a column of the documents: texts go to Python once and only scores come back.
+
+    A null text is the empty one; without a model every score is 1 (nothing is rejected unlearned).
+    """
+    if model is None:
+        return F.lit(1.0)
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            n = len(keep)
-            if m is None:
-                value = np.ones(batch.num_rows)
-            else:
-                meta = meta_features(*(batch.column(c) for c in ("_in_source", "_in_lang", "_in_n_chars")))
-                texts, value = as_string(batch.column("_in_text")), np.zeros(batch.num_rows)
-                for lo, hi in row_slices(texts):
-                    value[lo:hi] = m.score(content_features(texts.slice(lo, hi - lo)).astype(np.float64), meta[lo:hi].astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(value, pa.float64())], [*batch.schema.names[:n], out_name])
-
-    picked = docs.select(*keep, *(F.col(c).alias("_in_" + c) for c in ("text", "source", "lang", "n_chars")))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[: len(keep)])
-    return picked.mapInArrow(run, fields + f"`{out_name}` double")
+    @F.arrow_udf("double")
+    def score_of(texts: pa.Array, sources: pa.Array, langs: pa.Array, lengths: pa.Array) -> pa.Array:
+        m, whole = shared.value, as_string(texts)
+        meta, value = meta_features(sources, langs, lengths), np.zeros(len(whole))
+        for lo, hi in row_slices(whole):
+            value[lo:hi] = m.score(content_features(whole.slice(lo, hi - lo)).astype(np.float64), meta[lo:hi].astype(np.float64))
+        return pa.array(value, pa.float64())
+
+    return score_of(text, source, lang, n_chars)
+
+
+def score(spark: SparkSession, docs: DataFrame, model: QualityModel | None, *, keep: tuple[str, ...] = ("doc_id",), out_name: str = "quality") -> DataFrame:
+    """keep columns and `quality` (or out_name; 0 to 1) of every row, as score_column has it. Every row comes back once."""
+    return docs.select(*keep, score_column(spark, model).alias(out_name))
 
 
 #: Documents below this score are rejected.

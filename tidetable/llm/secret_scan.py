@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_string, row_slices, table
+from .common import as_string, row_slices, table, unused
 
 KINDS = ("assign", "access", "hex", "novel")
 _KEYWORD = r"(password|passwd|secret|token|api_?key)"
@@ -162,6 +162,18 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty,
     return out
 
 
+def find(texts: pa.Array, novelty: Novelty, least: float = 0.9) -> Iterator[tuple[int, str, list[tuple[int, int, int]]]]:
+    """(row, text, sorted spans as base_spans has them) of the texts that pass a screen."""
+    base = pc.match_substring_regex(texts, "|".join(_SCREEN))
+    # a candidate's characters after a context word, on whatever line
+    other = pc.match_substring_regex(texts, r"(?s)" + CONTEXT_WORD + r".*?[A-Za-z0-9+/_=.-]{16}")
+    for i in pc.indices_nonzero(pc.or_(base, other)).to_pylist():
+        value = texts[i].as_py()
+        found = base_spans(value) if base[i].as_py() else []
+        more = novel_spans(value, found, novelty, least=least) if other[i].as_py() else []
+        yield i, value, sorted(found + more)
+
+
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.9, out_name: str = "spans") -> DataFrame:
     """keep columns and `spans` (or out_name): array of (kind, start, end), by start, then kind as listed in KINDS; code points, end exclusive.
 
@@ -175,15 +187,9 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
             texts = as_string(batch.column("_text"))
             for lo, hi in row_slices(texts, 8 << 20):
                 part = texts.slice(lo, hi - lo)
-                base = pc.match_substring_regex(part, "|".join(_SCREEN))
-                # a candidate's characters after a context word, on whatever line
-                other = pc.match_substring_regex(part, r"(?s)" + CONTEXT_WORD + r".*?[A-Za-z0-9+/_=.-]{16}")
                 out: list[list[dict]] = [[] for _ in range(hi - lo)]
-                for i in pc.indices_nonzero(pc.or_(base, other)).to_pylist():
-                    value = part[i].as_py()
-                    found = base_spans(value) if base[i].as_py() else []
-                    more = novel_spans(value, found, novelty, least=least) if other[i].as_py() else []
-                    out[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found + more)]
+                for i, _, spans in find(part, novelty, least):
+                    out[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array(out, pa.list_(span))], [*batch.schema.names[:-1], out_name])
 
     picked = docs.select(*keep, F.col(text).alias("_text"))
@@ -191,25 +197,42 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     return picked.mapInArrow(run, fields + f"`{out_name}` array<struct<kind:string,start:bigint,end:bigint>>")
 
 
-def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span replaced by mark (overlapping spans by one mark), n_chars following the text where there is such a column."""
-    names = docs.columns
-    found = scan(docs, text=text, keep=tuple(names), out_name="_secrets")
-    start_of = F.expr("array_sort(transform(_secrets, s -> struct(s.start as start, s.end as end)))")
-    # walk the sorted spans: keep the text between them; `at` is where the last one ended
-    walked = F.aggregate(
-        start_of,
-        F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["done"]).alias("done"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["done"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))),
-    )
-    out = found.withColumn(text, F.when(F.size("_secrets") > 0, walked).otherwise(F.col(text))).drop("_secrets")
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+def redacted(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """text with every span (start, end) replaced by mark; overlapping ones by one mark."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]", least: float = 0.9) -> DataFrame:
+    """docs with every found span replaced by mark (overlapping spans by one mark), n_chars following the text where there is such a column.
+
+    Every row comes back once, with all its columns; nulls, empty texts and texts without a finding as they are. Texts go to
+    Python once, and only changed ones come back.
+    """
+
+    @F.arrow_udf("string")
+    def changed(texts: pa.Array) -> pa.Array:
+        novelty, out = Novelty(), []
+        whole = as_string(texts)
+        for lo, hi in row_slices(whole, 8 << 20):
+            part = whole.slice(lo, hi - lo)
+            own = [None] * (hi - lo)
+            for i, value, spans in find(part, novelty, least):
+                if spans:
+                    own[i] = redacted(value, [(a, b) for a, _, b in spans], mark)
+            out += own
+        return pa.array(out, pa.string())
+
+    (fresh,) = unused(docs.columns, "changed")
+    found = docs.withColumn(fresh, changed(F.col(text)))
+    values = {text: F.coalesce(F.col(fresh), F.col(text))}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.length(values[text]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,8 @@ def write_flat(docs: DataFrame, ranks: str, *, end_id: int = END_ID, block: int
     """The flat store of docs: shard, kind, number, data.
 
     kind 0: block `number` of the shard, little-endian unsigned 16-bit ids. kind 1: the shard's manifest, the ids of its
-    documents in order (from the document `number` on, 64-bit), so that counts can be told to documents. Each task writes
+    documents in order (from the document `number` on: 64-bit ids, then a byte each that is 0 where the id is null), so that
+    counts can be told to documents. Each task writes
     one shard; a shard's blocks are cut without regard to documents. A null text is empty: its document is a separator alone.
     """
 
@@ -71,7 +72,7 @@ def write_flat(docs: DataFrame, ranks: str, *, end_id: int = END_ID, block: int
                         if n == block:
                             yield row(0, blocks, held.tobytes())
                             n, blocks = 0, blocks + 1
-            yield row(1, documents, batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            yield row(1, documents, manifest(batch.column(0).cast(pa.int64())))
             documents += batch.num_rows
         if n:
             yield row(0, blocks, held[:n].tobytes())
@@ -79,6 +80,15 @@ def write_flat(docs: DataFrame, ranks: str, *, end_id: int = END_ID, block: int
     return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "shard int, kind int, number bigint, data binary")
 
 
+def manifest(ids: pa.Array) -> bytes:
+    return ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+
+
+def read_manifest(data: bytes) -> pa.Array:
+    n = len(data) // 9
+    return pa.array(np.frombuffer(data, "<i8", n), pa.int64(), mask=np.frombuffer(data, np.uint8, n, 8 * n) == 0)
+
+
 def scan_block(ids: np.ndarray, end_id: int = END_ID) -> tuple[int, int, list[int]]:
     """(tokens before the first separator, tokens after the last, tokens of each document that begins and ends inside). Without a separator: (all, 0, [])."""
     at = np.flatnonzero(ids == end_id)
@@ -126,18 +136,27 @@ def count_documents(blocks: DataFrame, *, end_id: int = END_ID) -> DataFrame:
     return stitched.select("shard", "ended", F.posexplode(lengths).alias("_at", "n_tokens")).select("shard", (F.col("ended") + F.col("_at")).alias("ordinal"), "n_tokens")
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, shard, ordinal, n_tokens, read back from the flat store of all documents."""
-    import public_tokenizers
+def document_counts(docs: DataFrame, ranks: str, *, end_id: int = END_ID, block: int = BLOCK, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """id, shard, ordinal, n_tokens of every row, read back from the flat store of its text.
 
-    store = materialize(write_flat(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")), "tokens")
-    counts = count_documents(store.where("kind = 0"))
+    Null ids stay null, null and empty texts count 0, repeated rows count each; an empty table gives an empty result, and other
+    columns play no part.
+    """
+    store = materialize(write_flat(docs, ranks, end_id=end_id, block=block, text=text, id=id), "tokens")
+    counts = count_documents(store.where("kind = 0"), end_id=end_id)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, number, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "number", "data"))):
-                ids = np.frombuffer(data, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shard), pa.int32()), pa.array(number + np.arange(len(ids))), pa.array(ids)], ["shard", "ordinal", "doc_id"])
+                ids = read_manifest(data)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shard), pa.int32()), pa.array(number + np.arange(len(ids))), ids], ["shard", "ordinal", "doc_id"])
+
+    named = store.where("kind = 1").select("shard", "number", "data").mapInArrow(names, "shard int, ordinal bigint, doc_id bigint")
+    return named.join(counts, ["shard", "ordinal"]).select(F.col("doc_id").alias(id), "shard", "ordinal", "n_tokens")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, shard, ordinal, n_tokens, read back from the flat store of all documents."""
+    import public_tokenizers
 
-    manifest = store.where("kind = 1").select("shard", "number", "data").mapInArrow(names, "shard int, ordinal bigint, doc_id bigint")
-    return manifest.join(counts, ["shard", "ordinal"]).select("doc_id", "shard", "ordinal", "n_tokens")
+    return document_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
