@@ -14,64 +14,92 @@ from pyspark.sql import functions as F
 from tidetable.llm import jaccard_join, mixing, packing, quality, secret_scan
 from tidetable.llm.common import materialize, table
 
-#: Up to so many removed ids are told to the scan of the documents by broadcast (8 bytes each); beyond, by a join.
+#: Up to so many removed ids (8 bytes each) or sources are told to the scan of the documents by broadcast; beyond, by a join.
 BROADCAST_ROWS = 1_000_000
 
 
+def _told(df: DataFrame) -> DataFrame:
+    """df for a join: broadcast where it is short. df must be written."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _row(docs: DataFrame):
+    """The whole row as one column, so that no name of a stage's own can meet one of the documents'."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier accepts."""
+    """Documents that the co-trained classifier accepts, with all their columns as they were.
+
+    Each row is judged by itself: a null text is an empty one, null metadata is a value of its own, repeated rows stay or go
+    together, a score of just ACCEPT stays. Where the labels don't have both classes among the documents, all stay.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return quality.score(spark, docs, model, keep=tuple(names), out_name="_quality").where(F.col("_quality") >= quality.ACCEPT).select(*names)
+    return docs.where(quality.score_column(spark, model) >= quality.ACCEPT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id, which names the group.
 
-    Texts aren't moved: the removed ids are told to the scan, and rows that share an id are settled apart.
-    A document without words is in no group and stays, as does one without an id.
+    Texts aren't moved: the removed ids are told to the scan, and rows that share an id are settled apart: of those in the group
+    that their id names, the one with the least print and text stays. A document without words is in no group and stays, as does
+    one without an id.
     """
     found = materialize(jaccard_join.near_duplicates(docs, prints=True), "groups")
     repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
     removed = materialize(found.where("doc_id <> component_id").select("doc_id").unionAll(repeated).distinct(), "removed")
-    few = removed.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(removed) if few else removed, "doc_id", "left_anti").select(*docs.columns)
-    if not repeated.count():
+    kept = docs.join(_told(removed), "doc_id", "left_anti").select(*docs.columns)
+    if not repeated.limit(1).count():
         return kept
-    # rows of one id: of those in the group that this id names, the one with the least print and text stays
-    again = jaccard_join.with_prints(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
-    groups = found.join(repeated, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("_n"), F.col("fp").alias("_fp"), F.col("node").alias("_node"), F.col("component_id").alias("_least")).distinct()
-    named = again.join(groups, ["doc_id", "_n", "_fp"]).where("_n = 0 OR _least = doc_id")
-    best = F.min_by(F.struct(*docs.columns), F.struct("_n", "_fp", F.md5("text"))).alias("_row")
-    one = named.where("_n > 0").groupBy("doc_id", "_node").agg(best).select("_row.*")
-    return kept.unionByName(one).unionByName(named.where("_n = 0").select(*docs.columns))
+    again = docs.join(_told(repeated), "doc_id", "left_semi").select(_row(docs), "doc_id", F.md5("text").alias("sum"), jaccard_join.print_column().alias("print"))
+    groups = found.join(repeated, "doc_id", "left_semi").select("doc_id", F.struct(F.col("n_shingles").alias("n"), "fp").alias("print"), "node", "component_id").distinct()
+    named = again.join(groups, ["doc_id", "print"])
+    best = F.min_by("row", F.struct("print", "sum")).alias("row")
+    one = named.where("print.n > 0 AND component_id = doc_id").groupBy("doc_id", "node").agg(best)
+    return kept.unionByName(one.select("row.*")).unionByName(named.where("print.n = 0").select("row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets in its text replaced by a mark."""
+    """Every document, with the secrets in its text replaced by a mark; n_chars follows the text.
+
+    Null and empty texts stay so; repeated rows are changed alike; other columns are untouched.
+    """
     return secret_scan.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (0 to 3 times), sources at weights 1, 2, 3 in turn."""
-    names = docs.columns
-    mixed = materialize(mixing.mix(materialize(mixing.sizes(docs), "sizes")).select("doc_id", "place", "times"), "times")
-    # rows alike in id and text share what they take: each the same, the first ones one more
-    keys = mixed.groupBy("doc_id", "place").agg(F.sum("times").alias("_sum"), F.count("*").alias("_rows"))
-    keys = materialize(keys.where("_sum > 0").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("place").alias("_place"), "_sum", "_rows"), "times")
-    placed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_place", mixing.place("doc_id", "text"))
-    joined = placed.join(keys, ["_id", "_place"])
-    times = F.col("_sum")
-    if keys.where("_rows > 1").limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("_id", "_place").orderBy(F.lit(1)))
-        joined = joined.withColumn("_nth", nth)
-        times = F.floor(F.col("_sum") / F.col("_rows")) + (F.col("_nth") <= F.col("_sum") % F.col("_rows")).cast("int")
-    copies = joined.withColumn("_times", times.cast("int")).where("_times > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    """Documents as often as the mix takes them (0 to 3 times), sources at weights 1, 2, 3 in turn.
+
+    A source's documents are taken in the order of a hash of id and text, up to one place: told that, each row knows its own times,
+    and texts aren't moved. Rows alike in id and text share a place; where the mix ends inside of them, the first ones, as the scan
+    has them, are taken once more. A null source is one of its own; documents without words are never taken.
+    """
+    mixed = materialize(mixing.mix(materialize(mixing.sizes(docs), "sizes")).select("source", "size", "place", "times"), "times")
+    cuts = materialize(mixing.cuts(mixed), "cuts")
+    rows = docs.where(F.col("text").rlike(mixing.WORD)).select(_row(docs), mixing.source_key("source").alias("key"), mixing.place("doc_id", "text").alias("place"))
+    rows = rows.join(_told(cuts), "key")
+    more = F.coalesce(F.col("place") <= F.col("last"), F.lit(False)).cast("int")
+    shared = F.coalesce((F.col("place") == F.col("last")) & (F.col("more") < F.col("tied")), F.lit(False))
+    taken = rows.where(~shared).select("row", (F.col("base") + more).alias("times"))
+    if cuts.where("more < tied").limit(1).count():
+        taken = taken.unionAll(_first_ones(rows.where(shared)))
+    return taken.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
+def _first_ones(rows: DataFrame) -> DataFrame:
+    """row and times of rows that share a place: numbered within each written part first, so that they are never together in one task."""
+    parts = materialize(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "shared")
+    upto = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy("place", "part").agg(F.count("*").alias("rows")).select("place", "part", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("place", "part").orderBy("at")) + F.col("before")
+    return parts.join(before, ["place", "part"]).select("row", (F.col("base") + (nth <= F.col("more")).cast("int")).alias("times"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens.
+
+    A null or empty text is a piece of its end id alone; each repeated row is packed; rows alike in all may swap places.
+    """
     return packing.packed_digest(docs, packing.tokenizer_path("word_bpe_49k.json"))
 
 
