@@ -24,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 HASH_HEX = 3
 TIME_SLICES = 1024
 SLICE_ROWS = 1 << 20
+#: Up to so many sources are told to the documents by broadcast (some 100 bytes each); beyond, by a join.
+BROADCAST_ROWS = 100_000
 
 
 def place(id: str, text: str):
@@ -131,11 +133,12 @@ def cuts(mixed: DataFrame) -> DataFrame:
 
     Rows alike in id and text share the place `last`: of its `tied` rows only `more` are taken once more.
     """
-    words = mixed.where("size > 0").withColumn("key", source_key("source"))
-    base = words.groupBy("key").agg(F.min("times").alias("base"), F.max("times").alias("most"))
-    per_place = F.when(F.col("times") > F.col("base"), F.col("place"))
-    ends = words.join(base, "key").groupBy("key", "base").agg(F.max(per_place).alias("last"))
-    tied = words.join(ends.select("key", "base", F.col("last").alias("place")), ["key", "place"]).groupBy("key").agg(F.count("*").alias("tied"), F.count_if(F.col("times") > F.col("base")).alias("more"))
+    words = mixed.where("size > 0").select(source_key("source").alias("key"), "times", "place")
+    levels = words.groupBy("key", "times").agg(F.max("place").alias("place"))  # at most two a source
+    ends = levels.groupBy("key").agg(F.min("times").alias("base"), F.max(F.struct("times", "place")).alias("top"))
+    ends = materialize(ends.select("key", "base", F.when(F.col("top.times") > F.col("base"), F.col("top.place")).alias("last")), "ends")
+    told = ends.select("key", "base", F.col("last").alias("place"))
+    tied = words.join(F.broadcast(told) if ends.count() <= BROADCAST_ROWS else told, ["key", "place"]).groupBy("key").agg(F.count("*").alias("tied"), F.count_if(F.col("times") > F.col("base")).alias("more"))
     return ends.join(tied, "key", "left").select("key", F.col("base").cast("int").alias("base"), "last", "tied", "more")
 
 
