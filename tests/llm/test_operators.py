@@ -468,7 +468,7 @@ PAGE = "<html><head><title>{t}</title></head><body><nav><ul><li><a href='/'>Home
     ("body", "expected"),
     [
         ("<article><h1>A &amp; B</h1><p>One <b>bold</b> word.<br>Next<p>Two\n  lines</article>", "A & B\nOne bold word. Next\nTwo lines"),
-        ("<article><p>x<script>var a='</p>';</script>y<aside>side</aside></p><form>f<input></form></article>", "x\ny"),
+        ("<article><p>x<script>var a='</p>';</script>y<aside>side</aside></p><form>f<input></form></article>", "xy"),
         ("<article><p>a<!-- <p>no</p> -->b</p><div class='ad'>buy</div><p>c</p>", "ab\nc"),
         ("<main><p>1 < 2 &lt;p&gt;</p></main>", "1 < 2 <p>"),
         ("", ""),
@@ -478,22 +478,89 @@ def test_main_text_of_one_page(body, expected):
     assert html_main.extract(PAGE.format(t="x", body=body), None, {}) == expected
 
 
+def of_host(pages):
+    """All pages' main texts, as pages of one host with the first as wrapper page."""
+    counts = defaultdict(lambda: [0, 0, 0])
+    for p in pages:
+        html_main.count_page(p, html_main.Wrapper(pages[0]), counts)
+    wrapper = html_main.Wrapper(pages[0], {k: tuple(v) for k, v in counts.items()})
+    return [html_main.main_of(p, wrapper) for p in pages]
+
+
 def test_wrapper_without_names():
     """Plain div pages: only what varies is content."""
     page = "<body><div><div>Site name</div><div>Menu one two</div></div><div><div><p>{0}</p><p>{0} more {0}</p></div><div>All rights</div></div></body>"
-    pages = [page.format(w) for w in ("alpha " * 9, "beta " * 12, "gamma " * 7, "delta " * 5)]
-    source = html_main.fold([html_main.parse(pages[0])[0]])
-    nodes = html_main.number(source)
-    place = {id(s): k for k, s in enumerate(nodes)}
-    texts = [html_main.own_text(s, html_main.parse(pages[0])[1]) for s in nodes]
-    counts = defaultdict(lambda: [0, 0, 0])
-    for p in pages * 3:
-        root, blocks = html_main.parse(p)
-        for a, b in html_main.match(source, html_main.fold([root]))[1]:
-            k, text = place[id(a)], html_main.own_text(b, blocks)
-            counts[k] = [counts[k][0] + 1, counts[k][1] + (text == texts[k]), counts[k][2] + len(text)]
-    got = html_main.extract(pages[1], pages[0], {k: tuple(v) for k, v in counts.items()})
-    assert got == "beta " * 11 + "beta\n" + " ".join((("beta " * 12) + "more " + "beta " * 12).split())
+    words = [f"{w} " * n for w, n in (("alpha", 9), ("beta", 12), ("gamma", 7), ("delta", 5))] * 3
+    assert of_host([page.format(w) for w in words]) == [f"{w.strip()}\n{w}more {w}".strip() for w in words]
+
+
+CONSTANT = "Subscribe to our paper to read more of these stories every day."
+
+
+@pytest.mark.parametrize(
+    ("body", "expected"),
+    [
+        # a constant paragraph, in and between those that vary, with and without an article
+        ("<article><h1>T {w}</h1><p>One {w}.</p><p>{c}</p><p>Two {w}.</p></article>", "T {w}\nOne {w}.\nTwo {w}."),
+        ("<div><div>Home News</div><div><h1>T {w}</h1><p>One {w}.</p><p>{c}</p><p>Two {w}.</p></div><div>All rights</div></div>", "T {w}\nOne {w}.\nTwo {w}."),
+        ("<table><tr><td>Menu<td><p>One {w}</p><ul><li>{c}<li>item {w}</ul><p>Two {w}</table>", "One {w}\nitem {w}\nTwo {w}"),
+        # an article's own header, and words of its own in classes
+        ("<header><p>Site {w}</p></header><article><header><h1>T {w}</h1></header><p class='search'>On search {w}.</p><p class=replies>Said {w}.</p></article>", "T {w}\nOn search {w}.\nSaid {w}."),
+        # names inside of other attributes and values
+        ("<article><p data-id='ad-{w}' title='class=comments'>One {w}</p><div data-class=\"menu\" title='x id=ad'>Two {w}</div></article>", "One {w}\nTwo {w}"),
+        ("<article><p class='ad'>Buy {w}</p><div id=comments><p>Me {w}</div><p>One {w}</p></article>", "One {w}"),
+        # what is left out doesn't end a block
+        ("<article><p>One <button>Share {w}</button>two <svg><text>x</text></svg>{w}<select><option>a</select>.</p></article>", "One two {w}."),
+    ],
+)
+def test_layouts_by_what_varies(body, expected):
+    words = [" ".join(f"w{k}x{i * k}" for i in range(8)) for k in range(20)]
+    page = lambda w: f"<body><ul><li>Home<li>News</ul>{body.format(w=w, c=CONSTANT)}</body>"
+    assert of_host([page(w) for w in words]) == [expected.format(w=w) for w in words]
+
+
+def test_copies_of_one_article_stay_whole():
+    """A host that is mostly copies of one page: what they share is their article."""
+    page = "<body><p>Home</p><article><h1>Title</h1><p>{0}</p><p>The same words stand in all of the copies.</p></article></body>"
+    pages = [page.format(f"nearly alike {k % 3}") for k in range(30)]
+    assert of_host(pages) == [f"Title\nnearly alike {k % 3}\nThe same words stand in all of the copies." for k in range(30)]
+
+
+def plain_match(a, b):
+    """Simple tree matching straight from its definition."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_match(x, y))
+    return 1 + best[-1][-1]
+
+
+_TREE = st.recursive(st.sampled_from(["<div></div>", "<section></section>", "<p>x</p>", "<div class=a></div>"]), lambda c: st.tuples(st.sampled_from(["div", "section", "div class=a", "ul"]), st.lists(c, max_size=5)).map(lambda t: f"<{t[0]}>{''.join(t[1])}</{t[0].split()[0]}>"), max_leaves=25)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_TREE, _TREE)
+def test_matching_equals_brute_force(one, two):
+    shapes = html_main.Shapes()
+    a, b = (html_main.fold([html_main.parse(x)[0]], shapes) for x in (one, two))
+    size, pairs = html_main.match(a, b, shapes)
+    assert size == plain_match(a, b) == len(pairs)
+    assert all(x.label == y.label for x, y in pairs)
+    places = [{id(s): k for k, s in enumerate(html_main.number(t))} for t in (a, b)]
+    order = sorted((places[0][id(x)], places[1][id(y)]) for x, y in pairs)
+    assert [y for _, y in order] == sorted({y for _, y in order})
+
+
+def test_long_and_deep_pages_are_matched():
+    rng = np.random.default_rng(3)
+    kinds = ["<div></div>", "<div><p>a</p></div>", "<section></section>", "<section><ul><li>b</ul></section>", "<div class=x><h2>c</h2></div>"]
+    shapes = html_main.Shapes()
+    a, b = (html_main.fold([html_main.parse("".join(kinds[k] for k in rng.integers(0, 5, 3000)))[0]], shapes) for _ in range(2))
+    assert len(a.children) > 1500 and html_main.match(a, b, shapes)[0] == len(html_main.match(a, b, shapes)[1])
+    deep = "<div>" * 30_000 + "<p>deep {0}</p>"
+    assert of_host([deep.format(k) for k in range(9)]) == [f"deep {k}" for k in range(9)]
 
 
 LAYOUT = "<body class='{c}'><div class=top><p>Site</p></div>{before}<div class='site-footer'>bye {t}</div></body>"
