@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -161,6 +162,64 @@ def test_media_query(spark):
         assert x["media_sha256"] == hashlib.sha256(ts_media.mux(padded, len(raw))).hexdigest()
 
 
+def packet(pid, counter, payload, start=False, field=None):
+    """A packet by hand; field: adaptation flags (None: no field but stuffing)."""
+    room = 184 - len(payload)
+    head = bytes((0x47, (0x40 if start else 0) | pid >> 8, pid & 255))
+    if room == 0 and field is None:
+        return head + bytes((0x10 | counter & 15,)) + payload
+    body = bytes((room - 1,)) + (bytes((field or 0,)) + b"\xff" * (room - 2) if room > 1 else b"")
+    return head + bytes((0x30 | counter & 15,)) + body + payload
+
+
+def by_hand(chunks, *, split=False, repeat=None, jump=None, flagged=False, unbounded=False, versions=1):
+    """A stream made without the writer: tables over several packets, repeated packets, jumps of the counter, lengths of 0."""
+    out = []
+    filler = struct.pack(">BB", 0x80, 200) + b"z" * 200 if split else b""
+    descriptor = filler + struct.pack(">BBQ", ts_media.LENGTH_TAG, 8, sum(map(len, chunks)))
+    pat = ts_media._section(0, 1, struct.pack(">HHHH", 0, 0xE010, 7, 0xE000 | 0x321))
+    out.append(packet(0, 0, (b"\0" + pat).ljust(184, b"\xff"), True))
+    counter = -1
+    table_counter = 0
+    for k, chunk in enumerate(chunks):
+        pid = 0x500 + (k * versions // len(chunks))
+        if k * versions % len(chunks) == 0 or k == 0:
+            pmt = b"\0" + ts_media._section(2, 7, struct.pack(">HH", 0xE000 | pid, 0xF000 | len(descriptor)) + descriptor + struct.pack(">BHH", 0x1B, 0xE600, 0xF000) + struct.pack(">BHH", ts_media.STREAM_TYPE, 0xE000 | pid, 0xF000))
+            for at in range(0, len(pmt), 184):
+                out.append(packet(0x321, table_counter, pmt[at : at + 184].ljust(184, b"\xff"), at == 0))
+                table_counter += 1
+        pes = struct.pack(">IHBBB", 0x1BD, 0 if unbounded else len(chunk) + 3, 0x80, 0, 0) + chunk
+        for at in range(0, len(pes), 184):
+            counter += 1 + 3 * (jump == len(out))
+            one = packet(pid, counter, pes[at : at + 184], at == 0, 0x80 if flagged and jump == len(out) else None) if not (flagged and jump == len(out)) else None
+            if one is None:
+                out.append(packet(pid, counter, pes[at : at + 100], at == 0, 0x80))
+                counter += 1
+                one = packet(pid, counter, pes[at + 100 : at + 184])
+            out.append(one)
+            if repeat == len(out) - 1:
+                out.append(one)
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("split", [False, True])
+@pytest.mark.parametrize("unbounded", [False, True])
+def test_streams_made_by_hand(split, unbounded):
+    chunks = [bytes(range(256)) * 3, b"abc" * 200, b"x"]
+    made = {"split": split, "unbounded": unbounded}
+    got = ts_media.demux(by_hand(chunks, **made))
+    assert (got["payload"], got["n_bytes"], got["continuity_errors"], got["duplicates"]) == (b"".join(chunks), 768 + 600 + 1, 0, 0)
+    assert got["pts"] == [-1] * 3
+    got = ts_media.demux(by_hand(chunks, repeat=4, **made))
+    assert (got["payload"], got["continuity_errors"], got["duplicates"]) == (b"".join(chunks), 0, 1)
+    got = ts_media.demux(by_hand(chunks, jump=5, **made))
+    assert (got["payload"], got["continuity_errors"]) == (b"".join(chunks), 1)
+    got = ts_media.demux(by_hand(chunks, jump=5, flagged=True, **made))
+    assert (got["payload"], got["continuity_errors"]) == (b"".join(chunks), 0)
+    got = ts_media.demux(by_hand(chunks, versions=3, **made))
+    assert got["payload"] == b"".join(chunks)
+
+
 # --- quality -----------------------------------------------------------------------------------------------------------------
 
 
@@ -887,6 +946,28 @@ def test_context_of_secrets(spark, docs, text, expected):
     assert [text[s["start"] : s["end"]] for s in rows[0]["spans"]] == expected
 
 
+def test_precision_and_recall_of_novelty():
+    """Planted secrets in contexts against identifiers, paths, dates and versions in the same contexts."""
+    import random
+    import string
+    import uuid
+
+    rng = random.Random(5)
+    novelty = secret_scan.Novelty()
+    contexts = ("auth: {}", "session id {} was seen", "the cookie {} is set", "bearer {}", "client_credential = '{}'", "private value {}")
+    alphabets = ("0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/")
+    secrets = ["7b" + "".join(rng.choices(a, k=rng.choice((20, 32, 40, 64, 100)))) for a in alphabets for _ in range(60)]
+    ids = [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(80)]
+    paths = [f"docs/{rng.randint(1990, 2030)}/{rng.randint(1990, 2030)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}/{rng.choice(('index', 'report', 'readme'))}.{rng.choice(('html.gz', 'md', 'json'))}" for _ in range(80)]
+    names = [f"com.example.project{k}.module_{k}.SessionHandler.v{k}.{k}" for k in range(10, 60)]
+    found = {kind: sum(bool(secret_scan.novel_spans(t := rng.choice(contexts[1:3] + contexts[5:] if kind != "secret" else contexts).format(v), secret_scan.base_spans(t), novelty)) for v in values) for kind, values in (("secret", secrets), ("id", ids), ("path", paths), ("name", names))}
+    reported = sum(found.values())
+    assert found["secret"] / len(secrets) > 0.97 and found["secret"] / reported > 0.97
+    value = ids[0]
+    text = f"api key: {value}"
+    assert [text[a:b] for a, _, b in secret_scan.novel_spans(text, [], novelty)] == [value]
+
+
 def test_secret_query(spark):
     sf = SF.replace("0.001", "0.01")
     texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")

@@ -54,11 +54,12 @@ def as_string(column: pa.Array) -> pa.Array:
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string array and the offset at which each value starts, with the end last."""
+    """All bytes of a string or binary array and the offset at which each value starts, with the end last."""
     n = len(texts)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = texts.cast(pa.large_string()).buffers()
+    wide = pa.large_binary() if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else pa.large_string()
+    _, offsets, data = texts.cast(wide).buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1]
     every = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     return every[at[0] : at[-1]], at - at[0]

@@ -52,6 +52,10 @@ IDENTIFIERS = (
     "your_api_key_here changeme xxxxxxxxxxxxxxxx src/main/java/com/example node_modules/package.json "
 )
 
+#: An identifier by its form; reported only as the value of a name that says secret.
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_SECRET_NAME = re.compile(r"(?i:(?:key|token|secret|passw\w*|pwd|credential\w*|auth|bearer)[\"']?\s*(?:[:=]|\s)\s*[\"']?$)")
+
 #: Alphabets that secrets are written in, small ones first.
 _ALPHABETS = tuple((a, frozenset(a)) for a in ("0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.digits + string.ascii_letters))
 _RUN = re.compile(r"(?<![A-Za-z0-9])0[xX]|[A-Za-z0-9]+")
@@ -59,9 +63,9 @@ _RUN = re.compile(r"(?<![A-Za-z0-9])0[xX]|[A-Za-z0-9]+")
 CODED = 63
 
 
-def _alphabet(value: str) -> str:
-    used = set(value)
-    return next(a for a, members in _ALPHABETS if used <= members)
+def _alphabet(value: str, share: float = 0.95) -> str:
+    """The smallest alphabet that holds at least `share` of the characters: a prefix of a few others makes none larger."""
+    return next(a for a, members in _ALPHABETS if sum(c in members for c in value) >= share * len(value))
 
 
 def twin(value: str) -> str:
@@ -75,6 +79,14 @@ def twin(value: str) -> str:
     return _RUN.sub(drawn, value)
 
 
+def plain(value: str, share: float = 0.5) -> bool:
+    """Whether a string is put together of words and numbers, as paths, dates and names are: runs of letters with digits hold less
+    than `share` of its letters and digits."""
+    runs = [m.group() for m in _RUN.finditer(value)]
+    mixed = sum(len(r) for r in runs if not r.isdigit() and not r.isalpha())
+    return mixed < share * sum(map(len, runs))
+
+
 class Novelty:
     """Marginal compressed bytes of a string, given text around it and the identifier dictionary."""
 
@@ -143,7 +155,7 @@ def candidates(start: int, end: int, known: int, value: str) -> Iterator[tuple[i
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, *, least: float = 0.9, around: int = 256) -> list[tuple[int, int, int]]:
     """Candidates of 16 or more token characters, with letters and at least two digits, that have a context word before them,
-    don't overlap a base span, and compress to `least` or more of what a random string of their length and alphabet takes."""
+    aren't plain words and numbers or an identifier by form, don't overlap a base span, and compress to `least` or more of what a random string of their length and alphabet takes."""
     out: list[tuple[int, int, int]] = []
     for first, last, known in sensitive(text):
         for m in _TOKEN.finditer(text, first, last):
@@ -154,6 +166,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty,
                 value = text[start:end]
                 if end - start < 16 or sum(c.isdigit() for c in value) < 2 or not any(c.isalpha() for c in value):
                     continue
+                if plain(value) or _UUID.fullmatch(value) and not _SECRET_NAME.search(text, max(0, start - 32), start):
+                    continue
                 if any(a < end and start < b for a, b in done) or any(a < end and start < b for a, _, b in taken):
                     continue
                 if novelty.ratio(value, text[max(0, start - around) : start] + text[end : end + around]) >= least:
@@ -236,6 +250,7 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]", least
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's counts and digest of the base spans, and all its spans (see scan)."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = "filter(spans, s -> s.kind <> 'novel')"
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_string, raw_bytes, row_slices, table
+from .common import as_string, materialize, raw_bytes, row_slices, table
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, MEDIA_PID, NULL_PID = 0x0000, 0x1000, 0x0100, 0x1FFF
@@ -105,19 +105,71 @@ def mux(payload: bytes, n_bytes: int) -> bytes:
     return b"".join(out)
 
 
-def _read_section(packet: np.ndarray) -> tuple[int, int, bytes]:
-    raw = packet.tobytes()
-    at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-    at += 1 + raw[at]
-    size = struct.unpack_from(">H", raw, at + 1)[0] & 0xFFF
-    section = raw[at : at + 3 + size]
-    if len(section) < 12 or crc_mpeg(section):
-        raise StreamError("a table's checksum is wrong")
-    return section[0], struct.unpack_from(">H", section, 3)[0], section[8:-4]
+def _sections(packets: np.ndarray, skip: np.ndarray, start: np.ndarray) -> list[tuple[int, bytes]]:
+    """(table id, body) of the tables in force that one PID's packets carry, in order; a section may span packets, and a packet hold
+    several. A wrong checksum is an error; one that is cut at either end of the stream is left out."""
+    out: list[tuple[int, bytes]] = []
+    held: bytearray | None = None  # None: wait for the start of a section
+
+    def complete() -> None:
+        nonlocal held
+        while held is not None and len(held) >= 3 and held[0] != 0xFF:  # 0xFF: stuffing up to the end of the packet
+            size = 3 + (struct.unpack_from(">H", held, 1)[0] & 0xFFF)
+            if len(held) < size:
+                return
+            section, held = bytes(held[:size]), held[size:]
+            if len(section) < 12 or crc_mpeg(section):
+                raise StreamError("a table's checksum is wrong")
+            if section[5] & 1:  # in force now
+                out.append((section[0], section[8:-4]))
+        if held is not None and held[:1] == b"\xff":
+            held = None
+
+    for packet, at, first in zip(packets, skip.tolist(), start.tolist()):
+        raw = packet.tobytes()
+        if first:
+            pointer = raw[at] if at < PACKET else 0
+            if held is not None:
+                held += raw[at + 1 : at + 1 + pointer]
+                complete()
+            held = bytearray(raw[at + 1 + pointer :])
+        elif held is not None:
+            held += raw[at:]
+        complete()
+    return out
+
+
+def _media_pids(tables: list[tuple[int, bytes]]) -> tuple[list[int], int | None]:
+    """The PIDs of streams of samples in program map tables (the first of each table), and the length tag's value."""
+    pids: list[int] = []
+    n_bytes = None
+    for table_id, body in tables:
+        if table_id != 2:
+            continue
+        info = struct.unpack_from(">H", body, 2)[0] & 0xFFF
+        j = 4
+        while j + 2 <= 4 + info:
+            if body[j] == LENGTH_TAG and n_bytes is None:
+                n_bytes = struct.unpack_from(">Q", body, j + 2)[0]
+            j += 2 + body[j + 1]
+        j = 4 + info
+        while j + 5 <= len(body):
+            kind, where, more = struct.unpack_from(">BHH", body, j)
+            if kind == STREAM_TYPE:
+                if where & 0x1FFF not in pids:
+                    pids.append(where & 0x1FFF)
+                break
+            j += 5 + (more & 0xFFF)
+    return pids, n_bytes
 
 
 def demux(media: bytes) -> dict:
-    """payload, n_bytes, timestamps, random-access points (byte offset, timestamp), packets and continuity errors."""
+    """payload, n_bytes, timestamps, random-access points (byte offset, timestamp), packets, continuity errors and duplicates.
+
+    Follows program tables over any number of packets and versions. A packet that repeats the one before of its PID (same counter
+    and payload) is read once. A jump of the counter is an error, but for a packet with the discontinuity flag. An elementary
+    packet of length 0 goes on to the next one; one that lacks bytes is an error.
+    """
     if not media or len(media) % PACKET:
         raise StreamError("not whole packets")
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -126,54 +178,65 @@ def demux(media: bytes) -> dict:
     pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
     start = packets[:, 1] & 0x40 != 0
     control = packets[:, 3]
-    pmt_pid = media_pid = n_bytes = None
-    for i in np.flatnonzero((pid == PAT_PID) & start)[:1]:
-        _, _, body = _read_section(packets[i])
-        for j in range(0, len(body), 4):
+    carries = control & 0x10 != 0
+    adapted = control & 0x20 != 0
+    skip = np.where(adapted, 5 + packets[:, 4].astype(np.int32), 4)
+    if (skip[carries] > PACKET).any():
+        raise StreamError("an adaptation field runs past its packet")
+    flags = np.where(adapted & (packets[:, 4] > 0), packets[:, 5], 0)
+
+    errors = duplicates = 0
+    good = carries.copy()
+    for p in np.unique(pid[carries & (pid != NULL_PID)]):
+        own = np.flatnonzero((pid == p) & carries)
+        step = np.diff(control[own].astype(np.int16) & 15) & 15
+        broken = step != 1
+        for k in np.flatnonzero(step == 0).tolist():
+            a, b = own[k], own[k + 1]
+            if skip[a] == skip[b] and (packets[a, skip[a] :] == packets[b, skip[b] :]).all():
+                good[b], broken[k], duplicates = False, False, duplicates + 1
+        errors += int((broken & (flags[own[1:]] & 0x80 == 0)).sum())
+
+    def tables(p: int) -> list[tuple[int, bytes]]:
+        own = np.flatnonzero((pid == p) & good)
+        return _sections(packets[own], skip[own], start[own])
+
+    programs: list[int] = []
+    for table_id, body in tables(PAT_PID):
+        for j in range(0, len(body) - 3, 4) if table_id == 0 else ():
             number, where = struct.unpack_from(">HH", body, j)
-            pmt_pid = where & 0x1FFF if number else pmt_pid
-    for i in np.flatnonzero((pid == (-1 if pmt_pid is None else pmt_pid)) & start)[:1]:
-        _, _, body = _read_section(packets[i])
-        info = struct.unpack_from(">H", body, 2)[0] & 0xFFF
-        j = 4
-        while j < 4 + info:
-            if body[j] == LENGTH_TAG:
-                n_bytes = struct.unpack_from(">Q", body, j + 2)[0]
-            j += 2 + body[j + 1]
-        while j + 5 <= len(body):
-            kind, where, more = struct.unpack_from(">BHH", body, j)
-            if kind == STREAM_TYPE and media_pid is None:
-                media_pid = where & 0x1FFF
-            j += 5 + (more & 0xFFF)
-    if media_pid is None:
+            if number and where & 0x1FFF not in programs:
+                programs.append(where & 0x1FFF)
+    media_pids, n_bytes = [], None
+    for p in programs:
+        media_pids, n_bytes = _media_pids(tables(p))
+        if media_pids:
+            break
+    if not media_pids:
         raise StreamError("no program with a stream of samples")
-    errors = 0
-    for p in np.unique(pid[pid != NULL_PID]):
-        counters = control[(pid == p) & (control & 0x10 != 0)] & 15
-        errors += int((np.diff(counters.astype(np.int16)) & 15 != 1).sum())
-    mine = np.flatnonzero((pid == media_pid) & (control & 0x10 != 0))
-    own = packets[mine]
-    adapted = control[mine] & 0x20 != 0
-    skip = np.where(adapted, 5 + own[:, 4].astype(np.int32), 4)
-    keep = np.arange(PACKET)[None, :] >= skip[:, None]
-    begins = np.flatnonzero(start[mine])
-    flat = own[keep].tobytes()
-    ends = np.concatenate([[0], np.cumsum(PACKET - skip)])
-    payload, stamps, points = [], [], []
-    for k, b in enumerate(begins):
-        stop = begins[k + 1] if k + 1 < len(begins) else len(mine)
-        pes = flat[ends[b] : ends[stop]]
-        if pes[:3] != b"\x00\x00\x01":
-            raise StreamError("an elementary packet lacks its start code")
-        size = struct.unpack_from(">H", pes, 4)[0]
-        if len(pes) != size + 6:
-            raise StreamError("an elementary packet is cut short")
-        t = (pes[9] >> 1 & 7) << 30 | pes[10] << 22 | (pes[11] >> 1) << 15 | pes[12] << 7 | pes[13] >> 1 if pes[7] & 0x80 else -1
-        stamps.append(t)
-        if adapted[b] and own[b, 4] and own[b, 5] & 0x40:
-            points.append((int(mine[b]) * PACKET, t))
-        payload.append(pes[9 + pes[8] :])
-    return {"payload": b"".join(payload), "n_bytes": n_bytes, "pts": stamps, "points": points, "packets": len(packets), "continuity_errors": errors}
+
+    found: list[tuple[int, int, bytes]] = []  # place of its first packet, timestamp, payload of each elementary packet
+    points = []
+    for p in media_pids:
+        mine = np.flatnonzero((pid == p) & good)
+        begins = np.flatnonzero(start[mine])
+        flat = packets[mine][np.arange(PACKET)[None, :] >= skip[mine][:, None]].tobytes()
+        ends = np.concatenate([[0], np.cumsum(PACKET - skip[mine])])
+        for k, b in enumerate(begins):
+            stop = begins[k + 1] if k + 1 < len(begins) else len(mine)
+            pes = flat[ends[b] : ends[stop]]
+            if pes[:3] != b"\x00\x00\x01" or len(pes) < 9:
+                raise StreamError("an elementary packet lacks its start code")
+            size = struct.unpack_from(">H", pes, 4)[0]
+            if size and len(pes) != size + 6:
+                raise StreamError("an elementary packet is cut short" if len(pes) < size + 6 else "an elementary packet runs past its length")
+            t = (pes[9] >> 1 & 7) << 30 | pes[10] << 22 | (pes[11] >> 1) << 15 | pes[12] << 7 | pes[13] >> 1 if pes[7] & 0x80 else -1
+            at = int(mine[b])
+            if flags[at] & 0x40:
+                points.append((at * PACKET, t))
+            found.append((at, t, pes[9 + pes[8] :]))
+    found.sort(key=lambda x: x[0])
+    return {"payload": b"".join([x[2] for x in found]), "n_bytes": n_bytes, "pts": [x[1] for x in found], "points": sorted(points), "packets": len(packets), "continuity_errors": errors, "duplicates": duplicates}
 
 
 def store(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -206,16 +269,16 @@ def read_back(stored: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "media"))
     """keep columns and what the stream in `media` holds: the payload (padded), its length before padding, packet count,
     continuity errors, timestamps, random-access points, and two features of the samples (mean; changes of side about 128).
 
-    A null stream gives nulls. Bytes that aren't such a stream fail the job with StreamError: a store must not lose values silently.
+    Works through the rows in slices of bytes, so memory doesn't follow the batch. A null stream gives nulls. Bytes that aren't such a stream fail the job with StreamError: a store must not lose values silently.
     """
     point = pa.struct([("byte_offset", pa.int64()), ("pts", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media = batch.column("_media")
-            for start in range(0, len(media), 256):
+            for start, end in row_slices(media.cast(pa.large_binary()).fill_null(b"")):
                 cols: list[list] = [[] for _ in range(8)]
-                for value in media.slice(start, 256):
+                for value in media.slice(start, end - start):
                     if not value.is_valid:
                         row = [None] * 8
                     else:
@@ -226,7 +289,7 @@ def read_back(stored: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "media"))
                     for c, x in zip(cols, row):
                         c.append(x)
                 kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(point), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, 256) for c in batch.columns[:-1]), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*batch.schema.names[:-1], *(x.split()[0] for x in ("payload", "n_bytes", "packets", "continuity_errors", "pts", "random_access", "sample_mean", "sign_changes"))])
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in batch.columns[:-1]), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*batch.schema.names[:-1], *(x.split()[0] for x in ("payload", "n_bytes", "packets", "continuity_errors", "pts", "random_access", "sample_mean", "sign_changes"))])
 
     picked = stored.select(*keep, F.col("media").alias("_media"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
@@ -234,7 +297,8 @@ def read_back(stored: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "media"))
 
 
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = read_back(store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """Each document's text as a stored transport stream, written and read back: sizes, digests and features (see store and read_back)."""
+    back = read_back(materialize(store(table(spark, sf_dir, "documents").select("doc_id", "text")), "streams"))
     feature = F.concat_ws(
         ";",
         F.concat(F.lit("packets="), F.col("packets")),
