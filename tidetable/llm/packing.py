@@ -20,6 +20,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ from .common import as_string, materialize, row_slices, table
 CAPACITY = 2048
 END_ID = 1
 #: Words kept with their ids in each worker, in two generations.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -92,9 +93,9 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
 
 #: Byte-level alphabet: bytes that aren't printable stand for the characters from 256 on, in order.
 _BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
-#: A lone comma or full stop between a letter and white space: a token of its own. (Plain letters only: others may lower-case to
-#: more than letters, and stay with their comma.)
-_LONE = re.compile(r"(?<=[A-Za-z])([,.])(?=[ \n]|\Z)")
+#: A lone comma or full stop between a letter and white space: a token of its own. (Letters of Latin-1 only: others may lower-case
+#: to more than letters, and stay with their comma.)
+_LONE = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([,.])(?=[ \n]|\Z)")
 #: What added tokens begin with. They are matched on the raw text, before lower-casing.
 _ADDED = "<|"
 #: What a tokenizer must do for its texts to be cut at spaces: the parts of its file that say so.
@@ -133,40 +134,54 @@ class WordIds:
 
     @staticmethod
     def lower(text: str) -> str:
-        """text in lower case where that changes no id: plain letters alone, none where an added token may stand, and none where a
-        composed letter could come of it. What stays as it was is lower-cased by the tokenizer."""
+        """text in lower case where that changes no id: letters of Latin-1, or of ASCII in a text that has others; none where an added
+        token may stand or a composed letter could come of it. What stays as it was is lower-cased by the tokenizer."""
         if _ADDED in text:
             return text
-        if text.isascii():
+        try:
+            text.encode("latin-1")
             return text.lower()
+        except UnicodeEncodeError:
+            pass
         low = text.encode().lower().decode()
         return low if is_normalized("NFC", text) and is_normalized("NFC", low) else text
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.word_bound:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [_LONE.sub(r" \1", self.lower(t)).replace("\n", " ").split(" ") for t in texts]
-        young, old, missing = self.young, self.old, set()
-        for words in cut:
-            missing.update(w for w in words if w not in young)
-        new = []
-        for w in missing:
-            if (got := old.get(w)) is None:
-                new.append(w)
-            else:
-                young[w] = got
+        # words of all texts by number: each different one is looked up once, and the ids are put together as arrays
+        cut = pc.split_pattern(pa.array([_LONE.sub(r" \1", self.lower(t)).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        numbered = cut.flatten().dictionary_encode()
+        words, at = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if (got := old.get(w)) is None:
+                    new.append(w)
+                else:
+                    young[w] = got
         tokenize, rest = self.tokenizer.model.tokenize, []
         for w in new:
-            if w.isalpha() and max(w) < "\u0250" and w == w.lower() and is_normalized("NFC", w):
-                # one run of letters that normalising leaves alone: the model can have it as it is, in the byte alphabet
-                young[w] = array("I", [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-            else:
-                rest.append(w)
+            # one run of small letters that normalising leaves alone: the model can have it as it is, in the byte alphabet
+            if w.isascii():
+                if w.isalpha() and w.islower():
+                    young[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
+                    continue
+            elif max(w) < "\u0250" and w.isalpha() and w == w.lower():
+                young[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+                continue
+            rest.append(w)
         for start in range(0, len(rest), 4096):
             part = rest[start : start + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 young[w] = array("I", e.ids).tobytes()
-        out = [b"".join([young[w] for w in words]) for words in cut]
+        found = [young[w] for w in words]
+        every, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        begin, length = (np.cumsum(size) - size)[at], size[at]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = every[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])]
+        text_ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(text_ends, text_ends[1:])]
         if len(young) > CACHE_WORDS:
             self.old, self.young = young, {}
         return out
