@@ -30,7 +30,7 @@ from .common import as_string, materialize, row_slices, table
 CAPACITY = 2048
 END_ID = 1
 #: Words kept with their ids in each worker, in two generations.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 
 
 @dataclass(frozen=True)
