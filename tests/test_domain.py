@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidetable.cli import parser
 from tidetable.functions import columns as C
 from tidetable.operators import joins, metrics, windows
-from tidetable.plans import baselines, bunching, delay, evaluation, features, model, planner, shapes, timetable, transfers
+from tidetable.plans import baselines, bunching, dashboard, delay, evaluation, features, model, planner, shapes, timetable, transfers
+from tidetable.plans import live as live_plans
 from tidetable.sources import gtfs_rt, gtfs_static, tables, weather, wire
 from tidetable.streaming import live
 
@@ -292,6 +293,115 @@ def test_itinerary_score(spark):
     assert got["success"] == pytest.approx(0.25) and got["score"] == pytest.approx(1000 + 0.75 * 900)
 
 
+def test_plan_of_journeys(spark):
+    """Two places, a direct ride and one with a change that comes earlier; the departure after; observed and estimated transfers."""
+    stops = spark.createDataFrame([("a", 43.0, -80.0), ("b", 43.05, -80.0), ("c", 43.1, -80.0), ("far", 44.0, -80.0)], "stop_id string, stop_lat double, stop_lon double")
+    trips = []
+    for k, start in enumerate((1000, 1600)):
+        trips += [(f"slow{k}", "S", "a", 1, start), (f"slow{k}", "S", "c", 2, start + 3000), (f"fast{k}", "F", "a", 1, start), (f"fast{k}", "F", "b", 2, start + 600), (f"on{k}", "G", "b", 1, start + 900), (f"on{k}", "G", "c", 2, start + 1500)]
+    times = spark.createDataFrame(trips, "trip_id string, route_id string, stop_id string, stop_sequence int, seconds long")
+    hours = spark.createDataFrame([("S", 0, 100, 400), ("G", 5, 40, 90), ("G", 6, 50, 101)], "route_id string, hour_of_day int, median_s long, p90_s long")
+    rates = spark.createDataFrame([("F|G|b", 0.5)], "transfer string, success_rate double")
+    queries = spark.createDataFrame([(1, 43.0, -80.001, 43.1, -80.001, 900), (2, 43.0, -80.0, 50.0, -80.0, 900)], "query_id int, from_lat double, from_lon double, to_lat double, to_lon double, depart long")
+    rows = planner.plan(queries, stops, times, None, hours, rates).orderBy("place").collect()
+    walk = round(haversine(43.0, -80.0, 43.0, -80.001) / 1.25)
+    assert {r["query_id"] for r in rows} == {1} and [r["place"] for r in rows] == [1, 2, 3, 4]
+    got = {r["leg_key"]: r for r in rows}
+    # the direct ride is in hour 0; G has no hour 0, so the mean of its hours counts; F|G|b was observed
+    one, two = got["S@1000"], got["F@1000>G@1900"]
+    assert (one["arrive"], one["arrive_expected"], one["arrive_p90"], one["success"]) == (4000 + walk, 4100 + walk, 4400 + walk, 1.0)
+    assert (two["arrive"], two["arrive_expected"], two["arrive_p90"], two["success"]) == (2500 + walk, 2545 + walk, 2596 + walk, 0.5)
+    assert two["score"] == 2596 + walk + 450 and set(got) == {"S@1000", "F@1000>G@1900", "S@1600", "F@1600>G@2500"}
+    plain = planner.plan(queries, stops, times, None, hours.limit(0), rates.limit(0)).where("leg_key = 'F@1000>G@1900'").first()
+    assert plain["arrive_p90"] == 2500 + walk + 240 and plain["success"] == pytest.approx(min(0.98, 1 - 0.5 ** (300 / 60)))
+
+
+def haversine(lat1, lon1, lat2, lon2):
+    a, b, c, d = map(np.radians, (lat1, lon1, lat2, lon2))
+    return 2 * 6_371_000.0 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2))
+
+
+def test_rounds_that_are_worth_it(spark):
+    rows = spark.createDataFrame([(1, 1, 100), (1, 2, 80), (1, 3, 65), (2, 1, 50), (2, 2, 20)], "query_id int, round int, arrive long")
+    assert sorted(tuple(r) for r in planner.improving(rows).collect()) == [(1, 1, 100), (1, 3, 65), (2, 1, 50)]
+
+
+@pytest.mark.parametrize("n", [0, 7, 120, 1000])
+def test_hash_sample_equals_a_sort(spark, n):
+    import hashlib
+
+    rows = spark.range(400).selectExpr("id", "id % 7 AS k")
+    expected = sorted(range(400), key=lambda i: (hashlib.md5(f"{i}|{i % 7}".encode()).hexdigest(), i))[:n]
+    assert sorted(r["id"] for r in baselines.hash_sample(rows, ("id", "k"), n).collect()) == sorted(expected)
+
+
+def test_health_of_feeds(spark):
+    from datetime import timedelta
+
+    now = datetime(2024, 1, 10, 12)
+    seen = [("bus", now - timedelta(minutes=4)), ("bus", now - timedelta(minutes=90)), ("alerts", now - timedelta(minutes=16))]
+    expected = spark.createDataFrame([("bus", "realtime"), ("alerts", "alerts"), ("gone", "static")], "feed string, kind string")
+    got = live_plans.health(spark.createDataFrame(seen, "feed string, updated timestamp"), expected, spark.createDataFrame([(now,)], "now timestamp"))
+    assert {r["feed"]: (r["age_minutes"], r["is_fresh"]) for r in got.collect()} == {"bus": (4.0, True), "alerts": (16.0, False), "gone": (None, False)}
+
+
+def test_lookups_as_json(spark):
+    hours = spark.createDataFrame([("7", 8, 29, 1.0, 2.0), ("7", 9, 30, 12.5, 99.6), ("8", 9, 31, 13.5, 100.0)], "route_id string, hour_of_day int, observations long, median_delay_seconds double, p90_delay_seconds double")
+    sums = spark.createDataFrame([("7", "8", "s1", 25, 0.12345), ("7", "8", "s2", 24, 0.5)], "from_route_id string, to_route_id string, from_stop_id string, attempts long, success_rate double")
+    got = dashboard.lookups(dashboard.route_hours(hours), dashboard.transfer_rates(sums)).first()["json"]
+    assert json.loads(got) == {"route_hours": {"7": {"9": [12, 100]}, "8": {"9": [14, 100]}}, "transfer_rates": {"7|8|s1": 0.123}}
+
+
+def test_live_cycle(spark):
+    from datetime import timedelta
+
+    now = datetime(2024, 1, 10, 12)
+    at = lambda m: now - timedelta(minutes=m)
+    updates = spark.createDataFrame([(at(70), "t1", "r", "s1", 1, 60.0, 3.0), (at(20), "t1", "r", "s1", 1, 90.0, 3.0), (at(1), "t1", "r", "s1", 1, 400.0, 2.0), (at(1), "t1", "r", "s2", 2, 420.0, 9.0)], "collected_at_utc timestamp, trip_id string, route_id string, stop_id string, stop_sequence int, feed_delay_seconds double, prediction_lead_minutes double")
+    positions = spark.createDataFrame([("v1", "e1", "bus", "r", "t1", None, 43.1234567, -80.0, at(2), at(1)), (None, "e2", "bus", "x", "t9", 1, 43.0, -80.0, None, at(1)), ("v1", "e1", "bus", "r", "t1", None, 42.0, -80.0, at(30), at(29))], "vehicle_id string, entity_id string, feed_name string, route_id string, trip_id string, direction_id long, latitude double, longitude double, vehicle_timestamp_utc timestamp, collected_at_utc timestamp")
+    routes = spark.createDataFrame([("bus", "r", "12"), ("bus", "r", "12")], "feed_name string, route_id string, route_short_name string")
+    trips = spark.createDataFrame([("bus", "t1", "Centre", "1")], "feed_name string, trip_id string, trip_headsign string, direction_id string")
+    sizes = []
+
+    def score(rows):
+        sizes.append(rows.count())
+        return rows.withColumn("predicted_delay_seconds", F.col("feed_delay_seconds") + 0.4)
+
+    out = live_plans.cycle(updates, score, positions, routes, trips, F.lit(now))
+    assert sizes == [3] and out["scored"].count() == 2
+    assert [(r["arrivals"], r["late"]) for r in out["summary"].collect()] == [(2, 2)]
+    got = sorted((json.loads(r["json"]) for r in out["markers"].collect()), key=lambda m: m["route_id"])
+    assert got[0] == {"route_id": "r", "route_short_name": "12", "trip_headsign": "Centre", "direction_id": 1, "lat": 43.123457, "lon": -80.0, "position_age_seconds": 120, "next_stop_id": "s1", "predicted_delay_seconds": 400.0}
+    assert got[1] == {"route_id": "x", "route_short_name": "x", "direction_id": 1, "lat": 43.0, "lon": -80.0}
+
+
+def test_train_and_predict_commands(spark, tmp_path, monkeypatch):
+    from tidetable import cli
+
+    monkeypatch.setattr(cli, "build", lambda **_: spark)
+    monkeypatch.setattr(spark, "stop", lambda: None, raising=False)
+    rows = spark.range(3000).selectExpr("date_add(DATE '2024-01-01', CAST(id % 5 AS int)) AS snapshot_date", "concat('t', id % 50) AS trip_id", "concat('s', id % 9) AS stop_id", "CAST(id % 9 AS int) AS stop_sequence", "timestamp_seconds(1704067200 + (id % 5) * 86400 + id) AS collected_at_utc", "concat('r', id % 3) AS route_id", "CAST(id % 40 AS double) AS prediction_lead_minutes", "CAST((id % 3) * 100 + id % 11 AS double) AS delay_seconds", "CAST((id % 3) * 90 AS double) AS feed_delay_seconds")
+    rows.withColumn("date", F.col("snapshot_date").cast("string")).write.partitionBy("date").parquet(str(tmp_path / "features"))
+    cli.main(["train", "--features", str(tmp_path / "features"), "--output", str(tmp_path / "model"), "--rounds", "3", "--max-train-rows", "1500"])
+    told = json.loads(spark.read.text(str(tmp_path / "model/evaluation.json")).first()[0])
+    assert told["train_rows"] == 1500 and told["validation_rows"] == 600 and set(told["errors"]) == {"model", "feed", "interval"} and abs(sum(told["importance"].values()) - 1) < 1e-6
+    cli.main(["predict", "--features", str(tmp_path / "features"), "--model", str(tmp_path / "model"), "--output", str(tmp_path / "scored"), "--all-snapshots"])
+    scored = spark.read.parquet(str(tmp_path / "scored/scored"))
+    assert scored.count() == 3000 and not scored.where("predicted_delay_lower_seconds > predicted_delay_seconds").count()
+
+
+def test_snapshots_are_found_and_decoded_once(spark, raw):
+    files = gtfs_rt.snapshots(spark, str(raw))
+    nested = gtfs_rt.decode_nested(files)
+    for name in gtfs_rt.SCHEMAS:
+        a, b = gtfs_rt.split(nested, name), gtfs_rt.read_table(spark, str(raw), name)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    feeds = {r[0].split("/")[-3] for r in files.select("path").collect()}
+    one = sorted(feeds)[0]
+    assert {r[0].split("/")[-3] for r in gtfs_rt.snapshots(spark, str(raw), feeds=[one]).select("path").collect()} == {one}
+    assert gtfs_rt.snapshots(spark, str(raw), most=1).count() == 1 and gtfs_rt.snapshots(spark, str(raw), dates=["1999-01-01"]).count() == 0
+
+
 def test_simplify_and_stitch(spark):
     line = [(0.0, float(i)) for i in range(10)] + [(5.0, 10.0)]
     assert shapes.keep_points(np.array(line), 0.1).nonzero()[0].tolist() == [0, 9, 10]

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import json
 from collections.abc import Sequence
+from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from .config import DEFAULT
-from .plans import bunching, delay, evaluation, features, reliability, transfers
+from .plans import baselines, bunching, dashboard, delay, evaluation, features, live, model, reliability, transfers
 from .session import build
-from .sources import gtfs_rt, gtfs_static, tables, weather
+from .sources import exports, gtfs_rt, gtfs_static, tables, weather
 
 STATIC_COLUMNS = {
     "stop_times": ["trip_id", "stop_id", "stop_sequence", "arrival_time", "departure_time"],
@@ -32,8 +35,10 @@ def _static(spark, root):
 
 
 def parse_realtime(spark, a):
+    nested = gtfs_rt.decode_nested(gtfs_rt.snapshots(spark, a.raw, dates=a.date, feeds=a.feed, most=a.limit_files)).persist(StorageLevel.DISK_ONLY)  # each file is decoded once
     for name in gtfs_rt.SCHEMAS:
-        tables.write(_dated(gtfs_rt.read_table(spark, a.raw, name)), f"{a.output}/{name}", overwrite=a.overwrite)
+        tables.write(_dated(gtfs_rt.split(nested, name)), f"{a.output}/{name}", overwrite=a.overwrite)
+    nested.unpersist()
 
 
 def parse_static(spark, a):
@@ -93,6 +98,56 @@ def evaluate(spark, a):
     tables.write_summary(evaluation.interval_summary(matched), f"{a.output}/intervals", overwrite=a.overwrite)
 
 
+def _text(spark, root, name, content):
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}")
+
+
+def train(spark, a):
+    rows = tables.scan(spark, a.features, dates=a.date, start=a.start_date).where(F.abs("delay_seconds") <= DEFAULT.outlier_s)
+    days = baselines.time_split(rows)
+    marked = rows.join(F.broadcast(days), "snapshot_date")  # a row a day
+    keys = [c for c in ("snapshot_date", "trip_id", "stop_id", "stop_sequence", "collected_at_utc") if c in rows.columns]
+    fitted = baselines.hash_sample(marked.where("is_train"), keys, a.max_train_rows).persist(StorageLevel.DISK_ONLY)
+    held = baselines.hash_sample(marked.where("is_validation"), keys, a.max_validation_rows).persist(StorageLevel.DISK_ONLY)
+    trees = model.train(fitted, rounds=a.rounds, late_weight=a.late_weight)
+    residuals = model.residual_quantiles(model.predict(trees, held))
+    model.save(trees, residuals, a.output, overwrite=a.overwrite)
+    found, gains = model.evaluation(model.predict(trees, held, residuals)), model.importance(trees)
+    _text(spark, a.output, "evaluation.json", json.dumps({"errors": found, "importance": dict(gains), "train_rows": fitted.count(), "validation_rows": held.count()}))
+    _text(spark, a.output, "evaluation.md", model.report(found, gains))
+
+
+def predict(spark, a):
+    trees, residuals = model.load(spark, a.model)
+    rows = tables.scan(spark, a.features, dates=a.date, start=a.start_date)
+    scored = model.predict(trees, rows if a.all_snapshots else live.newest_snapshot(rows), residuals)
+    tables.write(_dated(scored), f"{a.output}/scored", overwrite=a.overwrite)
+    done = spark.read.parquet(f"{a.output}/scored")
+    if "feed_delay_seconds" in done.columns:
+        tables.write_summary(live.route_summary(done), f"{a.output}/routes", overwrite=a.overwrite)
+    tables.write_summary(live.next_stops(done), f"{a.output}/next_stops", overwrite=a.overwrite)
+
+
+def export(spark, a):
+    hours = spark.read.parquet(f"{a.reliability}/route_by_hour.parquet")
+    rates = dashboard.transfer_rates(spark.read.parquet(f"{a.transfers}/stop_summary.parquet"))
+    exports.write_documents(dashboard.lookups(dashboard.route_hours(hours), rates), f"{a.output}/lookups", overwrite=a.overwrite)
+    stops = spark.read.parquet(f"{a.reliability}/route_stop_summary.parquet")
+    routes = exports.dashboard(spark.read.parquet(f"{a.reliability}/route_summary.parquet"), hours, stops, spark.read.parquet(f"{a.transfers}/stop_summary.parquet"))
+    exports.write_documents(routes, f"{a.output}/routes", overwrite=a.overwrite)
+
+
+def health(spark, a):
+    """Prints each feed's state; exit code 1 where one is stale or missing. Feeds are named as feed=kind."""
+    limits = DEFAULT.freshness_minutes | {k: v for k, v in (("realtime", a.max_realtime_age_minutes), ("alerts", a.max_alert_age_minutes), ("static", a.max_static_age_hours and a.max_static_age_hours * 60), ("weather", a.max_weather_age_hours and a.max_weather_age_hours * 60)) if v}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(a.raw).select(F.element_at(F.split("path", "/"), -3).alias("feed"), F.col("modificationTime").alias("updated"))
+    expected = spark.createDataFrame([tuple(x.split("=", 1)) for x in a.expect or []], "feed string, kind string")
+    told = live.health(files, expected, spark.range(1).select(F.current_timestamp().alias("now")), replace(DEFAULT, freshness_minutes=limits)).orderBy("feed").collect()  # a row a feed
+    for r in told:
+        print(f"[{'OK' if r['is_fresh'] else 'FAIL'}] {r['feed']} ({r['kind']}): " + ("nothing found" if r["age_minutes"] is None else f"{r['age_minutes']:.1f} minutes old"))
+    raise SystemExit(0 if all(r["is_fresh"] for r in told) else 1)
+
+
 #: Command: what runs it, and its folders in order of need (a leading ? marks one that may be left out).
 COMMANDS = {
     "parse-realtime": (parse_realtime, ("raw", "output")),
@@ -104,6 +159,10 @@ COMMANDS = {
     "bunching": (bunching_tables, ("features", "output")),
     "transfers": (transfer_tables, ("delay", "static", "output")),
     "evaluate": (evaluate, ("log", "delay", "output")),
+    "train": (train, ("features", "output")),
+    "predict": (predict, ("features", "model", "output")),
+    "export": (export, ("reliability", "transfers", "output")),
+    "health": (health, ("raw",)),
 }
 
 
@@ -120,6 +179,18 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--keep-all-snapshots", action="store_true")
         p.add_argument("--snapshot-stride-minutes", type=int)
         p.add_argument("--min-observations", type=int, default=10)
+        p.add_argument("--feed", action="append", help="only this feed; may be repeated")
+        p.add_argument("--limit-files", type=int, help="at most so many files, the first by path")
+        p.add_argument("--max-train-rows", type=int, default=2_000_000)
+        p.add_argument("--max-validation-rows", type=int, default=500_000)
+        p.add_argument("--rounds", type=int, default=60)
+        p.add_argument("--late-weight", type=float, default=3.0)
+        p.add_argument("--all-snapshots", action="store_true", help="score every poll, not the newest alone")
+        p.add_argument("--expect", action="append", help="feed=kind, with kind realtime, alerts, static or weather; may be repeated")
+        p.add_argument("--max-realtime-age-minutes", type=float)
+        p.add_argument("--max-alert-age-minutes", type=float)
+        p.add_argument("--max-static-age-hours", type=float)
+        p.add_argument("--max-weather-age-hours", type=float)
         p.add_argument("--master")
     return top
 

@@ -15,7 +15,8 @@ from ..functions import columns as C
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import windows as W
-from . import baselines, bunching, delay, evaluation, features, reliability, transfers
+from ..sources import gtfs_static, tables
+from . import baselines, bunching, dashboard, delay, evaluation, features, live, reliability, transfers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -232,7 +233,7 @@ def _(s, d):
 
 @query("scan_parquet", "SELECT event_type, count(*) AS rows, round(sum(value), 6) AS value FROM events GROUP BY event_type")
 def _(s, d):
-    return read(s, d, "events").groupBy("event_type").agg(F.count("*").alias("rows"), F.sum("value").alias("value"))
+    return tables.scan(s, f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("rows"), F.sum("value").alias("value"))
 
 
 @query("scan_pruned", "SELECT event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'")
@@ -287,10 +288,11 @@ def _(s, d):
     return read(s, d, "events").groupBy("event_type").agg(F.max(F.col("ts").cast("date")).cast("string").alias("latest"))
 
 
-@query("latest_complete_snapshot", "SELECT user_id, CAST(max(day) AS VARCHAR) AS latest FROM (SELECT user_id, CAST(ts AS DATE) AS day FROM events GROUP BY 1, 2 HAVING count(DISTINCT event_type) >= 3) GROUP BY user_id")
+@query("latest_complete_snapshot", "SELECT user_id, CAST(max(day) AS VARCHAR) AS latest FROM (SELECT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2 HAVING count(DISTINCT event_type) = 3) GROUP BY user_id")
 def _(s, d):
-    days = read(s, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.countDistinct("event_type").alias("n")).where("n >= 3")
-    return days.groupBy("user_id").agg(F.max("day").cast("string").alias("latest"))
+    rows = read(s, d, "events").select(F.col("user_id").alias("feed_name"), F.col("ts").cast("date").alias("p_snapshot_date"), "event_type")
+    kinds = {t: rows.where(F.col("event_type") == t) for t in ("click", "view", "purchase")}
+    return gtfs_static.latest_complete(kinds).select(F.col("feed_name").alias("user_id"), F.col("p_snapshot_date").cast("string").alias("latest"))
 
 
 @query("json_nested_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -745,3 +747,63 @@ def _(s, d):
     rows = read(s, d, "lineitem").select(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("stop_sequence"), (F.col("l_partkey") % 5).cast("string").alias("stop_id"))
     found = trip_patterns(rows, ())
     return found.groupBy(F.array_join("stops", ">").alias("pattern")).agg(F.sum(F.size("trips")).alias("trips"), F.min(F.array_min("trips")).alias("first_trip"))
+
+
+# --- live vehicles, shapes, lookups ------------------------------------------------------------------------------------
+
+VEHICLES = """vehicles AS (
+  SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id END AS vehicle_id, event_id AS entity_id, event_type AS route_id, user_id AS trip_id, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS feed_name,
+    CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS latitude, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 2 END AS direction_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END AS seen, ts AS collected FROM events)"""
+
+
+def _vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    return read(spark, sf_dir, "events").select(
+        F.when(id % 7 != 0, F.col("user_id")).alias("vehicle_id"), id.alias("entity_id"), F.col("event_type").alias("route_id"), F.col("user_id").alias("trip_id"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("feed_name"),
+        F.when(id % 11 != 0, F.col("value")).alias("latitude"), F.lit(1.0).alias("longitude"), F.when(id % 3 != 0, id % 2).alias("direction_id"), F.when(id % 5 != 0, ts).alias("vehicle_timestamp_utc"), ts.alias("collected_at_utc"),
+    )
+
+
+@query(
+    "live_vehicles",
+    """SELECT coalesce(CAST(vehicle_id AS VARCHAR), CAST(entity_id AS VARCHAR)) AS vehicle, v.route_id, coalesce(r.short, v.route_id) AS route_short_name, coalesce(v.direction_id, CAST(t.c_nationkey AS BIGINT)) AS direction_id, t.c_name AS trip_headsign, round(latitude, 6) AS lat
+  FROM (SELECT * FROM vehicles WHERE latitude IS NOT NULL QUALIFY row_number() OVER (PARTITION BY coalesce(CAST(vehicle_id AS VARCHAR), CAST(entity_id AS VARCHAR)) ORDER BY seen DESC NULLS LAST, collected DESC, entity_id) = 1) v
+  LEFT JOIN (SELECT DISTINCT event_type AS route_id, upper(event_type) AS short, 'a' AS feed_name FROM events) r ON v.route_id = r.route_id AND v.feed_name = r.feed_name
+  LEFT JOIN customer t ON v.trip_id = t.c_custkey AND v.feed_name = CASE WHEN t.c_custkey % 2 = 0 THEN 'a' ELSE 'b' END""",
+    VEHICLES,
+)
+def _(s, d):
+    routes = read(s, d, "events").select(F.lit("a").alias("feed_name"), F.col("event_type").alias("route_id"), F.upper("event_type").alias("route_short_name"))
+    trips = read(s, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("b").alias("feed_name"), F.col("c_custkey").alias("trip_id"), F.col("c_name").alias("trip_headsign"), F.col("c_nationkey").cast("string").alias("direction_id"))
+    return live.live_vehicles(_vehicles(s, d), routes, trips).select("vehicle", "route_id", "route_short_name", "direction_id", "trip_headsign", "lat")
+
+
+POINTS = """points AS (
+  SELECT DISTINCT p.route_id, p.shape_id, e.event_id AS seq, e.value AS lat, CAST(CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS DOUBLE) AS lon
+  FROM events e JOIN (SELECT DISTINCT event_type AS route_id, user_id AS shape_id, CAST(ts AS DATE) AS day FROM events WHERE event_id % 10 = 0) p ON e.user_id = p.shape_id AND CAST(e.ts AS DATE) = p.day
+  WHERE e.value IS NOT NULL AND json_extract_string(e.props, '$.k') IS NOT NULL)"""
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").alias("shape_id"), F.lit("f").alias("feed_name"), F.col("ts").cast("date").alias("p_snapshot_date"), F.col("event_id").cast("string").alias("shape_pt_sequence"), F.col("value").cast("string").alias("shape_pt_lat"), F.get_json_object("props", "$.k").alias("shape_pt_lon"))
+    return dashboard.shape_points(e.where("event_id % 10 = 0").withColumnRenamed("event_type", "route_id"), e)
+
+
+@query("shape_points", "SELECT route_id, shape_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon FROM points", POINTS)
+def _(s, d):
+    return _points(s, d)
+
+
+@query("bounds", "SELECT round(min(lat), 6) AS min_lat, round(max(lat), 6) AS max_lat, round(min(lon), 6) AS min_lon, round(max(lon), 6) AS max_lon FROM points", POINTS)
+def _(s, d):
+    return dashboard.bounds(_points(s, d))
+
+
+@query("route_hour_lookup", "SELECT route_id, hour_of_day, CAST(round_even(median_delay_seconds, 0) AS BIGINT) AS median_s, CAST(round_even(p90_delay_seconds, 0) AS BIGINT) AS p90_s FROM hourly WHERE observations >= 30", OBS, _HOURLY)
+def _(s, d):
+    return dashboard.route_hours(tidy(reliability.rollup(reliability.base(obs(s, d)), ("route_id", "hour_of_day"))))
+
+
+@query("transfer_rate_lookup", "SELECT concat_ws('|', from_route_id, to_route_id, from_stop_id) AS transfer, round(success_rate, 3) AS success_rate FROM sums WHERE attempts >= 2", OBS, _PROP, _STOPSUM)
+def _(s, d):
+    return dashboard.transfer_rates(tidy(transfers.summary(transfers.proposed(_candidates(s, d)), ("from_stop_id", "from_route_id", "to_route_id"), 1)), 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,54 @@ def freshness(updates: DataFrame, now: DataFrame, limit_minutes: Column) -> Data
     newest = updates.groupBy("feed").agg(F.max("updated").alias("newest")).crossJoin(F.broadcast(now))  # now: one row
     age = (F.unix_micros("now") - F.unix_micros("newest")).cast("double") / 60e6
     return newest.select("feed", age.alias("age_minutes"), (age <= limit_minutes).alias("is_fresh"))
+
+
+def live_vehicles(positions: DataFrame, routes: DataFrame, trips: DataFrame) -> DataFrame:
+    """The newest position of each vehicle (told by its id, or its entity's) that has a place and a route, with its route's short name
+    and its trip's headsign and direction where they are known.
+
+    routes: feed_name, route_id, route_short_name. trips: feed_name, trip_id, trip_headsign, direction_id. Both may repeat over dates.
+    """
+    placed = positions.where("latitude IS NOT NULL AND longitude IS NOT NULL AND route_id IS NOT NULL AND CAST(route_id AS string) <> ''")
+    named = placed.withColumn("_vehicle", F.coalesce(F.col("vehicle_id").cast("string"), F.col("entity_id").cast("string")))
+    last = latest_per_key(named, ["_vehicle"], [F.col("vehicle_timestamp_utc").desc_nulls_last(), F.col("collected_at_utc").desc(), F.col("entity_id")])
+    short = routes.groupBy("feed_name", "route_id").agg(F.min("route_short_name").alias("_short"))
+    sign = trips.groupBy("feed_name", "trip_id").agg(F.min(F.struct("trip_headsign", F.col("direction_id").try_cast("bigint").alias("direction_id"))).alias("_trip"))
+    met = last.join(short, ["feed_name", "route_id"], "left").join(sign, ["feed_name", "trip_id"], "left")
+    return met.select(
+        "feed_name", "route_id", F.coalesce("_short", F.col("route_id").cast("string")).alias("route_short_name"), "trip_id", F.coalesce("direction_id", "_trip.direction_id").alias("direction_id"), F.col("_trip.trip_headsign").alias("trip_headsign"),
+        F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "vehicle_timestamp_utc", F.col("_vehicle").alias("vehicle"),
+    )
+
+
+def markers(vehicles: DataFrame, scored: DataFrame, now: Column, digits: int = 6) -> DataFrame:
+    """A row of JSON for each live vehicle, with its trip's next stop and prediction where that was scored."""
+    ahead = next_stops(scored).select("trip_id", F.col("stop_id").alias("next_stop_id"), F.round("predicted_delay_seconds").alias("predicted_delay_seconds"))
+    age = F.greatest(F.unix_seconds(now) - F.unix_seconds("vehicle_timestamp_utc"), F.lit(0))
+    rows = vehicles.join(ahead, "trip_id", "left").select(
+        "route_id", "route_short_name", "trip_headsign", "direction_id", F.round("lat", digits).alias("lat"), F.round("lon", digits).alias("lon"), F.when(F.col("vehicle_timestamp_utc").isNotNull(), age).alias("position_age_seconds"), "next_stop_id", "predicted_delay_seconds"
+    )
+    return rows.select("route_id", "trip_headsign", F.to_json(F.struct("*")).alias("json"))
+
+
+def cycle(updates: DataFrame, score: Callable[[DataFrame], DataFrame], positions: DataFrame, routes: DataFrame, trips: DataFrame, now: Column, *, window_minutes: int = 60, settings: Settings = DEFAULT) -> dict[str, DataFrame]:
+    """One live cycle: the updates of the rolling window, those of its newest poll scored, and what a client is told.
+
+    score: from the window's rows to the same with predicted_delay_seconds (lags need the window; only the newest poll is told).
+    Returns scored, summary (by route), markers.
+    """
+    recent = updates.where(F.unix_seconds("collected_at_utc") > F.unix_seconds(now) - window_minutes * 60)
+    scored = newest_snapshot(score(recent))
+    where = live_vehicles(newest_snapshot(positions), routes, trips)
+    return {"scored": scored, "summary": route_summary(scored, settings), "markers": markers(where, scored, now)}
+
+
+def health(updates: DataFrame, expected: DataFrame, now: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Each expected feed against the limit of its kind: feed, kind, age_minutes, is_fresh (false where it has no object).
+
+    updates: feed, updated. expected: feed, kind (a key of freshness_minutes). now: one row, `now`.
+    """
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in settings.freshness_minutes.items() for x in kv]), F.col("kind"))
+    told = expected.join(updates.select("feed", "updated"), "feed", "left").groupBy("feed", "kind").agg(F.max("updated").alias("newest")).crossJoin(F.broadcast(now))  # now: one row
+    age = (F.unix_micros("now") - F.unix_micros("newest")).cast("double") / 60e6
+    return told.select("feed", "kind", age.alias("age_minutes"), F.coalesce(age <= limit, F.lit(False)).alias("is_fresh"))

@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .wire import WireError, fields, real, signed, text
 
@@ -153,3 +154,50 @@ def decode_table(files: DataFrame, name: str, *, skip_bad: bool = True) -> DataF
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return files.mapInArrow(run, schema)
+
+
+def decode_nested(files: DataFrame, *, skip_bad: bool = True) -> DataFrame:
+    """All tables of files (path, content) at once: a row a file, each table an array of its rows. `split` takes one out."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, StructField, StructType
+
+    schema = StructType([StructField(name, ArrayType(StructType.fromDDL(ddl))) for name, ddl in SCHEMAS.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                try:
+                    rows = decode(batch.column("content")[i].as_py(), batch.column("path")[i].as_py())
+                except WireError:
+                    if not skip_bad:
+                        raise
+                    continue
+                yield pa.RecordBatch.from_pylist([rows], arrow)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def split(nested: DataFrame, name: str) -> DataFrame:
+    return nested.select(F.explode(name).alias("row")).select("row.*")
+
+
+def snapshots(spark: SparkSession, root: str, *, glob: str = "*.pb", dates: list[str] | None = None, feeds: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Files (path, content) of snapshots under root: of the named dates and feeds, and of those the `most` first by path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    named = files.select("path", "content", *(F.regexp_extract("path", _PATH.pattern, i).alias(c) for i, c in ((1, "feed"), (2, "day"))))
+    named = named.where(F.col("day").isin(*dates)) if dates else named
+    named = named.where(F.col("feed").isin(*feeds)) if feeds else named
+    if most is not None:
+        first = named.select("path").orderBy("path").limit(most)  # paths alone are sorted
+        named = named.join(first, "path", "left_semi")
+    return named.select("path", "content")
+
+
+def preview(data: bytes, path: str, *, entities: int = 3, stops: int = 5) -> str:
+    """A snapshot's counts and first rows as text."""
+    tables = decode(data, path)
+    lines = [f"{k}: {v}" for k, v in tables["feed_snapshots"][0].items()]
+    for name, most in (("trip_updates", entities), ("stop_time_updates", stops), ("vehicle_positions", entities), ("service_alerts", entities)):
+        lines += [f"{name} ({len(tables[name])})", *("  " + ", ".join(f"{k}={v}" for k, v in row.items() if v is not None and k not in ("snapshot_path", "snapshot_date")) for row in tables[name][:most])]
+    return "\n".join(lines)
