@@ -439,8 +439,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     final = components(_join(_clusters(members, may), lambda placed: _whole_links(rows, classes, placed)))
     ids = classes.select(F.struct("n", "fp").alias("node"), "id")
     least = final.join(ids, "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    of_class = materialize(final.join(least, "component").select(F.col("node.n").alias("n"), F.col("node.fp").alias("fp"), "component", "component_id"), "of_class")
-    out = documents.join(classes.select("n", "fp", F.col("id").alias("least")), ["n", "fp"], "left").join(of_class, ["n", "fp"], "left")
+    of_class = final.join(least, "component").select(F.col("node.n").alias("n"), F.col("node.fp").alias("fp"), "component", "component_id")
+    # one row a class, written, so that documents meet it in one join, whose hot classes (copies) adaptive execution can split
+    named = materialize(classes.select("n", "fp", F.col("id").alias("least")).join(of_class, ["n", "fp"], "left"), "named")
+    out = documents.join(named, ["n", "fp"], "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "least", "id").alias("component_id"), *([F.col("fp"), F.coalesce("component", F.struct("n", "fp")).alias("node")] if prints else []))
 
 
