@@ -12,7 +12,6 @@ counted in hash buckets first, so a length that a third of the corpus shares is
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -95,7 +94,7 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
 _BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: A lone comma or full stop between a letter and white space: a token of its own. (Letters of Latin-1 only: others may lower-case
 #: to more than letters, and stay with their comma.)
-_LONE = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([,.])(?=[ \n]|\Z)")
+_LONE = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([,.])([ \n]|$)"
 #: What added tokens begin with. They are matched on the raw text, before lower-casing.
 _ADDED = "<|"
 #: What a tokenizer must do for its texts to be cut at spaces: the parts of its file that say so.
@@ -122,13 +121,14 @@ class WordIds:
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
         parts = {k: json.loads(x.__getstate__()) if (x := getattr(self.tokenizer, k)) is not None else None for k in _WORD_BOUND}
         added = self.tokenizer.get_added_tokens_decoder().values()
         plain = all(t.content.startswith(_ADDED) and " " not in t.content and "\n" not in t.content and not (t.normalized or t.lstrip or t.rstrip or t.single_word) for t in added)
-        model = json.loads(self.tokenizer.model.__getstate__())
-        self.word_bound = parts == _WORD_BOUND and plain and model["type"] == "BPE" and not model["dropout"] and not model["ignore_merges"]
+        model = self.tokenizer.model
+        self.word_bound = parts == _WORD_BOUND and plain and isinstance(model, BPE) and not model.dropout and not model.ignore_merges
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -150,7 +150,8 @@ class WordIds:
         if not self.word_bound:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         # words of all texts by number: each different one is looked up once, and the ids are put together as arrays
-        cut = pc.split_pattern(pa.array([_LONE.sub(r" \1", self.lower(t)).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        parted = pc.replace_substring_regex(pa.array([self.lower(t) for t in texts], pa.large_string()), _LONE, r"\1 \2\3")
+        cut = pc.split_pattern(pc.replace_substring(parted, "\n", " "), " ")
         numbered = cut.flatten().dictionary_encode()
         words, at = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
         young, old, new = self.young, self.old, []
