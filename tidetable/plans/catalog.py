@@ -238,7 +238,7 @@ def _(s, d):
 
 @query("scan_pruned", "SELECT event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'")
 def _(s, d):
-    return read(s, d, "events").where("ts >= TIMESTAMP_NTZ '2024-01-10' AND ts < TIMESTAMP_NTZ '2024-01-11'").select("event_id", "value")
+    return tables.scan(s, f"{d}/events.parquet", start="2024-01-10", end="2024-01-11", column="ts").select("event_id", "value")
 
 
 @query("project_exclude", "SELECT * EXCLUDE (props, ts) FROM events")
@@ -651,7 +651,7 @@ def _truth(s, d):
 
 @query("eval_match", f"SELECT l.event_id, {q('t.truth', 'truth')} FROM log l JOIN truth t USING (service_date, trip_id, route_id)", LOG, _TRUTH)
 def _(s, d):
-    return log(s, d).join(_truth(s, d), ["service_date", "trip_id", "route_id"]).select("event_id", "truth")
+    return evaluation.match(log(s, d), _truth(s, d), keys=("service_date", "trip_id", "route_id")).select("event_id", "truth")
 
 
 @query("eval_coverage", f"SELECT {text_date('service_date')}, count(*) AS logged, count(truth) AS matched, {q('CAST(count(truth) AS DOUBLE) / count(*)', 'match_rate')} FROM log l LEFT JOIN truth t USING (service_date, trip_id, route_id) GROUP BY l.service_date".replace("CAST(service_date AS VARCHAR) AS service_date", "CAST(l.service_date AS VARCHAR) AS service_date"), LOG, _TRUTH)

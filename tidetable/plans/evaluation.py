@@ -26,8 +26,9 @@ def observed(delays: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return last.select(*KEYS, F.col("delay_seconds").alias("observed_delay_seconds"))
 
 
-def match(log: DataFrame, truth: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    return complete(log).join(truth, list(KEYS)).withColumn("lead_bucket", lead_bucket("prediction_lead_minutes", settings.lead_edges_min))
+def match(log: DataFrame, truth: DataFrame, settings: Settings = DEFAULT, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Logged predictions that have a truth, with their lead bucket."""
+    return complete(log).join(truth, list(keys)).withColumn("lead_bucket", lead_bucket("prediction_lead_minutes", settings.lead_edges_min))
 
 
 def error_summary(matched: DataFrame, by: tuple[str, ...] = (), least: int = 0, predicted: str = "predicted_delay_seconds", truth: str = "observed_delay_seconds") -> DataFrame:

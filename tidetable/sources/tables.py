@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scan(spark: SparkSession, root: str, *, dates: Sequence[str] | None = None, start: str | None = None, column: str = "date") -> DataFrame:
-    """A table partitioned by date; only the named dates, or those from start on (both prune partitions)."""
+def scan(spark: SparkSession, root: str, *, dates: Sequence[str] | None = None, start: str | None = None, end: str | None = None, column: str = "date") -> DataFrame:
+    """A table partitioned by date; only the named dates, or those from start on and before end (all prune partitions)."""
     df = spark.read.parquet(root)
     if dates is not None:
         df = df.where(F.col(column).isin(*dates))
     if start is not None:
         df = df.where(F.col(column) >= start)
+    if end is not None:
+        df = df.where(F.col(column) < end)
     return df
 
 
