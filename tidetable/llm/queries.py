@@ -18,6 +18,9 @@ _WHERE = {
     "op8_html_main": "html_main",
     "op9_jaccard_join": "jaccard_join",
     "op10_secret_scan": "secret_scan",
+    "op11_fm_index": "decontamination",
+    "op12_divergence": "divergence",
+    "op13_exponion": "exponion",
 }
 
 
@@ -92,5 +95,84 @@ FROM sets s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_
 """
 
 
+_DECONTAMINATION = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+grams AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT r, n, i, item FROM grams JOIN windows USING (n, phrase)),
+hits AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, n, i FROM found) f, range(10) t(k) WHERE k < n GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""
+
+
+_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS size FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(s.size, 0) AS size FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS size FROM counts GROUP BY lang, source) s ON g.lang = s.lang AND g.source = s.source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (g.size + 2 * l.v) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (k.n + 2)) // (l.size + 2 * l.v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS one, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s ON s.lang = a.lang AND s.one = a.source AND s.other = b.source),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _clusters() -> str:
+    """Rounds of the centroid clustering, one common table expression after the other."""
+    steps = []
+    for i in range(4):
+        steps.append(f"""d{i} AS MATERIALIZED (
+  SELECT r, k, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{i} c USING (dim) GROUP BY r, k),
+a{i} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM d{i} GROUP BY r)""")
+        if i < 3:
+            steps.append(f"""m{i} AS (SELECT a.k, v.dim, sum(v.x) AS s, count(*) AS n FROM a{i} a JOIN v USING (r) GROUP BY a.k, v.dim),
+c{i + 1} AS MATERIALIZED (SELECT c.k, c.dim, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON c.k = m.k AND c.dim = m.dim)""")
+    rounds = ",\n".join(steps)
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, unnest(range(64)) AS dim, unnest(e) AS x FROM kept),
+firsts AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST) - 1 AS k FROM kept),
+c0 AS MATERIALIZED (SELECT k, dim, x FROM v JOIN firsts USING (r) WHERE k < 16),
+{rounds},
+digests AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM c3 GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN kept USING (r) JOIN digests USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_maxscore": _MAXSCORE, "op7_mixing": _MIXING, "op9_jaccard_join": _JACCARD}
+    return {
+        "op5_maxscore": _MAXSCORE,
+        "op7_mixing": _MIXING,
+        "op9_jaccard_join": _JACCARD,
+        "op11_fm_index": _DECONTAMINATION,
+        "op12_divergence": _DIVERGENCE,
+        "op13_exponion": _clusters(),
+    }
