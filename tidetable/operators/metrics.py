@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.columns import col, delay_flags, quantile
+from ..functions.columns import col, delay_flags
+from . import quantiles as Q
 
 
 def share(flag: Column) -> Column:
@@ -14,22 +17,37 @@ def share(flag: Column) -> Column:
     return F.avg(F.when(flag, 1.0).otherwise(0.0))
 
 
-def reliability(delay: str = "delay_seconds", day: str = "snapshot_date", trip: str = "trip_id", settings: Settings = DEFAULT) -> list[Column]:
-    flags = delay_flags(delay, settings)
-    return [
-        F.count("*").alias("observations"),
-        F.countDistinct(day).alias("service_days"),
-        F.countDistinct(trip).alias("trips"),
-        F.avg(delay).alias("mean_delay_seconds"),
-        F.median(delay).alias("median_delay_seconds"),
-        quantile(delay, 0.75).alias("p75_delay_seconds"),
-        quantile(delay, 0.90).alias("p90_delay_seconds"),
-        quantile(delay, 0.95).alias("p95_delay_seconds"),
-        F.avg(F.abs(delay)).alias("mean_abs_delay_seconds"),
-        share(flags["is_on_time"]).alias("on_time_rate"),
-        share(flags["is_late"]).alias("late_rate"),
-        share(flags["is_early"]).alias("early_rate"),
-    ]
+PERCENTILES = {"median_delay_seconds": 0.5, "p75_delay_seconds": 0.75, "p90_delay_seconds": 0.9, "p95_delay_seconds": 0.95}
+
+
+def reliability(rows: DataFrame, by: Sequence[str] = (), *, places: Sequence[str] = (), settings: Settings = DEFAULT) -> DataFrame:
+    """The metrics of each group of rows (snapshot_date, trip_id, delay_seconds), and the means of `places`. Without `by` all rows are one group, which is there even if there are none."""
+    told = [x for c in places for x in (F.col(c).alias(f"_{c}"), F.when(F.col(c).isNotNull(), 1).otherwise(0).alias(f"_{c}_n"))]
+    cells = rows.select(Q.key_of(by).alias("_set"), "snapshot_date", "trip_id", "delay_seconds", F.lit(1).alias("_n"), *told)
+    found = reliability_of_counts(cells, "_set", places, settings, whole=not by)
+    return found.select(*(["_set.*"] if by else []), *(c for c in found.columns if c != "_set"))
+
+
+def reliability_of_counts(cells: DataFrame, key: str, places: Sequence[str] = (), settings: Settings = DEFAULT, *, whole: bool = False) -> DataFrame:
+    """The metrics of each `key` (a struct). cells: key, snapshot_date, trip_id, delay_seconds, _n (rows like this) and, of each place, the sum and the number of values.
+
+    Percentiles are selected from counts, different days and trips are counted by groupings of their own: no group is ever
+    in one task, and no row is multiplied. whole: there is one key only.
+    """
+    flags, n, d = delay_flags("delay_seconds", settings), F.col("_n"), F.col("delay_seconds")
+    mean = lambda x, of=n: F.try_divide(F.sum(x).cast("double"), F.sum(of).cast("double"))
+    known = F.when(d.isNotNull(), n).otherwise(0)
+    moments = (cells.groupBy() if whole else cells.groupBy(key)).agg(
+        F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("observations"), mean(d * n, known).alias("mean_delay_seconds"), mean(F.abs(d) * n, known).alias("mean_abs_delay_seconds"),
+        *(mean(F.when(flags[f"is_{x}"], n).otherwise(0)).alias(f"{x}_rate") for x in ("on_time", "late", "early")), *(mean(F.col(f"_{c}"), F.col(f"_{c}_n")).alias(c) for c in places),
+    )
+    if whole:
+        moments = moments.withColumn(key, Q.key_of(()))
+    counts = Q.merge_counts(cells.where(d.isNotNull()), (key,), "delay_seconds", "_n")
+    quantiles = Q.percentiles(counts, (key,), "delay_seconds", PERCENTILES, n="_n").withColumn(key, F.col(f"_key.{key}")).drop("_key")
+    different = Q.distinct_counts(cells, (key,), {"service_days": "snapshot_date", "trips": "trip_id"}).withColumn(key, F.col(f"_key.{key}")).drop("_key")
+    out = moments.join(quantiles, key, "left").join(different, key, "left").na.fill(0, ["service_days", "trips"])
+    return out.select(key, "observations", "service_days", "trips", "mean_delay_seconds", *PERCENTILES, "mean_abs_delay_seconds", "on_time_rate", "late_rate", "early_rate", *places)
 
 
 def excess_wait(actual: str, scheduled: str) -> Column:

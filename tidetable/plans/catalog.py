@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import quantiles as QT
 from ..operators import windows as W
 from ..sources import gtfs_static, tables
 from . import baselines, bunching, dashboard, delay, evaluation, features, live, reliability, transfers
@@ -178,12 +179,12 @@ for _name, _by in reliability.GROUPINGS.items():
 
 @query("system_overall", f"SELECT {METRICS} FROM obs WHERE {GOOD}", OBS)
 def _(s, d):
-    return base(s, d).agg(*M.reliability())
+    return M.reliability(base(s, d))
 
 
 @query("by_mode", f"SELECT CASE WHEN feed_name LIKE 'bus_%' THEN 'bus' WHEN feed_name LIKE 'lrt_%' THEN 'lrt' ELSE 'unknown' END AS transit_mode, {METRICS} FROM obs WHERE {GOOD} GROUP BY 1", OBS)
 def _(s, d):
-    return base(s, d).withColumn("transit_mode", C.transit_mode("feed_name")).groupBy("transit_mode").agg(*M.reliability())
+    return base(s, d).withColumn("transit_mode", C.transit_mode("feed_name")).transform(M.reliability, ("transit_mode",))
 
 
 @query("delay_flags", "SELECT event_id, delay_seconds < -60 AS is_early, delay_seconds BETWEEN -60 AND 300 AS is_on_time, delay_seconds > 300 AS is_late FROM obs", OBS)
@@ -191,6 +192,18 @@ def _(s, d):
     return obs(s, d).withColumns(C.delay_flags("delay_seconds")).select("event_id", "is_early", "is_on_time", "is_late")
 
 
+_ALL_KEYS = tuple(dict.fromkeys(k for by in reliability.GROUPINGS.values() for k in by))
+_ALL_SETS = "\nUNION ALL ".join(
+    f"SELECT '{name}' AS grouping, " + ", ".join((text_date(k) if k == "snapshot_date" else k) if k in by else f"CAST(NULL AS {'VARCHAR' if k in ('snapshot_date', 'route_id') else 'BIGINT'}) AS {k}" for k in _ALL_KEYS) + f", {METRICS} FROM obs WHERE {GOOD} GROUP BY {', '.join(f'obs.{k}' for k in by)}"
+    for name, by in reliability.GROUPINGS.items()
+)
+
+
+@query("reliability_all", _ALL_SETS, OBS)
+def _(s, d):
+    return reliability.rollups(base(s, d))
+
+
 for _name, _key in (("routes", "route_id"), ("stops", "stop_id"), ("dates", "snapshot_date")):
     _shown, _grouped = _keys_sql((_key,))
     query(f"worst_{_name}", f"SELECT * FROM (SELECT {_shown}, {METRICS} FROM obs WHERE {GOOD} GROUP BY {_grouped}) WHERE observations >= 20 ORDER BY on_time_rate NULLS LAST, p90_delay_seconds DESC NULLS LAST, {_key} LIMIT 10", OBS)(
@@ -228,6 +241,15 @@ def _(s, d):
     return delay.delay_stats(obs(s, d))
 
 
+_MONTHLY = "month AS (SELECT strftime(snapshot_date, '%Y-%m') AS month, route_id, delay_seconds FROM obs WHERE delay_seconds IS NOT NULL)"
+
+
+@query("monthly_percentiles", f"SELECT month, route_id, count(*) AS observations, {q('median(delay_seconds)', 'median_delay_seconds')}, {q('quantile_cont(delay_seconds, 0.90)', 'p90_delay_seconds')} FROM month GROUP BY month, route_id", OBS, _MONTHLY)
+def _(s, d):
+    daily = QT.value_counts(obs(s, d), ("snapshot_date", "route_id"), "delay_seconds")  # what a day's job would have kept
+    return reliability.of_counts(daily.withColumn("month", F.date_format("snapshot_date", "yyyy-MM")), ("month", "route_id"), {"median_delay_seconds": 0.5, "p90_delay_seconds": 0.9})
+
+
 # --- scans, filters, projections ----------------------------------------------------------------------------------------
 
 

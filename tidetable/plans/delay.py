@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.columns import quantile, scheduled_utc
+from ..functions.columns import scheduled_utc
+from ..operators import quantiles
 from ..operators.windows import final_observation
 
 
@@ -51,14 +52,9 @@ def delay_table(updates: DataFrame, stop_times: DataFrame, *, by_date: bool = Tr
 
 
 def delay_stats(delays: DataFrame) -> DataFrame:
-    return delays.agg(
-        F.count("*").alias("rows"),
-        F.countDistinct("trip_id").alias("trips"),
-        F.countDistinct("route_id").alias("routes"),
-        F.countDistinct("stop_id").alias("stops"),
-        F.min("delay_seconds").alias("min_delay"),
-        F.max("delay_seconds").alias("max_delay"),
-        F.avg("delay_seconds").alias("mean_delay"),
-        F.median("delay_seconds").alias("median_delay"),
-        quantile("delay_seconds", 0.95).alias("p95_delay"),
-    )
+    """One row: how many rows, trips, routes and stops there are, and the spread of their delays."""
+    simple = delays.agg(F.count("*").alias("rows"), F.min("delay_seconds").alias("min_delay"), F.max("delay_seconds").alias("max_delay"), F.avg("delay_seconds").alias("mean_delay")).withColumn("_key", quantiles.key_of(()))
+    spread = quantiles.percentiles(quantiles.value_counts(delays, (), "delay_seconds"), (), "delay_seconds", {"median_delay": 0.5, "p95_delay": 0.95})
+    different = quantiles.distinct_counts(delays, (), {"trips": "trip_id", "routes": "route_id", "stops": "stop_id"})
+    out = simple.join(spread, "_key", "left").join(different, "_key", "left").na.fill(0, ["trips", "routes", "stops"])
+    return out.select("rows", "trips", "routes", "stops", "min_delay", "max_delay", "mean_delay", "median_delay", "p95_delay")

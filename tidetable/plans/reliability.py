@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.columns import col, quantile
-from ..operators.metrics import reliability
+from ..operators import quantiles
+from ..operators.metrics import reliability, reliability_of_counts
 
 GROUPINGS: dict[str, tuple[str, ...]] = {
     "system_by_date": ("snapshot_date",),
@@ -25,8 +28,30 @@ def base(features: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 def rollup(rows: DataFrame, by: tuple[str, ...], settings: Settings = DEFAULT) -> DataFrame:
     """The metrics of each group; stop groupings also have the stop's mean place where the rows have one."""
-    places = [F.avg(c).alias(c) for c in ("stop_lat", "stop_lon") if "stop_id" in by and c in rows.columns]
-    return rows.groupBy(*by).agg(*reliability(settings=settings), *places)
+    return reliability(rows, by, places=[c for c in ("stop_lat", "stop_lon") if "stop_id" in by and c in rows.columns], settings=settings)
+
+
+def rollups(rows: DataFrame, groupings: Mapping[str, tuple[str, ...]] = GROUPINGS, settings: Settings = DEFAULT) -> DataFrame:
+    """The metrics of all groupings in one table: `grouping`, all key columns (null where a grouping lacks them), metrics, and mean places where there is a stop.
+
+    One scan: rows are first counted per (day, keys, trip, delay), and these counts are told to each grouping. Of the groupings each row
+    of counts goes to, most share their keys, so they are partly added up before they move.
+    """
+    keys = tuple(dict.fromkeys(k for by in groupings.values() for k in by))
+    places = [c for c in ("stop_lat", "stop_lon") if c in rows.columns]
+    cells = rows.select(*keys, *(c for c in ("snapshot_date", "trip_id", "delay_seconds") if c not in keys), *places)
+    cells = cells.groupBy(*(c for c in cells.columns if c not in places)).agg(F.count("*").alias("_n"), *(x for c in places for x in (F.sum(c).alias(f"_{c}"), F.count(c).alias(f"_{c}_n"))))
+    told = [F.struct(F.lit(name).alias("grouping"), *((F.col(k) if k in by else F.lit(None).cast(rows.schema[k].dataType)).alias(f"_{k}") for k in keys)) for name, by in groupings.items()]
+    spread = cells.withColumn("_set", F.explode(F.array(*told)))
+    out = reliability_of_counts(spread.select("_set", "snapshot_date", "trip_id", "delay_seconds", "_n", *(c for p in places for c in (f"_{p}", f"_{p}_n"))), "_set", places, settings)
+    return out.select("_set.grouping", *(F.col(f"_set._{k}").alias(k) for k in keys), *(c for c in out.columns if c != "_set"))
+
+
+def of_counts(counts: DataFrame, by: tuple[str, ...], wanted: Mapping[str, float], value: str = "delay_seconds") -> DataFrame:
+    """observations and exact percentiles per group, from counts of finer groups (quantiles.value_counts of single days, say)."""
+    merged = quantiles.merge_counts(counts, by, value)
+    rows = merged.groupBy(quantiles.key_of(by).alias("_key")).agg(F.sum("n").alias("observations"))
+    return rows.join(quantiles.percentiles(merged, by, value, wanted), "_key").select("_key.*", "observations", *wanted)
 
 
 def worst(rolled: DataFrame, least: int, n: int, by: str = "on_time_rate", keys: tuple[str, ...] = ("route_id",)) -> DataFrame:
