@@ -42,14 +42,14 @@ def history_features(predictions: DataFrame, keys: Sequence[str], order: Sequenc
     return predictions.withColumns(
         {
             "prior_prediction_count": (F.row_number().over(w) - 1).cast("bigint"),
-            f"previous_{value}": F.lag(v).over(w),
-            f"previous_2_{value}": F.lag(v, 2).over(w),
-            f"previous_5_{value}": F.lag(v, 5).over(w),
-            f"{value}_delta": v - F.lag(v).over(w),
-            "minutes_since_previous": since,
-            "recent_mean_5": F.avg(v).over(recent),
-            "recent_min_5": F.min(v).over(recent),
-            "recent_max_5": F.max(v).over(recent),
+            "previous_predicted_delay_seconds": F.lag(v).over(w),
+            "previous_2_predicted_delay_seconds": F.lag(v, 2).over(w),
+            "previous_5_predicted_delay_seconds": F.lag(v, 5).over(w),
+            "predicted_delay_delta_seconds": v - F.lag(v).over(w),
+            "minutes_since_previous_prediction": since,
+            "recent_predicted_delay_mean_5": F.avg(v).over(recent),
+            "recent_predicted_delay_min_5": F.min(v).over(recent),
+            "recent_predicted_delay_max_5": F.max(v).over(recent),
         }
     )
 
@@ -57,7 +57,7 @@ def history_features(predictions: DataFrame, keys: Sequence[str], order: Sequenc
 def previous_stop(predictions: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "predicted_delay_seconds") -> DataFrame:
     """The value at the stop before, in the same snapshot, and the change since."""
     w = Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_last() for c in order))
-    return predictions.withColumns({f"previous_stop_{value}": F.lag(value).over(w), f"previous_stop_{value}_delta": F.col(value) - F.lag(value).over(w)})
+    return predictions.withColumns({"previous_stop_predicted_delay_seconds": F.lag(value).over(w), "previous_stop_predicted_delay_delta_seconds": F.col(value) - F.lag(value).over(w)})
 
 
 def headways(arrivals: DataFrame, keys: Sequence[str] = ("snapshot_date", "route_id", "direction_id", "stop_id"), tie: Sequence[str] = ("trip_id",), scheduled: str = "scheduled_arrival_utc", actual: str = "actual_arrival_utc") -> DataFrame:

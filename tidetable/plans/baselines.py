@@ -10,13 +10,39 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..operators.joins import fallback_lookup
 
-NUMERIC = tuple(
-    "current_predicted_delay_seconds prediction_lead_minutes hour_of_day minute_of_hour day_of_week route_type stop_lat stop_lon stop_sequence stop_sequence_normalized prior_prediction_count previous_predicted_delay_seconds "
-    "previous_2_predicted_delay_seconds previous_5_predicted_delay_seconds predicted_delay_seconds_delta minutes_since_previous recent_mean_5 recent_min_5 recent_max_5 previous_stop_predicted_delay_seconds "
-    "vehicle_update_age_seconds vehicle_distance_to_stop_m vehicle_stop_sequence_delta temperature_c wind_speed_kmh wind_gust_kmh precip_probability_pct".split()
+#: The model's inputs.
+NUMERIC = (
+    "current_predicted_delay_seconds",
+    "stop_sequence_normalized",
+    "hour_of_day",
+    "minute_of_hour",
+    "day_of_week",
+    "temperature_c",
+    "wind_speed_kmh",
+    "precip_probability_pct",
+    "prediction_lead_minutes",
+    "prior_prediction_count",
+    "previous_predicted_delay_seconds",
+    "previous_2_predicted_delay_seconds",
+    "previous_5_predicted_delay_seconds",
+    "predicted_delay_delta_seconds",
+    "minutes_since_previous_prediction",
+    "recent_predicted_delay_mean_5",
+    "recent_predicted_delay_min_5",
+    "recent_predicted_delay_max_5",
+    "previous_stop_predicted_delay_seconds",
+    "previous_stop_predicted_delay_delta_seconds",
+    "vehicle_speed",
+    "vehicle_current_stop_sequence",
+    "vehicle_current_status",
+    "vehicle_update_age_seconds",
+    "vehicle_distance_to_stop_m",
+    "vehicle_stop_sequence_delta",
+    "route_type",
 )
-BOOLEAN = ("is_weekend", "is_rush_hour", "is_vehicle_update_stale", "is_rain", "is_snow", "is_precip")
-CATEGORICAL = ("route_id", "stop_id", "transit_mode", "weather_condition")
+BOOLEAN = ("is_weekend", "is_rush_hour", "is_rain", "is_snow", "is_precip", "is_vehicle_update_stale")
+CATEGORICAL = ("route_id", "stop_id", "direction_id", "transit_mode")
+
 HASH_BINS = 100_000
 
 

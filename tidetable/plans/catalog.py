@@ -17,7 +17,7 @@ from ..operators import metrics as M
 from ..operators import quantiles as QT
 from ..operators import windows as W
 from ..sources import gtfs_static, tables
-from . import baselines, bunching, dashboard, delay, evaluation, features, live, reliability, transfers
+from . import baselines, boosting, bunching, dashboard, delay, evaluation, features, live, reliability, transfers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -382,19 +382,19 @@ _V = "predicted_delay_seconds"
 )
 def _(s, d):
     rows = W.history_features(obs(s, d), ["trip_id"], ["collected_at_utc", "event_id"])
-    return rows.select("event_id", F.col("prior_prediction_count").alias("prior"), F.col(f"previous_{_V}").alias("lag_1"), F.col(f"previous_2_{_V}").alias("lag_2"), F.col(f"previous_5_{_V}").alias("lag_5"), F.col(f"{_V}_delta").alias("delta"), F.round(F.col("minutes_since_previous") * 60e6).cast("bigint").alias("micros"))
+    return rows.select("event_id", F.col("prior_prediction_count").alias("prior"), F.col(f"previous_{_V}").alias("lag_1"), F.col(f"previous_2_{_V}").alias("lag_2"), F.col(f"previous_5_{_V}").alias("lag_5"), F.col("predicted_delay_delta_seconds").alias("delta"), F.round(F.col("minutes_since_previous_prediction") * 60e6).cast("bigint").alias("micros"))
 
 
 @query("recent_frame", f"SELECT event_id, {q(f'avg({_V}) OVER w', 'mean_5')}, {q(f'min({_V}) OVER w', 'min_5')}, {q(f'max({_V}) OVER w', 'max_5')} FROM obs WINDOW w AS (PARTITION BY trip_id ORDER BY collected_at, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", OBS)
 def _(s, d):
     rows = W.history_features(obs(s, d), ["trip_id"], ["collected_at_utc", "event_id"])
-    return rows.select("event_id", F.col("recent_mean_5").alias("mean_5"), F.col("recent_min_5").alias("min_5"), F.col("recent_max_5").alias("max_5"))
+    return rows.select("event_id", F.col("recent_predicted_delay_mean_5").alias("mean_5"), F.col("recent_predicted_delay_min_5").alias("min_5"), F.col("recent_predicted_delay_max_5").alias("max_5"))
 
 
 @query("previous_stop_lag", f"SELECT event_id, {q(f'lag({_V}) OVER w', 'previous')}, {q(f'{_V} - lag({_V}) OVER w', 'delta')} FROM obs WINDOW w AS (PARTITION BY snapshot_date, trip_id ORDER BY stop_sequence, event_id)", OBS)
 def _(s, d):
     rows = W.previous_stop(obs(s, d), ["snapshot_date", "trip_id"], ["stop_sequence", "event_id"])
-    return rows.select("event_id", F.col(f"previous_stop_{_V}").alias("previous"), F.col(f"previous_stop_{_V}_delta").alias("delta"))
+    return rows.select("event_id", F.col(f"previous_stop_{_V}").alias("previous"), F.col("previous_stop_predicted_delay_delta_seconds").alias("delta"))
 
 
 @query("final_target_join", f"SELECT o.event_id, {q('t.final', 'delay_seconds')} FROM obs o JOIN (SELECT snapshot_date, trip_id, stop_id, arg_max({_V}, (collected_at, event_id)) AS final FROM obs WHERE prediction_lead_minutes >= 0 GROUP BY 1, 2, 3) t ON o.snapshot_date = t.snapshot_date AND o.trip_id = t.trip_id AND o.stop_id = t.stop_id", OBS)
@@ -630,6 +630,33 @@ def _(s, d):
     return coded.select("event_id", *(c for c in coded.columns if c.startswith("x_")))
 
 
+def _model_rows(s, d):
+    """Inputs of all kinds; some columns are null in part, most aren't there."""
+    id = F.col("event_id")
+    return obs(s, d).select(
+        "event_id", "route_id", "stop_id", "direction_id", "prediction_lead_minutes", "hour_of_day", "day_of_week", F.when(id % 3 != 0, F.col("predicted_delay_seconds")).alias("current_predicted_delay_seconds"),
+        F.when(id % 4 != 0, id % 9).alias("vehicle_current_stop_sequence"), F.when(id % 5 != 0, F.col("day_of_week").isin(0, 6)).alias("is_weekend"), (id % 2 == 0).alias("is_rain"),
+    )
+
+
+_CODED = {"current_predicted_delay_seconds": "CASE WHEN event_id % 3 <> 0 THEN predicted_delay_seconds END", "hour_of_day": "hour_of_day", "day_of_week": "day_of_week", "prediction_lead_minutes": "prediction_lead_minutes", "vehicle_current_stop_sequence": "CASE WHEN event_id % 4 <> 0 THEN event_id % 9 END", "is_weekend": "CASE WHEN event_id % 5 <> 0 AND day_of_week IN (0, 6) THEN 1 END", "is_rain": "CASE WHEN event_id % 2 = 0 THEN 1 END"}
+
+
+@query("encode_inputs", "SELECT event_id, " + ", ".join(f"round(coalesce(CAST({_CODED.get(c, 'NULL')} AS DOUBLE), 0.0::DOUBLE), 6) AS x_{c}" for c in (*baselines.NUMERIC, *baselines.BOOLEAN)) + " FROM obs", OBS)
+def _(s, d):
+    return baselines.encode(_model_rows(s, d)).select("event_id", *(f"x_{c}" for c in (*baselines.NUMERIC, *baselines.BOOLEAN)))
+
+
+@query("boosted_quantiles", None)
+def _(s, d):
+    """Intervals by quantile boosting; the last fifth of the days decides when to stop."""
+    rows = obs(s, d).where(F.abs("delay_seconds") < 3600)
+    days = baselines.time_split(rows)
+    marked = rows.join(F.broadcast(days), "snapshot_date").withColumn("held", F.col("is_validation") & ~F.col("is_train"))  # a row a day
+    found = boosting.fit(marked, ("predicted_delay_seconds", "prediction_lead_minutes", "hour_of_day", "day_of_week"), ("route_id", "stop_id"), quantiles=(0.1, 0.9), held="held", rounds=6, rate=0.4, depth=3)
+    return boosting.predict(found, marked, {0.1: "lower", 0.9: "upper"}).select("event_id", "held", "lower", "upper")
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------------------
 
 _E = "predicted - observed"

@@ -44,8 +44,23 @@ def delay_table(updates: DataFrame, stop_times: DataFrame, *, by_date: bool = Tr
         }
     ).where("scheduled_arrival_utc IS NOT NULL")
     names = (
-        "snapshot_date collected_at_utc feed_name trip_id route_id direction_id vehicle_id stop_id stop_sequence service_date arrival_time scheduled_arrival_utc predicted_arrival_utc predicted_departure_utc delay_seconds prediction_lead_minutes"
-    ).split()
+        "snapshot_date",
+        "collected_at_utc",
+        "feed_name",
+        "trip_id",
+        "route_id",
+        "direction_id",
+        "vehicle_id",
+        "stop_id",
+        "stop_sequence",
+        "service_date",
+        "arrival_time",
+        "scheduled_arrival_utc",
+        "predicted_arrival_utc",
+        "predicted_departure_utc",
+        "delay_seconds",
+        "prediction_lead_minutes",
+    )
     rows = rows.select(*names).withColumnRenamed("arrival_time", "scheduled_arrival_local_str")
     keys = ["snapshot_date", "trip_id", "stop_id", *(["stop_sequence"] if dedup_by_sequence else [])]
     return rows if keep_all else final_observation(rows, keys)

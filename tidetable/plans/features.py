@@ -41,7 +41,7 @@ def dimensions(static: dict[str, DataFrame], *, by_date: bool = True) -> dict[st
     longest = take("stop_times", "trip_id", F.col("stop_sequence").try_cast("bigint").alias("s")).groupBy(*keys, "trip_id").agg(F.max("s").alias("max_stop_sequence"))
     return {
         "routes": take("routes", "route_id", "route_short_name", F.col("route_type").try_cast("bigint").alias("route_type")).dropDuplicates([*keys, "route_id"]),
-        "trips": take("trips", "trip_id", "trip_headsign").dropDuplicates([*keys, "trip_id"]),
+        "trips": take("trips", "trip_id", "trip_headsign", (F.col("direction_id").try_cast("bigint") if "direction_id" in static["trips"].columns else F.lit(None).cast("bigint")).alias("static_direction_id")).dropDuplicates([*keys, "trip_id"]),
         "stops": take("stops", "stop_id", "stop_name", F.col("stop_lat").try_cast("double").alias("stop_lat"), F.col("stop_lon").try_cast("double").alias("stop_lon")).dropDuplicates([*keys, "stop_id"]),
         "lengths": longest,
     }
@@ -100,9 +100,11 @@ def feature_table(predictions: DataFrame, static: dict[str, DataFrame], *, posit
     rows = history_features(rows, keys, ("collected_at_utc", "stop_sequence", "feed_name"))
     rows = previous_stop(rows, ["snapshot_date", "trip_id", "collected_at_utc"], ("stop_sequence", "stop_id"))
     rows = enrich(rows, dimensions(static, by_date=by_date), by_date=by_date)
+    told = F.col("direction_id").cast("bigint") if "direction_id" in rows.columns else F.lit(None).cast("bigint")
+    rows = rows.withColumn("direction_id", F.coalesce(told, "static_direction_id")).drop("static_direction_id")
     rows = with_vehicles(rows, positions, settings)
     rows = with_weather(rows, weather)
     rows = rows.withColumns({**local_parts("scheduled_arrival_utc", settings), "stop_sequence_normalized": seq_normalized("stop_sequence", "feed_name", "max_stop_sequence"), "transit_mode": transit_mode("feed_name")})
     if targets:
-        rows = rows.withColumn("current_prediction_error_seconds", F.col("predicted_delay_seconds") - F.col("delay_seconds"))
+        rows = rows.withColumn("current_prediction_error_seconds", F.col("delay_seconds") - F.col("predicted_delay_seconds"))
     return rows.withColumnRenamed("predicted_delay_seconds", "current_predicted_delay_seconds")
