@@ -17,7 +17,7 @@ from ..operators import metrics as M
 from ..operators import quantiles as QT
 from ..operators import windows as W
 from ..sources import gtfs_static, tables
-from . import baselines, boosting, bunching, dashboard, delay, evaluation, features, live, reliability, transfers
+from . import baselines, boosting, bunching, dashboard, delay, evaluation, features, live, raptor, reliability, transfers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -461,10 +461,17 @@ def _(s, d):
     return near.select(F.col("a_stop_id").alias("a_stop"), F.col("b_stop_id").alias("b_stop"), (F.floor(F.col("distance_m") / 1.25) + 30).cast("bigint").alias("seconds"))
 
 
-@query("nearest_stops", "SELECT stop_id, round(metres, 3) AS metres, rank FROM (SELECT b.stop_id, " + HAVERSINE + " AS metres, row_number() OVER (ORDER BY " + HAVERSINE + ", b.stop_id) AS rank FROM (SELECT 43.47::DOUBLE AS lat, -80.52::DOUBLE AS lon) a, stops b WHERE " + HAVERSINE + " <= 5000) WHERE rank <= 6", STOPS)
+@query("nearest_stops", "SELECT stop_id, metres, rank FROM (SELECT b.stop_id, round(" + HAVERSINE + ", 3) AS metres, row_number() OVER (ORDER BY round(" + HAVERSINE + ", 3), b.stop_id) AS rank FROM (SELECT 43.47::DOUBLE AS lat, -80.52::DOUBLE AS lon) a, stops b WHERE " + HAVERSINE + " <= 5000) WHERE rank <= 6", STOPS)
 def _(s, d):
-    near = stops(s, d).withColumn("m", C.haversine_m(F.lit(43.47), F.lit(-80.52), "lat", "lon")).where("m <= 5000").orderBy("m", "stop_id").limit(6)
-    return near.select("stop_id", F.round("m", 3).alias("metres"), F.row_number().over(Window.orderBy("m", "stop_id")).alias("rank"))  # six rows
+    here = s.range(1).select(F.col("id").alias("query_id"), F.lit(43.47).alias("lat"), F.lit(-80.52).alias("lon"))
+    return J.nearest_k(here, stops(s, d), 6, within_m=5000.0).select("stop_id", F.col("distance_m").alias("metres"), "rank")
+
+
+@query("nearest_k", "SELECT stop_id, neighbour, metres, rank FROM (SELECT a.stop_id, b.stop_id AS neighbour, round(" + HAVERSINE + ", 3) AS metres, row_number() OVER (PARTITION BY a.stop_id ORDER BY round(" + HAVERSINE + ", 3), b.stop_id) AS rank FROM stops a JOIN stops b ON a.stop_id <> b.stop_id) WHERE rank <= 5", STOPS)
+def _(s, d):
+    places = stops(s, d)
+    near = J.nearest_k(places.withColumnRenamed("stop_id", "query_id"), places, 5, others=True)
+    return near.select(F.col("query_id").alias("stop_id"), F.col("stop_id").alias("neighbour"), F.col("distance_m").alias("metres"), "rank")
 
 
 @query("haversine", f"SELECT b.stop_id, round({HAVERSINE}, 3) AS metres FROM (SELECT 43.47::DOUBLE AS lat, -80.52::DOUBLE AS lon) a, stops b", STOPS)
@@ -798,6 +805,39 @@ def _(s, d):
     return found.groupBy(F.array_join("stops", ">").alias("pattern")).agg(F.sum(F.size("trips")).alias("trips"), F.min(F.array_min("trips")).alias("first_trip"))
 
 
+# --- journeys -----------------------------------------------------------------------------------------------------------
+
+
+def day_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as a schedule day: orders are trips of twelve routes, which start at any time and overtake each other."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trip_id"), (F.col("o_orderkey") % 12).alias("route_id"), (F.col("o_orderkey") * 37 % 1200 * 60).alias("start"))
+    n = F.col("l_linenumber").cast("bigint")
+    cells = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trip_id"), n.alias("stop_sequence"), (F.col("l_suppkey") % 4 * 59).alias("late"))
+    stop = (F.col("route_id") * 3 + F.col("stop_sequence") * 5) % 40
+    return cells.join(o, "trip_id").select("trip_id", "route_id", stop.alias("stop_id"), "stop_sequence", (F.col("start") + F.col("stop_sequence") * 240 + F.col("late")).cast("bigint").alias("seconds")).groupBy("trip_id", "route_id", "stop_id", "stop_sequence").agg(F.min("seconds").alias("seconds"))  # line numbers repeat
+
+
+_TIMES = """times AS (
+  SELECT l_orderkey AS trip, l_linenumber AS i, (l_orderkey % 12 * 3 + l_linenumber * 5) % 40 AS stop, min(o_orderkey * 37 % 1200 * 60 + l_linenumber * 240 + l_suppkey % 4 * 59) AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+rides AS (SELECT a.stop AS a, a.at AS depart, b.stop AS b, b.at AS arrive FROM times a JOIN times b ON a.trip = b.trip AND a.i < b.i),
+n0 AS (SELECT DISTINCT stop AS q, stop, 28800 AS arrive FROM times),
+walks AS (SELECT s AS a, (s + 1) % 40 AS b FROM range(0, 40, 5) t(s) UNION ALL SELECT (s + 1) % 40, s FROM range(0, 40, 5) t(s))"""
+_ROUNDS = ",\n".join(
+    f"""s{k} AS (SELECT q, b AS stop, min(r.arrive) AS arrive FROM n{k - 1} n JOIN rides r ON n.stop = r.a AND r.depart >= n.arrive + {0 if k == 1 else 45} GROUP BY q, b),
+w{k} AS (SELECT q, stop, min(arrive) AS arrive FROM (SELECT * FROM s{k} UNION ALL SELECT q, b, arrive + 200 FROM s{k} JOIN walks ON stop = a) GROUP BY q, stop),
+n{k} AS (SELECT w.q, w.stop, w.arrive FROM w{k} w LEFT JOIN (SELECT q, stop, min(arrive) AS best FROM ({' UNION ALL '.join(f'SELECT * FROM n{j}' for j in range(k))}) GROUP BY q, stop) e ON w.q = e.q AND w.stop = e.stop WHERE e.best IS NULL OR w.arrive < e.best)"""
+    for k in (1, 2, 3)
+)
+
+
+@query("raptor_arrivals", " UNION ALL ".join(f"SELECT q AS query_id, CAST(stop AS VARCHAR) AS stop_id, {k} AS round, CAST(arrive AS BIGINT) AS arrive FROM n{k}" for k in range(4)), _TIMES, _ROUNDS)
+def _(s, d):
+    times = day_times(s, d)
+    origins = times.select(F.col("stop_id").alias("query_id"), "stop_id", F.lit(28800).alias("ready")).distinct()
+    walks = s.range(0, 40, 5).select(F.col("id").alias("from_stop"), ((F.col("id") + 1) % 40).alias("to_stop"), F.lit(200).alias("seconds"))
+    return raptor.arrivals(origins, raptor.lines(times), walks, rounds=3).select("query_id", "stop_id", "round", "arrive")
+
+
 # --- live vehicles, shapes, lookups ------------------------------------------------------------------------------------
 
 VEHICLES = """vehicles AS (

@@ -1,19 +1,19 @@
-"""Earliest-arrival journeys in rounds of joins, and how likely their transfers are.
+"""Journeys: how likely their transfers are, and which ones are worth showing.
 
-A round boards at every stop that the round before reached and rides on; a walk may follow. All
-queries (origins) of a table go through the rounds together, so the plan is a handful of joins
-whatever their number.
+plan() finds earliest arrivals by scanning patterns (raptor.py). earliest_arrivals() does the same over a table of rides, in rounds of
+joins, for schedules where any ride is given by itself.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.columns import haversine_m, make_rate_estimate
+from ..functions.columns import make_rate_estimate
+from ..operators.joins import nearest_k
+from ..sources.shared import written
+from . import raptor
 
 
 def connections(stop_times: DataFrame) -> DataFrame:
@@ -26,11 +26,6 @@ def connections(stop_times: DataFrame) -> DataFrame:
     return a.join(b, "trip_id").where("_j > _i").drop("_i", "_j")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df cut from its plan where the session has a checkpoint folder: two readers of a round then don't double the plan of the next."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
-
-
 def earliest_arrivals(origins: DataFrame, rides: DataFrame, walks: DataFrame | None = None, *, rounds: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """query_id, stop_id, round, arrive, legs: the earliest arrival with at most that many rides, where another ride makes it earlier.
 
@@ -47,7 +42,7 @@ def earliest_arrivals(origins: DataFrame, rides: DataFrame, walks: DataFrame | N
         walk = once.unionByName(once.select(F.col("to_stop").alias("from_stop"), F.col("from_stop").alias("to_stop"), "seconds"))
     first = Window.partitionBy("query_id", "stop_id").orderBy("arrive", F.size("legs"), F.to_json("legs"))
     earliest = lambda rows: rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
-    best = _written(best)
+    best = written(best)
     every, now = best, best
     for k in range(1, (rounds or settings.planner_rounds) + 1):
         slack = 0 if k == 1 else settings.planner_slack_s
@@ -59,7 +54,7 @@ def earliest_arrivals(origins: DataFrame, rides: DataFrame, walks: DataFrame | N
             new = F.struct(F.lit(None).cast("string").alias("trip_id"), "from_stop", "to_stop", F.col("arrive").alias("depart"), (F.col("arrive") + F.col("seconds")).alias("arrive")).cast(leg)
             step = earliest(step.unionByName(on_foot.select("query_id", F.col("to_stop").alias("stop_id"), "round", (F.col("arrive") + F.col("seconds")).alias("arrive"), F.concat("legs", F.array(new)).alias("legs"))))
         known = every.groupBy("query_id", "stop_id").agg(F.min("arrive").alias("_best"))
-        now = _written(step.join(known, ["query_id", "stop_id"], "left").where("_best IS NULL OR arrive < _best").drop("_best"))
+        now = written(step.join(known, ["query_id", "stop_id"], "left").where("_best IS NULL OR arrive < _best").drop("_best"))
         every = every.unionByName(now)
     return every
 
@@ -85,13 +80,10 @@ def choose(itineraries: DataFrame, *, most: int = 4, gain_s: int = 30) -> DataFr
 
 
 def nearest_stops(points: DataFrame, stops: DataFrame, *, most: int = 6, settings: Settings = DEFAULT) -> DataFrame:
-    """query_id, stop_id, walk_s: the `most` nearest stops in reach of each point (query_id, lat, lon), found by bands of latitude."""
-    band = settings.planner_access_m / settings.earth_radius_m * 180 / math.pi
-    around = points.select("query_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.sequence(F.floor(F.col("lat") / band) - 1, F.floor(F.col("lat") / band) + 1)).alias("_band"))
-    placed = stops.select("stop_id", "stop_lat", "stop_lon", F.floor(F.col("stop_lat") / band).alias("_band"))
-    near = around.join(placed, "_band").withColumn("_m", haversine_m("_lat", "_lon", "stop_lat", "stop_lon")).where(F.col("_m") <= settings.planner_access_m)
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("_m", "stop_id"))
-    return near.withColumn("_n", nth).where(F.col("_n") <= most).select("query_id", "stop_id", F.rint(F.col("_m") / settings.footpath_speed_mps).cast("bigint").alias("walk_s"))
+    """query_id, stop_id, walk_s: the `most` nearest stops in reach of each point (query_id, lat, lon). stops: stop_id, stop_lat, stop_lon."""
+    places = stops.select("stop_id", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+    near = nearest_k(points, places, most, within_m=settings.planner_access_m, first_m=settings.planner_access_m, settings=settings)
+    return near.select("query_id", "stop_id", F.rint(F.col("distance_m") / settings.footpath_speed_mps).cast("bigint").alias("walk_s"))
 
 
 def improving(rounds: DataFrame, gain_s: int = 30) -> DataFrame:
@@ -147,12 +139,13 @@ def plan(queries: DataFrame, stops: DataFrame, times: DataFrame, walks: DataFram
     the first one's first ride, for the departure after; itineraries of the same rides count once.
     """
     ends = {k: nearest_stops(queries.select("query_id", F.col(f"{k}_lat").alias("lat"), F.col(f"{k}_lon").alias("lon")), stops, settings=settings) for k in ("from", "to")}
-    sources, targets = _written(ends["from"]), _written(ends["to"].withColumn("stop_id", F.col("stop_id").cast("string")))
-    rides, routes = _written(connections(times)), times.select("trip_id", "route_id").distinct()
+    sources, targets = written(ends["from"]), written(ends["to"].withColumn("stop_id", F.col("stop_id").cast("string")))
+    lines, routes = raptor.lines(times), times.select("trip_id", "route_id").distinct()
+    goals = targets.select("query_id", "stop_id", "walk_s")
 
     def run(departs: DataFrame, k: int) -> DataFrame:
         origins = sources.join(departs, "query_id").select("query_id", "stop_id", (F.col("depart") + F.col("walk_s")).alias("ready"))
-        return _written(itineraries(earliest_arrivals(origins, rides, walks, settings=settings), targets, routes, hours, rates, settings).withColumn("run", F.lit(k)))
+        return written(itineraries(raptor.arrivals(origins, lines, walks, targets=goals, settings=settings), targets, routes, hours, rates, settings).withColumn("run", F.lit(k)))
 
     first = run(queries.select("query_id", "depart"), 1)
     second = run(first.groupBy("query_id").agg((F.min_by("first_board", "round") + 60).alias("depart")), 2)
