@@ -17,7 +17,7 @@ from ..operators import metrics as M
 from ..operators import quantiles as QT
 from ..operators import windows as W
 from ..sources import gtfs_static, tables
-from . import baselines, boosting, bunching, dashboard, delay, evaluation, features, live, raptor, reliability, transfers
+from . import baselines, boosting, bunching, dashboard, delay, evaluation, features, live, map_layers, raptor, reliability, transfers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -838,6 +838,29 @@ def _(s, d):
     return raptor.arrivals(origins, raptor.lines(times), walks, rounds=3).select("query_id", "stop_id", "round", "arrive")
 
 
+# --- map layers ---------------------------------------------------------------------------------------------------------
+
+
+def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways cut from lineitem: a supplier's parts are corners of a ring, a way leads from each to the next (every third supplier lacks the way home); half are drawn backwards."""
+    corner = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("relation"), F.col("l_partkey").alias("part")).distinct()
+    of = Window.partitionBy("relation").orderBy("part")
+    n = F.count("*").over(Window.partitionBy("relation"))
+    told = corner.withColumns({"next": F.coalesce(F.lead("part").over(of), F.min("part").over(Window.partitionBy("relation"))), "home": F.row_number().over(of) == n, "n": n})
+    point = lambda c, shift=0.0: F.struct(((F.col("relation") % 89).cast("double") + F.col(c) / 1e6 + shift).alias("lat"), (F.col(c) / 1e3).cast("double").alias("lon"))
+    line = F.array(point("part"), point("part", 0.25), point("next"))
+    kept = told.where("n >= 3 AND NOT (home AND relation % 3 = 0)")
+    return kept.select("relation", F.col("part").alias("way"), F.when(F.col("part") % 2 == 0, F.reverse(line)).otherwise(line).alias("points"))
+
+
+@query(
+    "map_rings",
+    "SELECT relation, relation % 3 <> 0 AS closed, n - CASE WHEN relation % 3 = 0 THEN 1 ELSE 0 END AS ways, 2 * (n - CASE WHEN relation % 3 = 0 THEN 1 ELSE 0 END) + 1 AS points, first AS line FROM (SELECT l_suppkey AS relation, count(DISTINCT l_partkey) AS n, min(l_partkey) AS first FROM lineitem GROUP BY l_suppkey) WHERE n >= 3",
+)
+def _(s, d):
+    return map_layers.assemble(ways(s, d)).select("relation", "closed", "ways", F.size("points").alias("points"), "line")
+
+
 # --- live vehicles, shapes, lookups ------------------------------------------------------------------------------------
 
 VEHICLES = """vehicles AS (

@@ -182,16 +182,33 @@ def split(nested: DataFrame, name: str) -> DataFrame:
     return nested.select(F.explode(name).alias("row")).select("row.*")
 
 
+def _folders(spark: SparkSession, root: str, dates: list[str] | None, feeds: list[str] | None) -> list[str]:
+    """Folders <root>/<feed>/<date> that are there, of the named dates and feeds; only names are listed."""
+    given = lambda names: "{" + ",".join(names) + "}" if names else "*"
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{given(feeds)}/{given(dates)}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return [s.getPath().toString() for s in found or [] if s.isDirectory()]
+
+
 def snapshots(spark: SparkSession, root: str, *, glob: str = "*.pb", dates: list[str] | None = None, feeds: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """Files (path, content) of snapshots under root: of the named dates and feeds, and of those the `most` first by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    named = files.select("path", "content", *(F.regexp_extract("path", _PATH.pattern, i).alias(c) for i, c in ((1, "feed"), (2, "day"))))
-    named = named.where(F.col("day").isin(*dates)) if dates else named
-    named = named.where(F.col("feed").isin(*feeds)) if feeds else named
+    """Files (path, content) of snapshots under root: of the named dates and feeds, and of those the `most` first by path.
+
+    Dates and feeds choose the folders that are listed at all; `most` chooses paths before any content is read.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
+    if dates or feeds:
+        places = _folders(spark, root, dates, feeds)
+        if not places:
+            return spark.createDataFrame([], "path string, content binary")
+    else:
+        reader, places = reader.option("recursiveFileLookup", "true"), [root]
+    files = reader.load(places)
     if most is not None:
-        first = named.select("path").orderBy("path").limit(most)  # paths alone are sorted
-        named = named.join(first, "path", "left_semi")
-    return named.select("path", "content")
+        names = [r["path"] for r in files.select("path").orderBy("path").limit(most).collect()]  # paths alone, as many as were asked for
+        if not names:
+            return files.select("path", "content")
+        files = spark.read.format("binaryFile").load(names)
+    return files.select("path", "content")
 
 
 def preview(data: bytes, path: str, *, entities: int = 3, stops: int = 5) -> str:
