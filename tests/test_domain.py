@@ -314,6 +314,10 @@ def test_plan_of_journeys(spark):
     assert two["score"] == 2596 + walk + 450 and set(got) == {"S@1000", "F@1000>G@1900", "S@1600", "F@1600>G@2500"}
     plain = planner.plan(queries, stops, times, None, hours.limit(0), rates.limit(0)).where("leg_key = 'F@1000>G@1900'").first()
     assert plain["arrive_p90"] == 2500 + walk + 240 and plain["success"] == pytest.approx(min(0.98, 1 - 0.5 ** (300 / 60)))
+    late = spark.createDataFrame([("F", 400.0), ("G", 900.0)], "route_id string, live_delay_s double")
+    for now, success, expected in ((900, 1 - 0.5 ** (300 / 400), 900), (900 - 10**6, min(0.98, 1 - 0.5 ** (300 / 60)), 60)):
+        told = planner.plan(queries.withColumn("now", F.lit(now)), stops, times, None, hours.limit(0), rates.limit(0), live=late).where("leg_key = 'F@1000>G@1900'").first()
+        assert told["success"] == pytest.approx(success) and told["arrive_expected"] == 2500 + walk + expected
 
 
 def haversine(lat1, lon1, lat2, lon2):
@@ -382,7 +386,7 @@ def test_train_and_predict_commands(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(spark, "stop", lambda: None, raising=False)
     rows = spark.range(3000).selectExpr("date_add(DATE '2024-01-01', CAST(id % 5 AS int)) AS snapshot_date", "concat('t', id % 50) AS trip_id", "concat('s', id % 9) AS stop_id", "CAST(id % 9 AS int) AS stop_sequence", "timestamp_seconds(1704067200 + (id % 5) * 86400 + id) AS collected_at_utc", "concat('r', id % 3) AS route_id", "CAST(id % 40 AS double) AS prediction_lead_minutes", "CAST((id % 3) * 100 + id % 11 AS double) AS delay_seconds", "CAST((id % 3) * 90 AS double) AS feed_delay_seconds")
     rows.withColumn("date", F.col("snapshot_date").cast("string")).write.partitionBy("date").parquet(str(tmp_path / "features"))
-    cli.main(["train", "--features", str(tmp_path / "features"), "--output", str(tmp_path / "model"), "--rounds", "3", "--max-train-rows", "1500"])
+    cli.main(["train", "--features", str(tmp_path / "features"), "--output", str(tmp_path / "model"), "--rounds", "3", "--rate", "0.5", "--max-train-rows", "1500"])
     told = json.loads(spark.read.text(str(tmp_path / "model/evaluation.json")).first()[0])
     assert told["train_rows"] == 1500 and told["validation_rows"] == 600 and set(told["errors"]) == {"model", "feed", "interval"} and abs(sum(told["importance"].values()) - 1) < 1e-6
     cli.main(["predict", "--features", str(tmp_path / "features"), "--model", str(tmp_path / "model"), "--output", str(tmp_path / "scored"), "--all-snapshots"])

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
 from collections.abc import Sequence
 from dataclasses import replace
+from datetime import datetime, timedelta, timezone
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from .config import DEFAULT
-from .plans import baselines, bunching, dashboard, delay, evaluation, features, live, model, reliability, transfers
+from .functions.columns import interval_clamp, transit_mode
+from .plans import baselines, boosting, bunching, dashboard, delay, evaluation, features, live, model, reliability, timetable, transfers
 from .session import build
-from .sources import exports, gtfs_rt, gtfs_static, tables, weather
+from .sources import exports, gtfs_rt, gtfs_static, retention, tables, weather
+from .sources.shared import written
 
 STATIC_COLUMNS = {
     "stop_times": ["trip_id", "stop_id", "stop_sequence", "arrival_time", "departure_time"],
@@ -35,10 +38,9 @@ def _static(spark, root):
 
 
 def parse_realtime(spark, a):
-    nested = gtfs_rt.decode_nested(gtfs_rt.snapshots(spark, a.raw, dates=a.date, feeds=a.feed, most=a.limit_files)).persist(StorageLevel.DISK_ONLY)  # each file is decoded once
+    nested = written(gtfs_rt.decode_nested(gtfs_rt.snapshots(spark, a.raw, dates=a.date, feeds=a.feed, most=a.limit_files)), "decoded")  # each file is decoded once
     for name in gtfs_rt.SCHEMAS:
         tables.write(_dated(gtfs_rt.split(nested, name)), f"{a.output}/{name}", overwrite=a.overwrite)
-    nested.unpersist()
 
 
 def parse_static(spark, a):
@@ -64,70 +66,181 @@ def feature_table(spark, a):
     tables.write(_dated(features.feature_table(rows, static, positions=positions, weather=hours, stride_minutes=a.snapshot_stride_minutes)), a.output, overwrite=a.overwrite)
 
 
+def _settings(a):
+    """The domain's constants with what the command line changes."""
+    minutes = lambda x: None if x is None else x * 60.0
+    given = {
+        "outlier_s": a.max_abs_delay_seconds,
+        "headway_min_s": a.min_scheduled_headway_seconds,
+        "headway_max_s": minutes(a.max_scheduled_headway_minutes),
+        "bunched_below": a.bunched_ratio,
+        "gapped_above": a.gapped_ratio,
+        "transfer_walk_m": a.max_walk_m,
+        "transfer_wait_s": minutes(a.max_wait_minutes),
+        "final_lead_max_min": a.max_final_lead_minutes,
+        "late_above_s": a.late_delay_threshold_seconds,
+    }
+    return replace(DEFAULT, **{k: float(v) for k, v in given.items() if v is not None})
+
+
+def _scan(spark, root, a):
+    return tables.scan(spark, root, dates=a.date, start=a.start_date, end=a.end_date)
+
+
+def _least(a, usual):
+    return usual if a.min_observations is None else a.min_observations
+
+
 def reliability_tables(spark, a):
-    rows = reliability.base(tables.scan(spark, a.features, dates=a.date, start=a.start_date)).cache()
+    settings, least = _settings(a), _least(a, 1000)
+    rows = reliability.base(_scan(spark, a.features, a), settings)
+    every = written(reliability.rollups(rows, settings=settings), "rollups")
     for name, by in reliability.GROUPINGS.items():
-        tables.write_summary(reliability.rollup(rows, by), f"{a.output}/{name}", overwrite=a.overwrite)
-    print(tables.markdown(reliability.worst(reliability.rollup(rows, ("route_id",)), a.min_observations, 15)))
+        mine = every.where(F.col("grouping") == name)
+        tables.write_summary(mine.drop("grouping", *(k for k in every.columns if k in reliability.KEYS and k not in by), *([] if "stop_id" in by else [c for c in ("stop_lat", "stop_lon") if c in every.columns])), f"{a.output}/{name}", overwrite=a.overwrite)
+    modes = [("By mode", reliability.reliability(rows.withColumn("transit_mode", transit_mode("feed_name")), ("transit_mode",), settings=settings).orderBy("transit_mode"))] if "feed_name" in rows.columns else []
+    worst = lambda name, *keys: reliability.worst(every.where(F.col("grouping") == name), least, 15, keys=keys).select(*keys, *reliability.SHOWN)
+    sections = [("System", reliability.reliability(rows, settings=settings)), *modes, (f"Least reliable routes (at least {least} observations)", worst("route_summary", "route_id")), (f"Least reliable route stops (at least {least} observations)", worst("route_stop_summary", "route_id", "stop_id")), ("Least reliable dates", reliability.worst(every.where("grouping = 'system_by_date'"), 1, 15, keys=("snapshot_date",)).select("snapshot_date", *reliability.SHOWN)), ("Tables", "\n".join(f"- `{name}`" for name in reliability.GROUPINGS))]
+    _text(spark, a.output, "report.md", tables.report("Reliability", sections))
 
 
 def bunching_tables(spark, a):
-    rows = tables.scan(spark, a.features, dates=a.date, start=a.start_date).withColumn("actual_arrival_utc", F.col("predicted_arrival_utc"))
-    events = bunching.events(rows).cache()
-    tables.write(_dated(events), f"{a.output}/events", overwrite=a.overwrite)
+    settings, least = _settings(a), _least(a, 1000)
+    rows = _scan(spark, a.features, a).where(F.abs("delay_seconds") <= settings.outlier_s).withColumn("actual_arrival_utc", F.col("predicted_arrival_utc"))
+    tables.write(_dated(bunching.events(rows, settings)), f"{a.output}/events", overwrite=a.overwrite)
+    events = _scan(spark, f"{a.output}/events", a)
     for name, by in bunching.GROUPINGS.items():
         tables.write_summary(bunching.rollup(events, by), f"{a.output}/{name}", overwrite=a.overwrite)
+    sections = [("System", bunching.rollup(events, ())), *((f"Most bunched by {', '.join(by)} (at least {least} headways)", bunching.most_bunched(spark.read.parquet(f"{a.output}/{name}.parquet"), least, 15, keys=by)) for name, by in bunching.GROUPINGS.items())]
+    _text(spark, a.output, "report.md", tables.report("Bunching", sections))
 
 
 def transfer_tables(spark, a):
-    finals = tables.scan(spark, a.delay, dates=a.date, start=a.start_date).where(F.abs("delay_seconds") < DEFAULT.outlier_s)
-    stops = spark.read.parquet(f"{a.static}/stops").select("stop_id", "feed_name", F.col("stop_lat").try_cast("double").alias("stop_lat"), F.col("stop_lon").try_cast("double").alias("stop_lon"))
-    seen = finals.withColumns({"scheduled_s": F.unix_seconds("scheduled_arrival_utc"), "actual_s": F.unix_seconds("predicted_arrival_utc")})
-    events = transfers.proposed(transfers.candidates(seen, transfers.stop_pairs(stops)))
-    tables.write(_dated(events), f"{a.output}/events", overwrite=a.overwrite)
+    settings, least = _settings(a), _least(a, DEFAULT.transfer_min_rows)
+    if not a.summaries_only:
+        finals = _scan(spark, a.delay, a).where(F.abs("delay_seconds") < settings.outlier_s)
+        stops = spark.read.parquet(f"{a.static}/stops").select("stop_id", "feed_name", F.col("stop_lat").try_cast("double").alias("stop_lat"), F.col("stop_lon").try_cast("double").alias("stop_lon"))
+        seen = finals.withColumns({"scheduled_s": F.unix_seconds("scheduled_arrival_utc"), "actual_s": F.unix_seconds("predicted_arrival_utc")})
+        events = transfers.proposed(transfers.candidates(seen, transfers.stop_pairs(stops, settings), settings))
+        tables.write(_dated(events), f"{a.output}/events", overwrite=a.overwrite)
     done = spark.read.parquet(f"{a.output}/events")
-    tables.write_summary(transfers.summary(done, ("from_stop_id", "from_route_id", "to_route_id"), a.min_observations), f"{a.output}/stop_summary", overwrite=a.overwrite)
-    tables.write_summary(transfers.summary(done, ("from_route_id", "to_route_id"), a.min_observations), f"{a.output}/route_pairs", overwrite=a.overwrite)
+    told = []
+    for name, by in (("stop_summary", ("from_stop_id", "from_route_id", "to_route_id")), ("route_pairs", ("from_route_id", "to_route_id"))):
+        tables.write_summary(transfers.summary(done, by, least), f"{a.output}/{name}", overwrite=a.overwrite)
+        summary = spark.read.parquet(f"{a.output}/{name}.parquet")
+        told.append((f"Riskiest by {', '.join(by)} (at least {least} attempts)", summary.orderBy("success_rate", F.desc("attempts"), *by)))
+    _text(spark, a.output, "report.md", tables.report("Transfers", told, n=15))
 
 
 def evaluate(spark, a):
+    settings = _settings(a)
     log = tables.scan_evolving(spark, a.log, {c: "double" for c in evaluation.INTERVAL})
-    matched = evaluation.match(log, evaluation.observed(spark.read.parquet(a.delay))).cache()
-    for name, by in (("overall", ()), ("by_lead", ("lead_bucket",)), ("by_route", ("route_id",))):
-        tables.write_summary(evaluation.error_summary(matched, by), f"{a.output}/error_{name}", overwrite=a.overwrite)
+    log = log.where(F.col("date").cast("string").isin(*a.date)) if a.date and "date" in log.columns else log
+    truth = evaluation.observed(spark.read.parquet(a.delay), settings)
+    matched = written(evaluation.match(log, truth, settings), "matched")
+    summaries = {"overall": (), "by_lead": ("lead_bucket",), "by_mode": ("transit_mode",), "by_route": ("route_id",)}
+    told = [("Coverage by day", evaluation.coverage(log, truth).orderBy("service_date"))]
+    for name, by in summaries.items():
+        if set(by) <= set(matched.columns):
+            tables.write_summary(evaluation.error_summary(matched, by, a.min_route_rows if name == "by_route" else 0), f"{a.output}/error_{name}", overwrite=a.overwrite)
+            summary = spark.read.parquet(f"{a.output}/error_{name}.parquet")
+            told.append((f"Error {name.replace('_', ' ')}", summary.orderBy(F.desc("mae"), *by) if name == "by_route" else summary.orderBy(*by) if by else summary))
     tables.write_summary(evaluation.interval_summary(matched), f"{a.output}/intervals", overwrite=a.overwrite)
+    told += [(f"Late arrivals (over {settings.late_above_s:.0f} s)", evaluation.late_summary(matched, settings=settings)), ("Intervals", spark.read.parquet(f"{a.output}/intervals.parquet"))]
+    _text(spark, a.output, "report.md", tables.report("Live predictions", told))
 
 
 def _text(spark, root, name, content):
     spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}")
 
 
+def _scored(found, rows):
+    """rows with the point prediction of a boosted model, and its interval where the model has outer quantiles (never without the point in it)."""
+    low, high = min(found.quantiles), max(found.quantiles)
+    names = {0.5: "predicted_delay_seconds"} | ({low: "_low", high: "_high"} if low < 0.5 < high else {})
+    out = boosting.predict(found, rows, names)
+    if len(names) == 1:
+        return out
+    lower, upper = interval_clamp("predicted_delay_seconds", F.least("_low", "_high"), F.greatest("_low", "_high"))
+    return out.withColumns({"predicted_delay_lower_seconds": lower, "predicted_delay_upper_seconds": upper}).drop("_low", "_high")
+
+
 def train(spark, a):
-    rows = tables.scan(spark, a.features, dates=a.date, start=a.start_date).where(F.abs("delay_seconds") <= DEFAULT.outlier_s)
-    days = baselines.time_split(rows)
+    """Quantile boosting of the median (the point) and of the given quantiles; days that weren't trained on decide when to stop."""
+    settings = _settings(a)
+    rows = _scan(spark, a.features, a).where(F.abs("delay_seconds") < settings.outlier_s)
+    days = written(baselines.time_split(rows), "days")
     marked = rows.join(F.broadcast(days), "snapshot_date")  # a row a day
     keys = [c for c in ("snapshot_date", "trip_id", "stop_id", "stop_sequence", "collected_at_utc") if c in rows.columns]
-    fitted = baselines.hash_sample(marked.where("is_train"), keys, a.max_train_rows).persist(StorageLevel.DISK_ONLY)
-    held = baselines.hash_sample(marked.where("is_validation"), keys, a.max_validation_rows).persist(StorageLevel.DISK_ONLY)
-    trees = model.train(fitted, rounds=a.rounds, late_weight=a.late_weight)
-    residuals = model.residual_quantiles(model.predict(trees, held))
-    model.save(trees, residuals, a.output, overwrite=a.overwrite)
-    found, gains = model.evaluation(model.predict(trees, held, residuals)), model.importance(trees)
-    _text(spark, a.output, "evaluation.json", json.dumps({"errors": found, "importance": dict(gains), "train_rows": fitted.count(), "validation_rows": held.count()}))
-    _text(spark, a.output, "evaluation.md", model.report(found, gains))
+    fitted = written(baselines.hash_sample(marked.where("is_train"), keys, a.max_train_rows), "train")
+    held = written(baselines.hash_sample(marked.where("is_validation"), keys, a.max_validation_rows), "validation")
+    stops = days.count() > 1
+    both = fitted.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True))) if stops else fitted.withColumn("_held", F.lit(False))
+    both = both.withColumn("_weight", baselines.sample_weight("delay_seconds", a.late_weight, settings))
+    quantiles = sorted({0.5, *(a.quantiles or (0.1, 0.9))})
+    found = boosting.fit(both, [*baselines.NUMERIC, *baselines.BOOLEAN], baselines.CATEGORICAL, quantiles=quantiles, weight="_weight", held="_held" if stops else None, rounds=a.rounds, patience=a.patience, rate=a.rate)
+    boosting.save(spark, found, f"{a.output}/model", overwrite=a.overwrite)
+    errors, gains = model.evaluation(_scored(found, held)), boosting.importance(found, 0.5)
+    losses = {str(q): {"rounds": len(t), "pinball_loss": (x[len(t)] if x else None)} for q, t, x in zip(found.quantiles, found.trees, found.losses or [()] * len(quantiles))}
+    _text(spark, a.output, "evaluation.json", json.dumps({"errors": errors, "quantiles": losses, "importance": dict(gains), "train_rows": fitted.count(), "validation_rows": held.count()}))
+    _text(spark, a.output, "evaluation.md", model.report(errors, gains))
 
 
 def predict(spark, a):
-    trees, residuals = model.load(spark, a.model)
-    rows = tables.scan(spark, a.features, dates=a.date, start=a.start_date)
-    scored = model.predict(trees, rows if a.all_snapshots else live.newest_snapshot(rows), residuals)
-    tables.write(_dated(scored), f"{a.output}/scored", overwrite=a.overwrite)
+    found = boosting.load(spark, f"{a.model}/model")
+    rows = _scan(spark, a.features, a)
+    tables.write(_dated(_scored(found, rows if a.all_snapshots else live.newest_snapshot(rows))), f"{a.output}/scored", overwrite=a.overwrite)
     done = spark.read.parquet(f"{a.output}/scored")
     if "feed_delay_seconds" in done.columns:
         tables.write_summary(live.route_summary(done), f"{a.output}/routes", overwrite=a.overwrite)
     tables.write_summary(live.next_stops(done), f"{a.output}/next_stops", overwrite=a.overwrite)
 
 
+def live_cycle(spark, a):
+    """A live cycle, every --every-seconds (once where that isn't given): window, features, scores, log and the document clients load."""
+    found = boosting.load(spark, f"{a.model}/model")
+    static = {t: spark.read.parquet(f"{a.static}/{t}") for t in ("routes", "trips", "stops", "stop_times")}
+    newest = {t: live.newest_of(df, "p_snapshot_date", ("feed_name",)) for t, df in static.items()}
+    hours = spark.read.parquet(a.weather) if a.weather else None
+    while True:
+        now = datetime.fromisoformat(a.now) if a.now else datetime.now(timezone.utc)
+        days = sorted({(now - timedelta(minutes=m)).strftime("%Y-%m-%d") for m in (0, a.window_minutes)})
+        nested = written(gtfs_rt.decode_nested(gtfs_rt.snapshots(spark, a.raw, dates=days, feeds=a.feed)), "window")
+        updates, positions = gtfs_rt.split(nested, "stop_time_updates"), gtfs_rt.split(nested, "vehicle_positions")
+
+        def inputs(recent, positions=positions):
+            rows = delay.delay_table(recent, newest["stop_times"], by_date=False, keep_all=True)
+            return features.feature_table(rows, newest, positions=positions, weather=hours, stride_minutes=a.snapshot_stride_minutes or DEFAULT.stride_minutes, by_date=False, targets=False)
+
+        out = live.cycle(updates, lambda rows: _scored(found, rows), positions, newest["routes"], newest["trips"], F.lit(now), features=inputs, window_minutes=a.window_minutes)
+        tables.write(out["scored"].withColumns({"date": F.to_date("collected_at_utc").cast("string")}), f"{a.output}/log/run={now:%Y%m%dT%H%M%S}", overwrite=True)
+        scored = spark.read.parquet(f"{a.output}/log/run={now:%Y%m%dT%H%M%S}")
+        told = out | {"scored": scored, "summary": live.route_summary(scored, feed="current_predicted_delay_seconds"), "markers": live.markers(out["vehicles"], scored, F.lit(now))}
+        exports.write_documents(live.document(told, F.lit(now), quantiles=(min(found.quantiles), max(found.quantiles))), f"{a.output}/live", overwrite=True)
+        if not a.every_seconds:
+            return
+        time.sleep(max(0.0, a.every_seconds - (datetime.now(timezone.utc) - now).total_seconds()))
+
+
+def timetable_document(spark, a):
+    """The schedule of one day (--date) as one document: stops, patterns with their trips, footpaths."""
+    day = a.date[0]
+    static = {t: live.newest_of(spark.read.parquet(f"{a.static}/{t}"), "p_snapshot_date", ("feed_name",)) for t in ("stop_times", "trips", "stops", "calendar", "calendar_dates")}
+    services = timetable.active_services(timetable.calendar_on(static["calendar"], day), static["calendar_dates"].where(F.to_date("date", "yyyyMMdd") == F.lit(day).cast("date")))
+    trips = static["trips"].join(services, "service_id", "left_semi").select("feed_name", "trip_id", "route_id", F.col("direction_id").try_cast("bigint").alias("direction_id"))
+    times = static["stop_times"].join(trips, ["feed_name", "trip_id"]).withColumn("stop_sequence", F.col("stop_sequence").try_cast("bigint"))
+    stops = static["stops"].select("stop_id", "stop_name", F.round(F.col("stop_lat").try_cast("double"), 6).alias("stop_lat"), F.round(F.col("stop_lon").try_cast("double"), 6).alias("stop_lon")).where("stop_lat IS NOT NULL AND stop_lon IS NOT NULL").dropDuplicates(["stop_id"])
+    exports.write_documents(exports.timetable(timetable.trip_patterns(times), stops, timetable.footpaths(stops)), f"{a.output}/timetable", overwrite=a.overwrite)
+
+
+def retain(spark, a):
+    """Removes local snapshots older than --days that the remote listing (Parquet: feed, date, name, size) confirms."""
+    ended = retention.clean(spark, a.raw, spark.read.parquet(a.remote), a.manifests, days=a.days, today=a.now or f"{datetime.now(timezone.utc):%Y-%m-%d}")
+    for m in ended:
+        counts = {r["outcome"]: r["count"] for r in retention.finish(spark, m).groupBy("outcome").count().collect()}  # three outcomes
+        print(f"{m}: {counts}")
+
+
 def export(spark, a):
     hours = spark.read.parquet(f"{a.reliability}/route_by_hour.parquet")
     rates = dashboard.transfer_rates(spark.read.parquet(f"{a.transfers}/stop_summary.parquet"))
@@ -161,6 +274,9 @@ COMMANDS = {
     "evaluate": (evaluate, ("log", "delay", "output")),
     "train": (train, ("features", "output")),
     "predict": (predict, ("features", "model", "output")),
+    "live": (live_cycle, ("raw", "static", "model", "?weather", "output")),
+    "timetable": (timetable_document, ("static", "output")),
+    "retention": (retain, ("raw", "remote", "manifests")),
     "export": (export, ("reliability", "transfers", "output")),
     "health": (health, ("raw",)),
 }
@@ -175,15 +291,34 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{f.lstrip('?')}", required=not f.startswith("?"))
         p.add_argument("--date", action="append", help="only this date; may be repeated")
         p.add_argument("--start-date")
+        p.add_argument("--end-date", help="dates before this one")
         p.add_argument("--overwrite", action="store_true")
         p.add_argument("--keep-all-snapshots", action="store_true")
         p.add_argument("--snapshot-stride-minutes", type=int)
-        p.add_argument("--min-observations", type=int, default=10)
+        p.add_argument("--min-observations", type=int, help="in a report's lists: 1000, of transfers 10")
+        p.add_argument("--max-abs-delay-seconds", type=float)
+        p.add_argument("--min-scheduled-headway-seconds", type=float)
+        p.add_argument("--max-scheduled-headway-minutes", type=float)
+        p.add_argument("--bunched-ratio", type=float)
+        p.add_argument("--gapped-ratio", type=float)
+        p.add_argument("--max-walk-m", type=float)
+        p.add_argument("--max-wait-minutes", type=float)
+        p.add_argument("--max-final-lead-minutes", type=float)
+        p.add_argument("--late-delay-threshold-seconds", type=float)
+        p.add_argument("--min-route-rows", type=int, default=200)
+        p.add_argument("--summaries-only", action="store_true", help="of transfer events that are there already")
+        p.add_argument("--quantiles", type=float, nargs="+", help="of the interval: 0.1 0.9")
+        p.add_argument("--patience", type=int, default=20)
+        p.add_argument("--rate", type=float, default=0.05)
+        p.add_argument("--window-minutes", type=int, default=60)
+        p.add_argument("--every-seconds", type=float, help="of a live cycle; once if not given")
+        p.add_argument("--now", help="an ISO time instead of the clock's")
+        p.add_argument("--days", type=int, default=14)
         p.add_argument("--feed", action="append", help="only this feed; may be repeated")
         p.add_argument("--limit-files", type=int, help="at most so many files, the first by path")
         p.add_argument("--max-train-rows", type=int, default=2_000_000)
         p.add_argument("--max-validation-rows", type=int, default=500_000)
-        p.add_argument("--rounds", type=int, default=60)
+        p.add_argument("--rounds", type=int, default=200)
         p.add_argument("--late-weight", type=float, default=3.0)
         p.add_argument("--all-snapshots", action="store_true", help="score every poll, not the newest alone")
         p.add_argument("--expect", action="append", help="feed=kind, with kind realtime, alerts, static or weather; may be repeated")

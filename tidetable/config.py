@@ -38,6 +38,7 @@ class Settings:
     planner_access_m: float = 600.0
     planner_rounds: int = 4
     planner_missed_penalty_s: float = 900.0
+    planner_live_s: int = 2700
     freshness_minutes: dict[str, float] = field(default_factory=lambda: {"realtime": 5.0, "alerts": 15.0, "static": 48 * 60.0, "weather": 6 * 60.0})
 
 

@@ -37,7 +37,7 @@ def flagged(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 def rollup(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    return rows.groupBy(*by).agg(*bunching())
+    return rows.groupBy(*by).agg(*bunching()) if by else rows.agg(*bunching())
 
 
 def most_bunched(rolled: DataFrame, least: int, n: int, keys: tuple[str, ...] = ("route_id",)) -> DataFrame:

@@ -29,6 +29,12 @@ def newest_snapshot(rows: DataFrame, ts: str = "collected_at_utc") -> DataFrame:
     return rows.join(F.broadcast(newest), rows[ts] == newest["_newest"]).drop("_newest")
 
 
+def newest_of(rows: DataFrame, ts: str, keys: tuple[str, ...]) -> DataFrame:
+    """The rows of each key's newest ts (a feed's newest schedule, say)."""
+    newest = rows.groupBy(*keys).agg(F.max(ts).alias(ts))
+    return rows.join(newest, [*keys, ts], "left_semi")
+
+
 def freshness(updates: DataFrame, now: DataFrame, limit_minutes: Column) -> DataFrame:
     """Age of each feed's newest object against its limit. now: one row, `now`."""
     newest = updates.groupBy("feed").agg(F.max("updated").alias("newest")).crossJoin(F.broadcast(now))  # now: one row
@@ -64,16 +70,36 @@ def markers(vehicles: DataFrame, scored: DataFrame, now: Column, digits: int = 6
     return rows.select("route_id", "trip_headsign", F.to_json(F.struct("*")).alias("json"))
 
 
-def cycle(updates: DataFrame, score: Callable[[DataFrame], DataFrame], positions: DataFrame, routes: DataFrame, trips: DataFrame, now: Column, *, window_minutes: int = 60, settings: Settings = DEFAULT) -> dict[str, DataFrame]:
+def cycle(updates: DataFrame, score: Callable[[DataFrame], DataFrame], positions: DataFrame, routes: DataFrame, trips: DataFrame, now: Column, *, features: Callable[[DataFrame], DataFrame] | None = None, window_minutes: int = 60, settings: Settings = DEFAULT) -> dict[str, DataFrame]:
     """One live cycle: the updates of the rolling window, those of its newest poll scored, and what a client is told.
 
-    score: from the window's rows to the same with predicted_delay_seconds (lags need the window; only the newest poll is told).
-    Returns scored, summary (by route), markers.
+    features: from the window's rows to inputs (lags need the window); only the newest poll's rows of these go to score, which adds
+    predicted_delay_seconds. Without features, score gets the window. Returns scored, summary (by route), vehicles, markers.
     """
     recent = updates.where(F.unix_seconds("collected_at_utc") > F.unix_seconds(now) - window_minutes * 60)
-    scored = newest_snapshot(score(recent))
+    scored = score(newest_snapshot(features(recent))) if features else newest_snapshot(score(recent))
     where = live_vehicles(newest_snapshot(positions), routes, trips)
-    return {"scored": scored, "summary": route_summary(scored, settings), "markers": markers(where, scored, now)}
+    return {"scored": scored, "summary": route_summary(scored, settings) if "feed_delay_seconds" in scored.columns else route_summary(scored, settings, "current_predicted_delay_seconds"), "vehicles": where, "markers": markers(where, scored, now)}
+
+
+def worst_arrivals(scored: DataFrame, n: int = 40, tie: str = "stop_id", predicted: str = "predicted_delay_seconds") -> DataFrame:
+    """The n scored arrivals of greatest predicted delay."""
+    return scored.orderBy(F.desc_nulls_last(predicted), tie).limit(n)
+
+
+def document(found: dict[str, DataFrame], now: Column, *, most: int = 40, quantiles: tuple[float, float] | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """One row of JSON of a cycle: when, limits, totals, each route, each vehicle's marker, the worst arrivals. A client loads it whole, so it is one city's few hundred rows."""
+    scored = found["scored"]
+    totals = scored.agg(F.struct(F.count("*").alias("stopArrivals"), F.countDistinct("trip_id").alias("trips"), F.countDistinct("route_id").alias("routes")).alias("totals"))
+    names = [c for c in ("trip_id", "route_id", "stop_id", "prediction_lead_minutes", "predicted_delay_seconds", "predicted_delay_lower_seconds", "predicted_delay_upper_seconds") if c in scored.columns]
+    listed = lambda df, order, name: df.select(F.struct(*order, F.struct(*df.columns).alias("row")).alias("_x")).agg(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["row"]).alias(name))
+    routes = listed(found["summary"], ["route_id"], "routes")
+    vehicles = found["markers"].agg(F.array_sort(F.collect_list("json")).alias("vehicles"))
+    worst = listed(worst_arrivals(scored.select(*names), most), [(-F.col("predicted_delay_seconds")).alias("d"), "stop_id"], "worstArrivals")
+    one = totals.crossJoin(routes).crossJoin(vehicles).crossJoin(worst)  # one row each
+    head = [F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generatedAtUtc"), F.lit(settings.late_above_s).alias("lateThresholdSeconds"), *([F.array(*map(F.lit, quantiles)).alias("intervalQuantiles")] if quantiles else [])]
+    whole = one.select(F.to_json(F.struct(*head, "totals", "routes", "worstArrivals")).alias("json"), F.array_join("vehicles", ",").alias("_v"))
+    return whole.select(F.concat(F.expr("substring(json, 1, length(json) - 1)"), F.lit(',"vehicles":['), "_v", F.lit("]}")).alias("json"))
 
 
 def health(updates: DataFrame, expected: DataFrame, now: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

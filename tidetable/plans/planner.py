@@ -100,11 +100,12 @@ def improving(rounds: DataFrame, gain_s: int = 30) -> DataFrame:
     return packed.select("query_id", F.explode(F.aggregate("_rows", start, step)["kept"]).alias("_x")).select("query_id", "_x.row.*")
 
 
-def itineraries(found: DataFrame, targets: DataFrame, routes: DataFrame, hours: DataFrame, rates: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def itineraries(found: DataFrame, targets: DataFrame, routes: DataFrame, hours: DataFrame, rates: DataFrame, settings: Settings = DEFAULT, *, live: DataFrame | None = None, clock: DataFrame | None = None) -> DataFrame:
     """What earliest_arrivals found, as scored itineraries to the targets (query_id, stop_id, walk_s), one for each round that is worth it.
 
     routes: trip_id, route_id. hours: route_id, hour_of_day, median_s, p90_s (an hour that lacks has the route's mean; a route that
-    lacks 60 and 240). rates: transfer (from_route|to_route|stop left at), success_rate.
+    lacks 60 and 240). rates: transfer (from_route|to_route|stop left at), success_rate. live: route_id, live_delay_s (a row a route) and clock:
+    query_id, now (seconds); a ride that starts within settings.planner_live_s of now on a route that is later than is usual is taken to be as late.
     """
     ends = found.where("round > 0").join(targets, ["query_id", "stop_id"])
     total = F.col("arrive") + F.col("walk_s")
@@ -116,36 +117,44 @@ def itineraries(found: DataFrame, targets: DataFrame, routes: DataFrame, hours:
     means = hours.groupBy("route_id").agg(F.rint(F.avg("median_s")).alias("_median"), F.rint(F.avg("p90_s")).alias("_p90"))
     rides = rides.join(hours.select("route_id", F.col("hour_of_day").cast("int").alias("hour_of_day"), "median_s", "p90_s"), ["route_id", "hour_of_day"], "left").join(means, "route_id", "left")
     rides = rides.withColumns({"median_s": F.coalesce(F.col("median_s").cast("double"), "_median", F.lit(60.0)), "p90_s": F.coalesce(F.col("p90_s").cast("double"), "_p90", F.lit(240.0))})
+    if live is not None and clock is not None:
+        now = live.select("route_id", F.rint(F.col("live_delay_s")).alias("_live"))
+        rides = rides.join(now, "route_id", "left").join(clock.select("query_id", F.col("now").alias("_now")), "query_id", "left")
+        rides = rides.withColumn("_live", F.when(F.col("_leg.depart") - F.col("_now") < settings.planner_live_s, F.col("_live"))).drop("_now")
+    else:
+        rides = rides.withColumn("_live", F.lit(None).cast("double"))
+    rides = rides.withColumn("_late", F.greatest("median_s", "_live"))  # nulls don't count
     before = Window.partitionBy("query_id", "round").orderBy("_i")
-    rides = rides.withColumns({c: F.lag(x).over(before) for c, x in (("_from", "route_id"), ("_left", "_leg.to_stop"), ("_at", "_leg.arrive"), ("_wait", "median_s"))})
+    rides = rides.withColumns({c: F.lag(x).over(before) for c, x in (("_from", "route_id"), ("_left", "_leg.to_stop"), ("_at", "_leg.arrive"), ("_wait", "_late"))})
     rides = rides.withColumn("transfer", F.when(F.col("_from").isNotNull(), F.concat_ws("|", F.col("_from").cast("string"), F.col("route_id").cast("string"), "_left"))).join(rates, "transfer", "left")
-    one = F.struct("_i", F.col("route_id").cast("string").alias("route_id"), F.col("_leg.depart").alias("depart"), "median_s", "p90_s", F.struct(F.col("success_rate").alias("observed_rate"), (F.col("_leg.depart") - F.col("_at")).cast("double").alias("slack_s"), F.col("_wait").alias("median_delay_s")).alias("transfer"))
+    one = F.struct("_i", F.col("route_id").cast("string").alias("route_id"), F.col("_leg.depart").alias("depart"), "_late", "p90_s", F.struct(F.col("success_rate").alias("observed_rate"), (F.col("_leg.depart") - F.col("_at")).cast("double").alias("slack_s"), F.col("_wait").alias("median_delay_s")).alias("transfer"))
     taken = rides.groupBy("query_id", "round").agg(F.array_sort(F.collect_list(one)).alias("_rides"))  # a ride a round at most
     out = kept.join(taken, ["query_id", "round"])
     last = F.element_at("_rides", -1)
     return score(
         out.select(
-            "query_id", "round", "arrive", "stop_id", "walk_s", "legs", F.col("_rides")[0]["depart"].alias("first_board"), (F.col("arrive") + last["median_s"]).alias("arrive_expected"), (F.col("arrive") + last["p90_s"]).alias("arrive_p90"),
+            "query_id", "round", "arrive", "stop_id", "walk_s", "legs", F.col("_rides")[0]["depart"].alias("first_board"), (F.col("arrive") + last["_late"]).alias("arrive_expected"), (F.col("arrive") + last["p90_s"]).alias("arrive_p90"),
             F.transform(F.slice("_rides", 2, settings.planner_rounds), lambda x: x["transfer"]).alias("transfers"), F.array_join(F.transform("_rides", lambda x: F.concat_ws("@", x["route_id"], x["depart"].cast("string"))), ">").alias("leg_key"),
         ),
         settings,
     )
 
 
-def plan(queries: DataFrame, stops: DataFrame, times: DataFrame, walks: DataFrame | None, hours: DataFrame, rates: DataFrame, *, most: int = 4, settings: Settings = DEFAULT) -> DataFrame:
+def plan(queries: DataFrame, stops: DataFrame, times: DataFrame, walks: DataFrame | None, hours: DataFrame, rates: DataFrame, *, live: DataFrame | None = None, most: int = 4, settings: Settings = DEFAULT) -> DataFrame:
     """Each query's best itineraries from place to place (query_id, place, score, ...): none for a query without stops in reach of both ends.
 
-    queries: query_id, from_lat, from_lon, to_lat, to_lon, depart (seconds). times: see connections. A second run starts a minute after
+    queries: query_id, from_lat, from_lon, to_lat, to_lon, depart (seconds). times: see connections. live: see itineraries; it counts where queries have `now`. A second run starts a minute after
     the first one's first ride, for the departure after; itineraries of the same rides count once.
     """
     ends = {k: nearest_stops(queries.select("query_id", F.col(f"{k}_lat").alias("lat"), F.col(f"{k}_lon").alias("lon")), stops, settings=settings) for k in ("from", "to")}
     sources, targets = written(ends["from"]), written(ends["to"].withColumn("stop_id", F.col("stop_id").cast("string")))
     lines, routes = raptor.lines(times), times.select("trip_id", "route_id").distinct()
     goals = targets.select("query_id", "stop_id", "walk_s")
+    clock = queries.select("query_id", "now") if "now" in queries.columns else None
 
     def run(departs: DataFrame, k: int) -> DataFrame:
         origins = sources.join(departs, "query_id").select("query_id", "stop_id", (F.col("depart") + F.col("walk_s")).alias("ready"))
-        return written(itineraries(raptor.arrivals(origins, lines, walks, targets=goals, settings=settings), targets, routes, hours, rates, settings).withColumn("run", F.lit(k)))
+        return written(itineraries(raptor.arrivals(origins, lines, walks, targets=goals, settings=settings), targets, routes, hours, rates, settings, live=live, clock=clock).withColumn("run", F.lit(k)))
 
     first = run(queries.select("query_id", "depart"), 1)
     second = run(first.groupBy("query_id").agg((F.min_by("first_board", "round") + 60).alias("depart")), 2)

@@ -22,6 +22,11 @@ GROUPINGS: dict[str, tuple[str, ...]] = {
 }
 
 
+KEYS = tuple(dict.fromkeys(k for by in GROUPINGS.values() for k in by))
+#: What a report shows of a group.
+SHOWN = ("observations", "on_time_rate", "late_rate", "early_rate", "median_delay_seconds", "p90_delay_seconds")
+
+
 def base(features: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return features.where(F.col("delay_seconds").isNotNull() & (F.abs("delay_seconds") <= settings.outlier_s))
 

@@ -52,3 +52,34 @@ def markdown(df: DataFrame, n: int = 50) -> str:
     cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
     return "\n".join(lines) + "\n"
+
+
+def cell(value, kind: str = "") -> str:
+    """A value in a report: kind 'percent', 'seconds' or none."""
+    if value is None:
+        return ""
+    if kind == "percent":
+        return f"{value * 100:.1f}%"
+    if kind == "seconds":
+        return f"{value:.0f}s"
+    return f"{value:.3f}" if isinstance(value, float) else str(value)
+
+
+def kind_of(column: str) -> str:
+    """How a column of a summary is shown: rates and coverage as percent, delays, waits, margins and errors in seconds."""
+    if column.endswith("_rate") or column == "coverage":
+        return "percent"
+    return "seconds" if column.endswith("_seconds") or column in ("mae", "median_ae", "rmse", "bias", "mean_width") else ""
+
+
+def report(title: str, sections: Sequence[tuple[str, DataFrame | str]], *, n: int = 50) -> str:
+    """A Markdown report: a heading and the first n rows for each section (or its text). Tables are short summaries."""
+    lines = [f"# {title}", ""]
+    for heading, body in sections:
+        lines += [f"## {heading}", ""]
+        if isinstance(body, str):
+            lines += [body, ""]
+            continue
+        rows = body.limit(n).collect()
+        lines += ["| " + " | ".join(body.columns) + " |", "|" + "---|" * len(body.columns), *("| " + " | ".join(cell(v, kind_of(c)) for c, v in zip(body.columns, r)) + " |" for r in rows), ""]
+    return "\n".join(lines)
