@@ -28,8 +28,8 @@ from .common import as_string, materialize, row_slices, table
 
 CAPACITY = 2048
 END_ID = 1
-#: Words kept with their ids in each worker, in two generations.
-CACHE_WORDS = 100_000
+#: Remembered words: a generation is closed at so many bytes, and there are two at most. What a word takes beside its letters and ids.
+CACHE_BYTES, WORD_BYTES = 24 << 20, 250
 
 
 @dataclass(frozen=True)
@@ -131,6 +131,7 @@ class WordIds:
         self.word_bound = parts == _WORD_BOUND and plain and isinstance(model, BPE) and not model.dropout and not model.ignore_merges
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of young
 
     @staticmethod
     def lower(text: str) -> str:
@@ -183,10 +184,15 @@ class WordIds:
         ids = every[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])]
         text_ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])].tolist()
         out = [ids[a:b].tobytes() for a, b in zip(text_ends, text_ends[1:])]
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {}
+        self.held += sum(len(w) + len(young[w]) + WORD_BYTES for w in new)
+        if self.held > CACHE_BYTES:
+            self.old, self.young, self.held = young, {}, 0
         return out
 
+    def forget(self) -> None:
+        """Lets the remembered words go: a reused Python worker keeps nothing of a task but the tokenizer."""
+        self.young, self.old, self.held = {}, {}, 0
+
 
 _word_ids: dict[str, WordIds] = {}
 
@@ -205,30 +211,36 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
         if tokenizer not in _word_ids:
             _word_ids[tokenizer] = WordIds(tokenizer)
         encode, end, step = _word_ids[tokenizer], np.array([end_id], "<u4").tobytes(), capacity * 4
-        for batch in batches:
-            texts = as_string(batch.column(1))
-            names = batch.column(0)
-            rows, starts, lengths, ids, totals = [], [], [], [], []
-
-            def flush() -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())], ["id", "start", "length", "ids", "doc_tokens"]
-                )
-                for x in (rows, starts, lengths, ids, totals):
-                    x.clear()
-                return out
-
-            for lo, hi in row_slices(texts):
-                for i, whole in enumerate(encode(texts.slice(lo, hi - lo).to_pylist()), lo):
-                    whole += end
-                    for at in range(0, len(whole), step):
-                        piece = whole[at : at + step]
-                        rows.append(i)
-                        starts.append(at // 4)
-                        lengths.append(len(piece) // 4)
-                        ids.append(piece)
-                        totals.append(len(whole) // 4)
-                yield flush()
+        try:
+            for batch in batches:
+                yield from pieces_of(batch, encode, end, step)
+        finally:
+            encode.forget()
+
+    def pieces_of(batch: pa.RecordBatch, encode: WordIds, end: bytes, step: int) -> Iterator[pa.RecordBatch]:
+        texts = as_string(batch.column(1))
+        names = batch.column(0)
+        rows, starts, lengths, ids, totals = [], [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays(
+                [names.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())], ["id", "start", "length", "ids", "doc_tokens"]
+            )
+            for x in (rows, starts, lengths, ids, totals):
+                x.clear()
+            return out
+
+        for lo, hi in row_slices(texts):
+            for i, whole in enumerate(encode(texts.slice(lo, hi - lo).to_pylist()), lo):
+                whole += end
+                for at in range(0, len(whole), step):
+                    piece = whole[at : at + step]
+                    rows.append(i)
+                    starts.append(at // 4)
+                    lengths.append(len(piece) // 4)
+                    ids.append(piece)
+                    totals.append(len(whole) // 4)
+            yield flush()
 
     picked = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
