@@ -239,53 +239,63 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def _offer(pool: DataFrame, sure: float) -> Callable:
-    """What the views name out of the whole pool (written features). Each task tells its surest keys by view and label; of these the
-    surest are taken, and only their features come to the driver: quota rows by view and label."""
+    """What the views name out of the whole pool (written features), in one job a round. Each task tells its surest rows by view and
+    label, quota rows of each at most, with their features; the surest of all of these come to the driver."""
     spark = pool.sparkSession
 
     def offer(models: tuple[View, View], taken: np.ndarray, quotas: tuple[int, int]) -> tuple[Named, dict]:
         shared = spark.sparkContext.broadcast((models, taken))
+        kinds = [(v, c) for v in (0, 1) for c in (0, 1)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (of_content, of_meta), known = shared.value
-            best = {(v, c): (np.zeros(0, np.int64), np.zeros(0)) for v in (0, 1) for c in (0, 1)}
+            best: dict[tuple[int, int], dict[int, tuple[float, bytes, bytes]]] = {kind: {} for kind in kinds}
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1024):
                     part = batch.slice(lo, 1024)
+                    keys = part.column("key").to_numpy()
                     chances = _chance(of_content.logit(_stack(part.column("content"), CONTENT))), _chance(of_meta.logit(_stack(part.column("meta"), META)))
-                    for v, c, keys, certain in surest(chances, part.column("key").to_numpy(), known, quotas, sure):
-                        keys, at = np.unique(np.concatenate([best[v, c][0], keys]), return_index=True)
-                        certain = np.concatenate([best[v, c][1], certain])[at]
-                        top = np.argsort(-certain, kind="stable")[: quotas[c]]
-                        best[v, c] = keys[top], certain[top]
-            for (v, c), (keys, certain) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array([v] * len(keys), pa.int32()), pa.array([c] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(certain, pa.float64())], ["view", "label", "key", "certain"])
-
-        told = pool.select("key", "content", "meta").mapInArrow(run, "view int, label int, key bigint, certain double").groupBy("view", "label", "key").agg(F.max("certain").alias("certain"))
+                    place = None
+                    for v, c, named, certain in surest(chances, keys, known, quotas, sure):
+                        if not len(named):
+                            continue
+                        place = dict(zip(keys[::-1].tolist(), range(len(keys) - 1, -1, -1))) if place is None else place
+                        mine = best[v, c]
+                        for k, x in zip(named.tolist(), certain.tolist()):
+                            if k not in mine:
+                                mine[k] = (x, part.column("content")[place[k]].as_py(), part.column("meta")[place[k]].as_py())
+                        if len(mine) > quotas[c]:
+                            best[v, c] = dict(sorted(mine.items(), key=lambda e: (-e[1][0], e[0]))[: quotas[c]])
+            rows = [(v, c, k, *x) for (v, c), mine in best.items() for k, x in mine.items()]
+            columns = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary()))], ["view", "label", "key", "certain", "content", "meta"])
+
+        told = pool.select("key", "content", "meta").mapInArrow(run, "view int, label int, key bigint, certain double, content binary, meta binary")
+        told = told.groupBy("view", "label", "key").agg(F.max("certain").alias("certain"), F.first("content").alias("content"), F.first("meta").alias("meta"))
         nth = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("certain"), "key"))
         quota = F.when(F.col("label") == 1, quotas[1]).otherwise(quotas[0])
-        rows = told.withColumn("nth", nth).where((F.col("nth") <= max(quotas)) & (F.col("nth") <= quota)).toArrow()
-        if not rows.num_rows:
+        got = told.withColumn("nth", nth).where((F.col("nth") <= max(quotas)) & (F.col("nth") <= quota)).toArrow()
+        shared.unpersist()
+        if not got.num_rows:
             return [], {}
-        view, value, keys = (rows[c].to_numpy() for c in ("view", "label", "key"))
-        wanted = spark.createDataFrame([(int(k),) for k in np.unique(keys)], "key bigint")
-        got = pool.select("key", "content", "meta").join(F.broadcast(wanted), "key").groupBy("key").agg(F.first("content").alias("content"), F.first("meta").alias("meta")).toArrow()
-        found = dict(zip(got["key"].to_pylist(), zip(_stack(got["content"], CONTENT), _stack(got["meta"], META))))
-        return [(v, c, np.sort(keys[(view == v) & (value == c)])) for v in (0, 1) for c in (0, 1)], found
+        view, value, keys = (got[c].to_numpy() for c in ("view", "label", "key"))
+        found = dict(zip(keys.tolist(), zip(_stack(got["content"], CONTENT), _stack(got["meta"], META))))
+        return [(v, c, np.sort(keys[(view == v) & (value == c)])) for v, c in kinds], found
 
     return offer
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 5000, rounds: int = 4, each: int = 200, sure: float = 0.97, seed: int = 3) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 5000, rounds: int = 4, each: int = 200, sure: float = 0.97, seed: int = 3, pool: DataFrame | None = None) -> QualityModel | None:
     """Co-train on at most `labelled` labelled documents, drawn by a hash of doc_id, and on all documents without labels.
 
     A document labelled more than once has the label of most of its rows (good on a tie); null labels and ids are left out. Of rows
     that share a drawn id, one counts (that of the least key). The rest of the table, rows without an id included, is the pool the
     views name from, `each` a round; rows alike in all that is read are one document there. Labelled documents that aren't drawn
     are in the pool as well. None where the sample lacks one of the classes, or the table is empty. To the driver come the
-    features (1.5 KB each) of at most labelled + 2 * each * rounds documents, however many rows share an id or a text.
+    features (1.5 KB each) of at most labelled + 2 * each * rounds documents, however many rows share an id or a text. pool: the
+    written features of docs, where they are there already.
     """
-    pool = materialize(features(docs), "features")
+    pool = materialize(features(docs), "features") if pool is None else pool
     judged = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     known = judged.join(pool.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(labelled)
     rows = pool.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min_by(F.struct("content", "meta"), "key").alias("row"))
@@ -322,6 +332,22 @@ def score(spark: SparkSession, docs: DataFrame, model: QualityModel | None, *, k
     return docs.select(*keep, score_column(spark, model).alias(out_name))
 
 
+def score_features(pool: DataFrame, model: QualityModel | None, *, out_name: str = "quality") -> DataFrame:
+    """doc_id and `quality` (or out_name) of every row of features: what score gives, without going through the texts again."""
+    if model is None:
+        return pool.select("doc_id", F.lit(1.0).alias(out_name))
+    shared = pool.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                value = shared.value.score(_stack(part.column("content"), CONTENT), _stack(part.column("meta"), META))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(value, pa.float64())], ["doc_id", out_name])
+
+    return pool.select("doc_id", "content", "meta").mapInArrow(run, f"doc_id bigint, `{out_name}` double")
+
+
 #: Documents below this score are rejected.
 ACCEPT = 0.5
 
@@ -329,5 +355,6 @@ ACCEPT = 0.5
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, quality, keep."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(spark, docs, model).select("doc_id", "quality", (F.col("quality") >= ACCEPT).alias("keep"))
+    pool = materialize(features(docs), "features")
+    model = fit(docs, table(spark, sf_dir, "labels"), pool=pool)
+    return score_features(pool, model).select("doc_id", "quality", (F.col("quality") >= ACCEPT).alias("keep"))
