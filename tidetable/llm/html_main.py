@@ -450,7 +450,7 @@ def unmarked(slot: Slot, least: int) -> list[Slot]:
 class Wrapper:
     """A host's wrapper page as nodes, and what the counts of its pages say about them."""
 
-    def __init__(self, page: str, counts: dict[int, tuple[int, int, int]] | None = None, least_pages: int = 8, same_share: float = 0.9):
+    def __init__(self, page: str, counts: dict[int, tuple[int, int, int, int]] | None = None, least_pages: int = 3, same_share: float = 0.9):
         self.shapes = Shapes()
         root, self.blocks = parse(page)
         self.root = fold([root], self.shapes)
@@ -463,16 +463,19 @@ class Wrapper:
         if counts is not None:
             self.learn(counts, least_pages, same_share)
 
-    def learn(self, counts: dict[int, tuple[int, int, int]], least_pages: int, same_share: float) -> None:
-        """counts: by node, pages that match it, pages whose text there is the wrapper page's, and characters; by -1 - k for the
-        k-th text of the wrapper page, pages with another article, and those that have it."""
+    def learn(self, counts: dict[int, tuple[int, int, int, int]], least_pages: int, same_share: float) -> None:
+        """counts: by node and by -1 - k for the k-th text of the wrapper page: pages that vote (count_page says which), those of them
+        whose text there is the wrapper page's (that have the text), characters, and all pages. The wrapper page is one of least_pages."""
         nodes = {k: x for k, x in counts.items() if k >= 0}
-        self.template = {k for k, (n, same, _) in nodes.items() if n >= least_pages and same >= same_share * n}
-        self.constant = frozenset(self.block_texts[-1 - k] for k, (n, same, _) in counts.items() if k < 0 and n >= least_pages and same >= same_share * n)
-        varying = {k: c / max(1, n) for k, (n, _, c) in nodes.items() if k not in self.template}
+        told = {k for k, (votes, same, _, _) in counts.items() if votes and votes + 1 >= least_pages and same >= same_share * votes}
+        self.template = {k for k in told if k >= 0}
+        if not any(c for k, (_, _, c, _) in nodes.items() if k not in self.template):  # nothing tells template from content
+            self.template = set()
+        self.constant = frozenset(self.block_texts[-1 - k] for k in told if k < 0)
+        varying = {k: c / max(1, n) for k, (_, _, c, n) in nodes.items() if k not in self.template}
         if not any(varying.values()):  # nothing varies: every text may be content
-            varying = {k: c / max(1, n) for k, (n, _, c) in nodes.items()}
-        known = any(n > 1 and same < n for n, same, _ in nodes.values())
+            varying = {k: c / max(1, n) for k, (_, _, c, n) in nodes.items()}
+        known = any(votes and same < votes for votes, same, _, _ in nodes.values())
         self.freed = free(self.nodes, varying, known) if varying else set()
         self.home = region(self.nodes, varying, freed=self.freed) if varying else 0
 
@@ -530,26 +533,31 @@ def main_of(page: str, wrapper: Wrapper | None) -> str:
     return "\n".join([blocks[t][1] for t in sorted(keep)])
 
 
-def extract(page: str, wrapper_page: str | None, counts: dict[int, tuple[int, int, int]], least_pages: int = 8, same_share: float = 0.9) -> str:
+def extract(page: str, wrapper_page: str | None, counts: dict[int, tuple[int, int, int, int]], least_pages: int = 3, same_share: float = 0.9) -> str:
     """The main text of a page, given its host's wrapper page and the counts of all its pages (see Wrapper.learn)."""
     return main_of(page, None if wrapper_page is None else Wrapper(wrapper_page, counts, least_pages, same_share))
 
 
 def count_page(page: str, wrapper: Wrapper, found: dict[int, list[int]]) -> None:
-    """Add a page of its host to the wrapper's counts."""
+    """Add a page of its host to the wrapper's counts. Pages with another article than the wrapper page's vote on nodes and texts;
+    on nodes also pages without prose, so that a layout of plain divisions is learnt; copies of the wrapper page have no vote."""
     root, blocks = parse(page)
+    other = wrapper.another_article(blocks)
+    vote = other or not any(node.tag in PROSE and not node.out and not node.named and text for node, text in blocks)
     for k, slot in wrapper.aligned(root)[1]:
         text = own_text(slot, blocks)
         got = found[k]
-        got[0] += 1
-        got[1] += text == wrapper.texts[k]
+        got[0] += vote
+        got[1] += vote and text == wrapper.texts[k]
         got[2] += len(text)
-    if wrapper.another_article(blocks):
+        got[3] += 1
+    if other:
         here = {t for _, t in blocks}
         for k, text in enumerate(wrapper.block_texts):
             got = found[-1 - k]
             got[0] += 1
             got[1] += text in here
+            got[3] += 1
 
 
 def host_of(url):
@@ -569,7 +577,7 @@ class Wrappers:
         if key not in self.held:
             if self.size > HELD_BYTES:
                 self.held, self.size = {}, 0
-            self.held[key] = Wrapper(page, None if learnt is None else {k: (n, s, c) for k, n, s, c in json.loads(learnt)})
+            self.held[key] = Wrapper(page, None if learnt is None else {k: tuple(x) for k, *x in json.loads(learnt)})
             self.size += self.held[key].size
         return self.held[key]
 
@@ -586,8 +594,10 @@ def _with_host(pages: DataFrame, by_host: DataFrame) -> tuple[DataFrame, dict[st
 def main_text(pages: DataFrame, *, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep columns and `text`, the page's main text (empty if there is none).
 
-    A null page is empty. Pages without a host are one host. Every row comes back once; other columns of pages play no part.
-    An empty table gives an empty result.
+    A null page is empty. Pages without a host are one host. Every row comes back once, repeated ones alike; other columns of pages
+    play no part, and keep mustn't hold _host or _html. An empty table gives an empty result. A host has one wrapper page: pages of another
+    layout than its are read by their own article or main element. From three pages on, what nearly all pages with another article have
+    is template; with two, a passage that two articles share would look the same; such a host, or one of copies, has only the names to go by.
     """
     spark = pages.sparkSession
     rows = pages.select(*keep, host_of(F.col(url)).alias("_host"), F.coalesce(F.col(page), F.lit("")).alias("_html"))
@@ -611,17 +621,17 @@ def main_text(pages: DataFrame, *, url: str = "url", page: str = "html", keep: t
     told = spark.sparkContext.broadcast(few)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, dict[int, list[int]]] = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
+        found: dict[str, dict[int, list[int]]] = defaultdict(lambda: defaultdict(lambda: [0, 0, 0, 0]))
         known = Wrappers()
         for *_, texts, hosts, own in parts(batches, told.value):
             for text, host, (wrapper_page, *_) in zip(texts, hosts, own):
                 count_page(text, known(host, wrapper_page or ""), found[host])
         keys = [(h, k) for h, x in found.items() for k in x]
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int32()), *(pa.array([found[h][k][c] for h, k in keys], pa.int64()) for c in range(3))], ["_host", "node", "pages", "same", "chars"])
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int32()), *(pa.array([found[h][k][c] for h, k in keys], pa.int64()) for c in range(4))], ["_host", "node", "votes", "same", "chars", "pages"])
 
-    counted = met.mapInArrow(count, "_host string, node int, pages bigint, same bigint, chars bigint")
-    counts = counted.groupBy("_host", "node").agg(*(F.sum(c).alias(c) for c in ("pages", "same", "chars")))
-    by_host = counts.groupBy("_host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("node").cast("bigint"), "pages", "same", "chars")))).alias("_counts"))  # one entry a node or text of the wrapper page
+    counted = met.mapInArrow(count, "_host string, node int, votes bigint, same bigint, chars bigint, pages bigint")
+    counts = counted.groupBy("_host", "node").agg(*(F.sum(c).alias(c) for c in ("votes", "same", "chars", "pages")))
+    by_host = counts.groupBy("_host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("node").cast("bigint"), "votes", "same", "chars", "pages")))).alias("_counts"))  # one entry a node or text of the wrapper page
     learned = materialize(wrappers.join(by_host, "_host", "left"), "wrappers")
     met, few_learned = _with_host(rows, learned)
     told_learned = spark.sparkContext.broadcast(few_learned)
