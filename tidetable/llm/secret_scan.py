@@ -57,7 +57,22 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _SECRET_NAME = re.compile(r"(?i:(?:key|token|secret|passw\w*|pwd|credential\w*|auth|bearer)[\"']?\s*(?:[:=]|\s)\s*[\"']?$)")
 
 #: Alphabets that secrets are written in, small ones first.
-_ALPHABETS = tuple((a, frozenset(a)) for a in ("0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.digits + string.ascii_letters))
+_ALPHABETS = tuple(
+    (a, frozenset(a))
+    for a in (
+        string.digits,
+        "0123456789abcdef",
+        "0123456789ABCDEF",
+        string.ascii_lowercase,
+        string.ascii_uppercase,
+        "abcdefghijklmnopqrstuvwxyz234567",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+        string.digits + string.ascii_lowercase,
+        string.digits + string.ascii_uppercase,
+        string.ascii_letters,
+        string.digits + string.ascii_letters,
+    )
+)
 _RUN = re.compile(r"(?<![A-Za-z0-9])0[xX]|[A-Za-z0-9]+")
 #: zstandard stores shorter strings as they are; longer ones are entropy-coded, so that a small alphabet takes less than its bytes.
 CODED = 63
@@ -79,12 +94,55 @@ def twin(value: str) -> str:
     return _RUN.sub(drawn, value)
 
 
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]+")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])")
+#: Text around a string whose letter groups count as known, and how many of its own known ones make a string familiar.
+FAMILIAR_REACH, FAMILIAR_SHARE = 4096, 0.5
+
+
+def _odd(low: str, vowels: float = 0.34) -> bool:
+    """Whether small letters have too few (or only) vowels, or too many consonants in a row, for a word."""
+    share, run = sum(c in "aeiouy" for c in low) / len(low), max(map(len, _CONSONANTS.findall(low)), default=0)
+    return run >= 5 or run >= 4 and share < vowels or not 0.2 <= share <= 0.8
+
+
+def spoken(letters: str) -> bool:
+    """Whether letters could be words, by themselves or in camel case: few changes of case, and vowels between the consonants of most of its long parts."""
+    pieces = _PIECE.findall(letters)
+    if len(letters) >= 8 and 2 * len(letters) < 7 * len(pieces):
+        return False
+    return 2 * sum(len(p) for p in pieces if len(p) >= 8 and _odd(p.lower())) < len(letters)
+
+
+def _kind(run: str) -> str:
+    """'word', 'letters' that are no words, or 'mixed' for a run of letters and digits (long numbers count as such) that is no name with some numbers in it."""
+    if run.isdigit():
+        return "mixed" if len(run) >= 16 and not _DATE.match(run) else "word"
+    if run.isalpha():
+        return "word" if spoken(run) else "letters"
+    letters = re.findall("[A-Za-z]+", run)
+    words = sum(len(p) for p in _PIECE.findall(run) if len(p) >= 3)
+    return "word" if words >= 0.7 * len(run) and all(map(spoken, letters)) and not _odd("".join(letters).lower(), 0.4) else "mixed"
+
+
 def plain(value: str, share: float = 0.5) -> bool:
-    """Whether a string is put together of words and numbers, as paths, dates and names are: runs of letters with digits hold less
-    than `share` of its letters and digits."""
+    """Whether a string is put together of words and numbers, as paths, dates, names and identifiers are: other runs hold less than
+    `share` of its letters and digits."""
+    runs = [m.group() for m in _RUN.finditer(value)]
+    odd = sum(len(r) for r in runs if _kind(r) != "word")
+    return odd < share * max(1, sum(map(len, runs)))
+
+
+def familiar(value: str, around: str, lexicon: str) -> bool:
+    """Whether a string whose odd runs are letters alone is made of groups of three letters that the text around it or the lexicon has too:
+    a word of whatever language is written there."""
     runs = [m.group() for m in _RUN.finditer(value)]
-    mixed = sum(len(r) for r in runs if not r.isdigit() and not r.isalpha())
-    return mixed < share * sum(map(len, runs))
+    if any(_kind(r) == "mixed" for r in runs):
+        return False
+    groups = [low[i : i + 3] for r in runs if not r.isdigit() for low in (r.lower(),) for i in range(len(low) - 2)]
+    near = around.lower()
+    return sum(g in near or g in lexicon for g in groups) >= FAMILIAR_SHARE * max(1, len(groups))
 
 
 class Novelty:
@@ -94,6 +152,7 @@ class Novelty:
         import zstandard
 
         self._zstd, self._fixed, self._level = zstandard, identifiers.encode(), level
+        self.lexicon = identifiers.lower()
 
     def _size(self, data: bytes, primed: bytes) -> int:
         lexicon = self._zstd.ZstdCompressionDict(primed, dict_type=self._zstd.DICT_TYPE_RAWCONTENT)
@@ -154,8 +213,8 @@ def candidates(start: int, end: int, known: int, value: str) -> Iterator[tuple[i
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, *, least: float = 0.9, around: int = 256) -> list[tuple[int, int, int]]:
-    """Candidates of 16 or more token characters, with letters and at least two digits, that have a context word before them,
-    aren't plain words and numbers or an identifier by form, don't overlap a base span, and compress to `least` or more of what a random string of their length and alphabet takes."""
+    """Candidates of 16 or more token characters that have a context word before them, aren't plain words and numbers, familiar
+    letters or an identifier by form, don't overlap a base span, and compress to `least` or more of what a random string of their length and alphabet takes."""
     out: list[tuple[int, int, int]] = []
     for first, last, known in sensitive(text):
         for m in _TOKEN.finditer(text, first, last):
@@ -164,9 +223,9 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty,
             done: list[tuple[int, int]] = []
             for start, end in candidates(*m.span(), known, m.group()):
                 value = text[start:end]
-                if end - start < 16 or sum(c.isdigit() for c in value) < 2 or not any(c.isalpha() for c in value):
+                if end - start < 16 or plain(value) or _UUID.fullmatch(value) and not _SECRET_NAME.search(text, max(0, start - 32), start):
                     continue
-                if plain(value) or _UUID.fullmatch(value) and not _SECRET_NAME.search(text, max(0, start - 32), start):
+                if familiar(value, text[max(0, start - FAMILIAR_REACH) : start] + "\n" + text[end : end + FAMILIAR_REACH], novelty.lexicon):
                     continue
                 if any(a < end and start < b for a, b in done) or any(a < end and start < b for a, _, b in taken):
                     continue
