@@ -539,7 +539,7 @@ def test_main_text_of_one_page(body, expected):
 
 def of_host(pages):
     """All pages' main texts, as pages of one host with the first as wrapper page."""
-    counts = defaultdict(lambda: [0, 0, 0])
+    counts = defaultdict(lambda: [0, 0, 0, 0])
     for p in pages:
         html_main.count_page(p, html_main.Wrapper(pages[0]), counts)
     wrapper = html_main.Wrapper(pages[0], {k: tuple(v) for k, v in counts.items()})
