@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_string, materialize, raw_bytes, row_slices, table
+from .common import as_string, materialize, raw_bytes, row_slices, table, tidied
 from .components import components
 from .word_hash import distinct_shingles, mix
 
@@ -286,7 +286,7 @@ def _joined(dealt: DataFrame, need: Callable) -> DataFrame:
     """The joining links (a, b: structs of n and fp) of all parts; written. dealt: an, afp, part, other, comp, probe, n, fp, data."""
     place = ("an", "afp", "part", "other")
     dealt = dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place).sortWithinPartitions(*place)
-    return materialize(dealt.mapInArrow(_join_parts(need), f"a {_KEY}, b {_KEY}"), "links")
+    return materialize(dealt.mapInArrow(tidied(_join_parts(need)), f"a {_KEY}, b {_KEY}"), "links")
 
 
 def _prefix_links(own: DataFrame, placed: DataFrame) -> DataFrame:
@@ -309,7 +309,7 @@ def _whole_links(texts: DataFrame, classes: DataFrame, placed: DataFrame) -> Dat
                 seen.add(key)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(3)), pa.array([h.astype("<i8").tobytes()], pa.binary())], ["n", "fp", "parts", "data"])
 
-    sets = met.select("n", "fp", "parts", "text").mapInArrow(run, f"n bigint, fp bigint, parts {wanted.schema['parts'].dataType.simpleString()}, data binary")
+    sets = met.select("n", "fp", "parts", "text").mapInArrow(tidied(run), f"n bigint, fp bigint, parts {wanted.schema['parts'].dataType.simpleString()}, data binary")
     return _joined(sets.select("n", "fp", "data", F.explode("parts").alias("p")).select("p.*", "n", "fp", "data"), needed)
 
 
@@ -387,7 +387,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
-    summary = materialize(rows.mapInArrow(_summaries, "kind int, id bigint, n bigint, fp bigint, t bigint"), "summaries")
+    summary = materialize(rows.mapInArrow(tidied(_summaries), "kind int, id bigint, n bigint, fp bigint, t bigint"), "summaries")
     documents = summary.where("kind = 0").select("id", "n", "fp", "t")
     # pick: one row that has the class's set
     classes = materialize(documents.where("n > 0").groupBy("n", "fp").agg(F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "t")).alias("pick")), "classes")
@@ -429,9 +429,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
         if size:
             yield flush()
 
-    entries = rows.select("text").mapInArrow(prefixes, "h bigint, n bigint, fp bigint")
+    entries = rows.select("text").mapInArrow(tidied(prefixes), "h bigint, n bigint, fp bigint")
     dealt = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "n", "fp")
-    lists = materialize(dealt.mapInArrow(_lists, "h bigint, n bigint, fp bigint, an bigint, afp bigint"), "lists")
+    lists = materialize(dealt.mapInArrow(tidied(_lists), "h bigint, n bigint, fp bigint, an bigint, afp bigint"), "lists")
     own = materialize(lists.groupBy("n", "fp").agg(F.collect_list("h").alias("data")), "own")  # a set's prefix at most
     members = lists.select("n", "fp", "an", "afp").distinct().join(own.select("n", "fp", (F.size("data") + EACH).alias("weight")), ["n", "fp"])
     members = materialize(members.select("n", "fp", "an", "afp", "weight"), "members")

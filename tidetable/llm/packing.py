@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_string, materialize, row_slices, table
+from .common import as_string, materialize, row_slices, table, tidied
 
 CAPACITY = 2048
 END_ID = 1
@@ -190,7 +190,7 @@ class WordIds:
         return out
 
     def forget(self) -> None:
-        """Lets the remembered words go: a reused Python worker keeps nothing of a task but the tokenizer."""
+        """Lets the remembered words go."""
         self.young, self.old, self.held = {}, {}, 0
 
 
@@ -215,6 +215,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
             for batch in batches:
                 yield from pieces_of(batch, encode, end, step)
         finally:
+            _word_ids.pop(tokenizer, None)
             encode.forget()
 
     def pieces_of(batch: pa.RecordBatch, encode: WordIds, end: bytes, step: int) -> Iterator[pa.RecordBatch]:
@@ -244,7 +245,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
 
     picked = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint").withColumnRenamed("id", id)
+    return picked.mapInArrow(tidied(run), f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint").withColumnRenamed("id", id)
 
 
 def assign(pieces: DataFrame, *, order_by: tuple[str, ...], capacity: int = CAPACITY, buckets: int = 1024, bucket_rows: int = 1 << 16) -> DataFrame:

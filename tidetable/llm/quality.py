@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_string, materialize, raw_bytes, row_slices, table
+from .common import as_string, materialize, raw_bytes, release, row_slices, table, tidied
 from .word_hash import word_hashes
 
 CONTENT = 256 + 8
@@ -235,7 +235,11 @@ def features(docs: DataFrame) -> DataFrame:
 
     read = ("doc_id", "text", "source", "lang", "n_chars")
     picked = docs.select(F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in read)).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), *read[1:])
-    return picked.mapInArrow(run, "key bigint, doc_id bigint, content binary, meta binary")
+    return picked.mapInArrow(tidied(run), "key bigint, doc_id bigint, content binary, meta binary")
+
+
+#: Parts that what tasks offer of one view and label is ranked in, before all of it is.
+PARTS = 64
 
 
 def _offer(pool: DataFrame, sure: float) -> Callable:
@@ -270,11 +274,15 @@ def _offer(pool: DataFrame, sure: float) -> Callable:
             columns = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary()))], ["view", "label", "key", "certain", "content", "meta"])
 
-        told = pool.select("key", "content", "meta").mapInArrow(run, "view int, label int, key bigint, certain double, content binary, meta binary")
+        told = pool.select("key", "content", "meta").mapInArrow(tidied(run), "view int, label int, key bigint, certain double, content binary, meta binary")
         told = told.groupBy("view", "label", "key").agg(F.max("certain").alias("certain"), F.first("content").alias("content"), F.first("meta").alias("meta"))
-        nth = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("certain"), "key"))
+        # first within parts of a view and label, so that no task has what all tasks tell of one
+        told = told.withColumn("part", F.pmod("key", F.lit(PARTS)))
         quota = F.when(F.col("label") == 1, quotas[1]).otherwise(quotas[0])
-        got = told.withColumn("nth", nth).where((F.col("nth") <= max(quotas)) & (F.col("nth") <= quota)).toArrow()
+        for by in (("view", "label", "part"), ("view", "label")):
+            nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("certain"), "key"))
+            told = told.withColumn("nth", nth).where((F.col("nth") <= max(quotas)) & (F.col("nth") <= quota)).drop("nth")
+        got = told.drop("part").toArrow()
         shared.unpersist()
         if not got.num_rows:
             return [], {}
@@ -322,6 +330,7 @@ def score_column(spark: SparkSession, model: QualityModel | None, text="text", s
         meta, value = meta_features(sources, langs, lengths), np.zeros(len(whole))
         for lo, hi in row_slices(whole):
             value[lo:hi] = m.score(content_features(whole.slice(lo, hi - lo)).astype(np.float64), meta[lo:hi].astype(np.float64))
+        release()
         return pa.array(value, pa.float64())
 
     return score_of(text, source, lang, n_chars)
@@ -345,7 +354,7 @@ def score_features(pool: DataFrame, model: QualityModel | None, *, out_name: str
                 value = shared.value.score(_stack(part.column("content"), CONTENT), _stack(part.column("meta"), META))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(value, pa.float64())], ["doc_id", out_name])
 
-    return pool.select("doc_id", "content", "meta").mapInArrow(run, f"doc_id bigint, `{out_name}` double")
+    return pool.select("doc_id", "content", "meta").mapInArrow(tidied(run), f"doc_id bigint, `{out_name}` double")
 
 
 #: Documents below this score are rejected.

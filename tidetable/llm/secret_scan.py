@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_string, row_slices, table, unused
+from .common import as_string, release, row_slices, table, tidied, unused
 
 KINDS = ("assign", "access", "hex", "novel")
 _KEYWORD = r"(password|passwd|secret|token|api_?key)"
@@ -267,7 +267,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
     picked = docs.select(*keep, F.col(text).alias("_text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, fields + f"`{out_name}` array<struct<kind:string,start:bigint,end:bigint>>")
+    return picked.mapInArrow(tidied(run), fields + f"`{out_name}` array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redacted(text: str, spans: list[tuple[int, int]], mark: str) -> str:
@@ -298,6 +298,7 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]", least
                 if spans:
                     own[i] = redacted(value, [(a, b) for a, _, b in spans], mark)
             out += own
+        release()
         return pa.array(out, pa.string())
 
     (fresh,) = unused(docs.columns, "changed")
