@@ -1,7 +1,7 @@
 """Queries over the driver's tables, each with its SQL.
 
-The transit tables aren't there, so adapters give `events`, `orders`, `part` and `lineitem` their shape: the queries
-then run the library's own transforms. The SQL says the same independently of them.
+The transit tables aren't there, so adapters give `events`, `orders`, `part` and `lineitem` their shape: most queries
+then run the library's own transforms, a few show an operator by itself. The SQL says the same independently of them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..operators import metrics as M
 from ..operators import quantiles as QT
 from ..operators import windows as W
 from ..sources import gtfs_static, tables
-from . import baselines, boosting, bunching, dashboard, delay, evaluation, features, live, map_layers, raptor, reliability, transfers
+from . import baselines, boosting, bunching, dashboard, delay, evaluation, features, live, map_layers, raptor, reliability, timetable, transfers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -457,8 +457,8 @@ def _(s, d):
 
 @query("footpaths", f"SELECT a.stop_id AS a_stop, b.stop_id AS b_stop, CAST(floor({HAVERSINE} / 1.25) AS BIGINT) + 30 AS seconds FROM stops a, stops b WHERE a.stop_id < b.stop_id AND abs(a.lat - b.lat) < 0.01 AND abs(a.lon - b.lon) < 0.01 AND {HAVERSINE} <= 250", STOPS)
 def _(s, d):
-    near = J.grid_band_join(stops(s, d), 250.0, pairs="once")
-    return near.select(F.col("a_stop_id").alias("a_stop"), F.col("b_stop_id").alias("b_stop"), (F.floor(F.col("distance_m") / 1.25) + 30).cast("bigint").alias("seconds"))
+    near = timetable.footpaths(stops(s, d).select("stop_id", F.col("lat").alias("stop_lat"), F.col("lon").alias("stop_lon")))
+    return near.select(F.col("from_stop").alias("a_stop"), F.col("to_stop").alias("b_stop"), "seconds")
 
 
 @query("nearest_stops", "SELECT stop_id, metres, rank FROM (SELECT b.stop_id, round(" + HAVERSINE + ", 3) AS metres, row_number() OVER (ORDER BY round(" + HAVERSINE + ", 3), b.stop_id) AS rank FROM (SELECT 43.47::DOUBLE AS lat, -80.52::DOUBLE AS lon) a, stops b WHERE " + HAVERSINE + " <= 5000) WHERE rank <= 6", STOPS)
@@ -751,7 +751,7 @@ def _(s, d):
 
 @query("worst_arrivals", f"SELECT event_id, {q('predicted', 'predicted')} FROM log ORDER BY predicted DESC, event_id LIMIT 40", LOG)
 def _(s, d):
-    return log(s, d).orderBy(F.desc("predicted_delay_seconds"), "event_id").limit(40).select("event_id", F.col("predicted_delay_seconds").alias("predicted"))
+    return live.worst_arrivals(log(s, d), tie="event_id").select("event_id", F.col("predicted_delay_seconds").alias("predicted"))
 
 
 @query("feed_freshness", f"SELECT event_type AS feed, {q('(epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts))) / 60000000.0::DOUBLE', 'age_minutes')}, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts))) / 60000000.0::DOUBLE <= 5 AS is_fresh FROM events GROUP BY event_type")
