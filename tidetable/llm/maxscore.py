@@ -60,13 +60,13 @@ def integer_vectors(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
 
 
 def _blocks(rows: DataFrame, count: int, name: str) -> DataFrame:
-    """One row for each block: dims, its number, ids and matrix, ids ascending."""
+    """One row for each block: dims, its number, ids and matrix, by id and vector: the same each time a block is made."""
 
     def gather(group: pa.Table) -> pa.Table:
         ids = group["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
         dims = group["dims"][0].as_py()
         data = group["data"].to_pylist()
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], data[i])), np.int64)  # whatever order rows arrive in
         matrix = b"".join([data[i] for i in order])
         return pa.table({"dims": pa.array([dims], pa.int32()), name: pa.array([group["_block"][0].as_py()], pa.int32()), f"{name}_ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), f"{name}_data": pa.array([matrix], pa.binary())})
 
