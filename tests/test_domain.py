@@ -107,6 +107,20 @@ def test_grid_join_equals_all_pairs(spark):
     assert len(got) == len(expected) and set(got) == expected
 
 
+@pytest.mark.parametrize("pairs", ["all", "once"])
+def test_grid_join_meets_places_not_copies(spark, pairs, monkeypatch):
+    """Copies of a place in several blocks: all their pairs, none told to all executors."""
+    monkeypatch.setattr(joins, "BLOCK", 8)
+    points = [(i, 43.4 + i % 3 * 0.001, -80.5, "x" if i % 2 else "y") for i in range(90)] + [(99, None, -80.5, "x")]
+    df = spark.createDataFrame(points, "stop_id int, lat double, lon double, kind string")
+    found = joins.grid_band_join(df, 150.0, pairs=pairs, same=("kind",))
+    got = [(r["a_stop_id"], r["b_stop_id"]) for r in found.collect()]
+    near = lambda i, j: points[i][3] == points[j][3] and abs(i % 3 - j % 3) <= 1 and (pairs == "all" or i < j)
+    assert sorted(got) == [(i, j) for i in range(90) for j in range(90) if near(i, j)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_time_split_of_one_day(spark):
     got = baselines.time_split(spark.createDataFrame([("2024-01-01",)] * 3, "snapshot_date string")).collect()
     assert [(r["is_train"], r["is_validation"]) for r in got] == [(True, True)]
