@@ -85,3 +85,20 @@ def test_fewer_stops_than_wanted(spark):
     assert [r["stop_id"] for r in joins.nearest_k(points, stops, 5).orderBy("rank").collect()] == [1, 2]
     assert joins.nearest_k(points, stops.limit(0), 5).count() == 0
     assert joins.nearest_k(points.limit(0), stops, 5).count() == 0
+
+
+def test_stops_of_one_place_are_no_pairs(spark, tmp_path):
+    """Many copies of few places: the nearest of each, without a round that writes or meets every pair of copies."""
+    at = [(43.4, -80.5), (43.4005, -80.5), (44.0, -80.5)]
+    rows = [(i, *at[i % 3]) for i in range(300)]
+    stops = spark.createDataFrame(rows, "stop_id int, lat double, lon double")
+    kept = []
+    with pytest.MonkeyPatch.context() as m:
+        real = joins.written
+        m.setattr(joins, "written", lambda df, label="state": kept.append((label, out := real(df, label))) or out)
+        got = joins.nearest_k(stops.withColumnRenamed("stop_id", "query_id"), stops, 4, others=True).collect()
+    assert len(got) == 300 * 4
+    for i in (0, 1, 5, 299):
+        expected = [j for j in range(i % 3, 300, 3) if j != i][:4]
+        assert [r["stop_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == expected
+    assert all(df.count() <= 3 * 5 for _, df in kept)
