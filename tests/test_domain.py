@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidetable.cli import parser
 from tidetable.functions import columns as C
 from tidetable.operators import joins, metrics, windows
-from tidetable.plans import baselines, bunching, dashboard, delay, evaluation, features, model, planner, shapes, timetable, transfers
+from tidetable.plans import baselines, bunching, catalog, dashboard, delay, evaluation, features, model, planner, shapes, timetable, transfers
 from tidetable.plans import live as live_plans
 from tidetable.sources import gtfs_rt, gtfs_static, tables, weather, wire
 from tidetable.streaming import live
@@ -97,6 +97,30 @@ def test_transfer_at_the_last_second(spark, depart, made):
     assert [(r["from_trip_id"], r["to_trip_id"], r["made_transfer"]) for r in events] == [("a", "b", made)]
 
 
+def test_connections_are_those_of_all_candidates(spark):
+    """Busy stops in walking distance, trips that come twice, equal times and missing values: the same first connections, without a row for each candidate."""
+    rng = np.random.default_rng(7)
+    pick = lambda *a: a[int(rng.integers(0, len(a)))]
+    rows = [(pick("d1", "d2"), f"t{int(rng.integers(0, 90)):02}", pick("1", "2", "3", None), pick(0, 1, None), pick("s", "u", "v"), pick("f", "g"), pick(None, *range(0, 5400, 60)), int(rng.integers(0, 6000))) for _ in range(500)]
+    rows = list({(r[0], r[1], r[4], r[5], r[6]): r for r in rows}.values())  # a trip calls at a stop once a second
+    observed = spark.createDataFrame(rows, "snapshot_date string, trip_id string, route_id string, direction_id int, stop_id string, feed_name string, scheduled_s long, actual_s long")
+    walks = [(a, f, b, f, 40.0 * abs(i - j), max(30.0, 33.5 * abs(i - j))) for f in "fg" for i, a in enumerate("suv") for j, b in enumerate("suv")]
+    pairs = spark.createDataFrame(walks, "from_stop_id string, from_feed string, to_stop_id string, to_feed string, walk_distance_m double, walk_seconds double")
+    every = transfers.candidates(observed, pairs)
+    expected, got = transfers.proposed(every), transfers.connections(observed, pairs)
+    assert sorted(got.columns) == sorted(expected.columns)
+    key = ["snapshot_date", "from_trip_id", "from_stop_id", "to_route_id", "to_direction_id", "to_scheduled_s", "walk_seconds", "to_trip_id", "to_stop_id"]
+    told = lambda df: sorted((tuple(r) for r in df.select(*key).collect()), key=str)
+    assert told(got) == told(expected) and len(told(got)) > 500
+    assert all(r["actual_margin_seconds"] == r["to_actual_s"] - r["from_actual_s"] - r["walk_seconds"] for r in got.collect())
+
+
+@pytest.mark.parametrize("name", ["transfer_proposed", "transfer_stop_summary", "transfer_route_pairs", "top_transfers_per_route", "riskiest_transfers", "transfer_rate_lookup"])
+def test_transfer_queries_join_no_candidates(spark, monkeypatch, name):
+    monkeypatch.setattr(transfers, "candidates", lambda *_: pytest.fail("all candidates"))
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+
+
 def test_grid_join_equals_all_pairs(spark):
     rng = np.random.default_rng(1)
     points = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform((43.4, -80.6), (43.42, -80.58), (120, 2)))]

@@ -121,7 +121,7 @@ def transfer_tables(spark, a):
         finals = _scan(spark, a.delay, a).where(F.abs("delay_seconds") < settings.outlier_s)
         stops = spark.read.parquet(f"{a.static}/stops").select("stop_id", "feed_name", F.col("stop_lat").try_cast("double").alias("stop_lat"), F.col("stop_lon").try_cast("double").alias("stop_lon"))
         seen = finals.withColumns({"scheduled_s": F.unix_seconds("scheduled_arrival_utc"), "actual_s": F.unix_seconds("predicted_arrival_utc")})
-        events = transfers.proposed(transfers.candidates(seen, transfers.stop_pairs(stops, settings), settings))
+        events = transfers.connections(seen, transfers.stop_pairs(stops, settings), settings)
         tables.write(_dated(events), f"{a.output}/events", overwrite=a.overwrite)
     done = spark.read.parquet(f"{a.output}/events")
     told = []

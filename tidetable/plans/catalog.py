@@ -551,39 +551,39 @@ _PROP = _CAND + """,
 prop AS (SELECT *, margin >= 0 AS made FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date, from_trip_id, from_stop_id, to_route_id, to_direction_id ORDER BY to_s, to_trip_id) AS rn FROM cand) WHERE rn = 1)"""
 
 
-def _candidates(s, d):
+def _observed(s, d):
     rows = obs(s, d).withColumn("trip_id", F.col("event_id"))
     pairs = rows.select(F.col("stop_id").alias("from_stop_id"), F.col("feed_name").alias("from_feed")).distinct()
     pairs = pairs.select("*", F.col("from_stop_id").alias("to_stop_id"), F.col("from_feed").alias("to_feed"), F.lit(0.0).alias("walk_distance_m"), F.lit(30.0).alias("walk_seconds"))
-    return transfers.candidates(rows, pairs)
+    return rows, pairs
 
 
 @query("transfer_candidates", "SELECT from_trip_id, to_trip_id, to_s - from_s AS wait FROM cand", OBS, _CAND)
 def _(s, d):
-    return _candidates(s, d).select("from_trip_id", "to_trip_id", (F.col("to_scheduled_s") - F.col("from_scheduled_s")).alias("wait"))
+    return transfers.candidates(*_observed(s, d)).select("from_trip_id", "to_trip_id", (F.col("to_scheduled_s") - F.col("from_scheduled_s")).alias("wait"))
 
 
 @query("transfer_proposed", f"SELECT from_trip_id, to_trip_id, {q('CAST(margin AS DOUBLE)', 'margin')}, made FROM prop", OBS, _PROP)
 def _(s, d):
-    return transfers.proposed(_candidates(s, d)).select("from_trip_id", "to_trip_id", F.col("actual_margin_seconds").alias("margin"), F.col("made_transfer").alias("made"))
+    return transfers.connections(*_observed(s, d)).select("from_trip_id", "to_trip_id", F.col("actual_margin_seconds").alias("margin"), F.col("made_transfer").alias("made"))
 
 
 _TRANSFER = "count(*) AS attempts, CAST(sum(CASE WHEN made THEN 1 ELSE 0 END) AS BIGINT) AS made, round(avg(CASE WHEN made THEN 1.0 ELSE 0.0 END), 6) AS success_rate, round(CAST(median(margin) AS DOUBLE), 6) AS median_margin_seconds, round(CAST(quantile_cont(margin, 0.1) AS DOUBLE), 6) AS p10_margin_seconds, count(DISTINCT snapshot_date) AS service_days".replace("(margin", "(CAST(margin AS DOUBLE)")
 for _name, _by in (("transfer_stop_summary", ("from_stop_id", "from_route_id", "to_route_id")), ("transfer_route_pairs", ("from_route_id", "to_route_id"))):
-    query(_name, f"SELECT {', '.join(_by)}, {_TRANSFER} FROM prop GROUP BY {', '.join(_by)} HAVING count(*) >= 2", OBS, _PROP)(lambda s, d, by=_by: transfers.summary(transfers.proposed(_candidates(s, d)), by, 2))
+    query(_name, f"SELECT {', '.join(_by)}, {_TRANSFER} FROM prop GROUP BY {', '.join(_by)} HAVING count(*) >= 2", OBS, _PROP)(lambda s, d, by=_by: transfers.summary(transfers.connections(*_observed(s, d)), by, 2))
 
 _STOPSUM = f"sums AS (SELECT from_stop_id, from_route_id, to_route_id, {_TRANSFER} FROM prop GROUP BY 1, 2, 3)"
 
 
 @query("top_transfers_per_route", "SELECT from_route_id, from_stop_id, to_route_id, attempts, rank FROM (SELECT *, row_number() OVER (PARTITION BY from_route_id ORDER BY attempts DESC, from_stop_id, to_route_id) AS rank FROM sums) WHERE rank <= 3", OBS, _PROP, _STOPSUM)
 def _(s, d):
-    sums = transfers.summary(transfers.proposed(_candidates(s, d)), ("from_stop_id", "from_route_id", "to_route_id"), 1)
+    sums = transfers.summary(transfers.connections(*_observed(s, d)), ("from_stop_id", "from_route_id", "to_route_id"), 1)
     return W.top_per_key(sums, ["from_route_id"], [F.desc("attempts"), F.col("from_stop_id"), F.col("to_route_id")], 3).select("from_route_id", "from_stop_id", "to_route_id", "attempts", "rank")
 
 
 @query("riskiest_transfers", "SELECT from_stop_id, from_route_id, to_route_id, attempts, success_rate FROM sums WHERE attempts >= 2 ORDER BY success_rate, attempts DESC, from_stop_id, from_route_id, to_route_id LIMIT 5", OBS, _PROP, _STOPSUM)
 def _(s, d):
-    sums = tidy(transfers.summary(transfers.proposed(_candidates(s, d)), ("from_stop_id", "from_route_id", "to_route_id"), 2))
+    sums = tidy(transfers.summary(transfers.connections(*_observed(s, d)), ("from_stop_id", "from_route_id", "to_route_id"), 2))
     return sums.orderBy("success_rate", F.desc("attempts"), "from_stop_id", "from_route_id", "to_route_id").limit(5).select("from_stop_id", "from_route_id", "to_route_id", "attempts", "success_rate")
 
 
@@ -918,4 +918,4 @@ def _(s, d):
 
 @query("transfer_rate_lookup", "SELECT concat_ws('|', from_route_id, to_route_id, from_stop_id) AS transfer, round(success_rate, 3) AS success_rate FROM sums WHERE attempts >= 2", OBS, _PROP, _STOPSUM)
 def _(s, d):
-    return dashboard.transfer_rates(tidy(transfers.summary(transfers.proposed(_candidates(s, d)), ("from_stop_id", "from_route_id", "to_route_id"), 1)), 2)
+    return dashboard.transfer_rates(tidy(transfers.summary(transfers.connections(*_observed(s, d)), ("from_stop_id", "from_route_id", "to_route_id"), 1)), 2)
