@@ -33,6 +33,19 @@ def test_scanned_lines_find_what_all_rides_find(spark, seed, monkeypatch):
         assert ends == sorted(ends) and (not ends or ends[-1] == r["arrive"]) and sum(leg["trip_id"] is not None for leg in r["legs"]) == r["round"]
 
 
+def test_queries_meet_their_lines_in_any_number_of_partitions(spark):
+    """Larger days aren't merged to one partition: both sides of the cogroup must be hashed alike."""
+    times = network(spark, 5)
+    origins = spark.createDataFrame([(q, f"s{q}", 100 * q) for q in range(8)], "query_id int, stop_id string, ready long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = raptor.arrivals(origins, raptor.lines(times), rounds=2).select("query_id", "stop_id", "round", "arrive").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = planner.earliest_arrivals(origins, planner.connections(times), rounds=2).select("query_id", "stop_id", "round", "arrive").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+
+
 def test_targets_prune_but_keep_the_best(spark):
     times = network(spark, 2)
     origins = spark.createDataFrame([(q, f"s{q}", 0) for q in range(8)], "query_id int, stop_id string, ready long")

@@ -100,7 +100,7 @@ def arrivals(origins: DataFrame, day: DataFrame, walks: DataFrame | None = None,
     arrive). Rounds are written; none is planned if the one before changed nothing. Empty inputs give the origins alone.
     """
     parts = max(1, math.ceil(origins.select("query_id").distinct().count() / QUERIES))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")  # as dealt has it: cogroup hashes an int and a long differently
     through = day.select("line", F.size("stops").alias("_n"), F.posexplode("stops").alias("position", "stop_id")).where("position < _n - 1").drop("_n")
     through = written(through, "stops-of-lines")
     dealt = day.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
