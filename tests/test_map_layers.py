@@ -56,3 +56,19 @@ def test_layers(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     same(catalog.QUERIES["map_rings"](spark, sf), duck(sf), catalog.SQL["map_rings"])
+
+
+def test_small_relations_are_followed_in_their_group(spark, monkeypatch):
+    """Rings, chains and junctions of several sizes: the same lines by both ways of ranking, and no written round for small relations."""
+    rng = np.random.default_rng(3)
+    ways = [(r, int(w), [(r, float(a)), (r + 0.25, float(a)), (r, float(b))]) for r in range(6) for w, (a, b) in enumerate(rng.integers(0, 40, (30, 2)))]
+    ways += [(9, i, [(9, i), (9.5, i), (9, (i + 1) % 50)][:: -1 if i % 3 else 1]) for i in range(50)]
+    told, real = [], map_layers.written
+    monkeypatch.setattr(map_layers, "written", lambda df, label="state": told.append(label) or real(df, label))
+    followed = lines_of(spark, ways)
+    assert "jumped" not in told
+    monkeypatch.setattr(map_layers, "POINTS", 0)
+    jumped = lines_of(spark, ways)
+    assert "jumped" in told and followed == jumped and followed[9, 0][:2] == (True, 50)
+    monkeypatch.setattr(map_layers, "POINTS", 100)
+    assert lines_of(spark, ways) == followed
