@@ -38,7 +38,7 @@ def joined(spark, run):
     return total
 
 
-@pytest.mark.parametrize("name", ["riskiest_transfers", "transfer_route_pairs", "transfer_proposed"])
+@pytest.mark.parametrize("name", ["riskiest_transfers", "transfer_route_pairs", "transfer_proposed", "transfer_stop_summary"])
 def test_transfer_query_grows_as_its_input(spark, copies, name):
     con, out = duckdb.connect(), {}
     con.execute(f"SET timezone = 'UTC'; CREATE VIEW events AS FROM '{copies[4]}/events.parquet'")
