@@ -145,6 +145,29 @@ def test_grid_join_meets_places_not_copies(spark, pairs, monkeypatch):
     assert "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("pairs", ["all", "once"])
+@pytest.mark.parametrize("columns", [("stop_id", "lat", "lon"), ("kind", "stop_id", "lat", "lon")])
+def test_grid_join_rounds_and_keeps_all_columns(spark, pairs, columns, monkeypatch):
+    """Rows with one column of their own and with more, null ids among them, places of several blocks."""
+    monkeypatch.setattr(joins, "BLOCK", 4)
+    points = [(i if i % 7 else None, 43.4 + i % 5 * 0.0007, -80.5 - i % 2 * 0.0005, "x" if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(points, "stop_id int, lat double, lon double, kind string").select(*columns)
+    a, b = (df.select(*(F.col(c).alias(f"{p}_{c}") for c in columns)) for p in "ab")
+    every = a.crossJoin(b).withColumn("distance_m", C.haversine_m("a_lat", "a_lon", "b_lat", "b_lon")).where("distance_m <= 150")
+    every = every.where("a_stop_id < b_stop_id") if pairs == "once" else every
+    found = joins.grid_band_join(df, 150.0, pairs=pairs, digits=3)
+    assert found.columns == every.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, every.withColumn("distance_m", F.round("distance_m", 3)).collect()))
+
+
+def test_spatial_band_join_works_on_places_before_rows(spark):
+    """Nothing is worked out anew for each pair of rows, and a task holds the pairs of one row at a time, not of two blocks."""
+    plan = catalog.QUERIES["spatial_band_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    rows, held, others = plan.partition("Coalesce")
+    assert held and rows.count("Generate explode(_rows_") == 1 and "Generate explode(_rows_" in others
+    assert "round(" not in rows and "struct" not in rows and "round(" in others
+
+
 def test_time_split_of_one_day(spark):
     got = baselines.time_split(spark.createDataFrame([("2024-01-01",)] * 3, "snapshot_date string")).collect()
     assert [(r["is_train"], r["is_validation"]) for r in got] == [(True, True)]
